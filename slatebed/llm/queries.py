@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from slatebed.llm.bpe import op1_byte_bpe
 from slatebed.llm.common import table
+from slatebed.llm.dac import op5_dac_tokens
+from slatebed.llm.quality import op6_host_quality
 from slatebed.llm.simhash import op8_simhash
 
 
@@ -11,6 +14,9 @@ def _on(name, operator):
 
 
 QUERIES = {
+    "op1_byte_bpe": _on("documents", op1_byte_bpe),
+    "op5_dac_tokens": _on("documents", op5_dac_tokens),
+    "op6_host_quality": _on("documents", op6_host_quality),
     "op8_simhash": _on("documents", op8_simhash),
 }
 
