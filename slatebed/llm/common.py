@@ -63,3 +63,8 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Broadcast if the rows, counted first, are few enough; else joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

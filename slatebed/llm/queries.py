@@ -5,8 +5,11 @@ from __future__ import annotations
 from slatebed.llm.bpe import op1_byte_bpe
 from slatebed.llm.common import table
 from slatebed.llm.dac import op5_dac_tokens
+from slatebed.llm.imatch import op2_imatch
+from slatebed.llm.mixing import op9_entropy_mix
 from slatebed.llm.quality import op6_host_quality
 from slatebed.llm.simhash import op8_simhash
+from slatebed.llm.urls import op10_url_templates
 
 
 def _on(name, operator):
@@ -15,9 +18,12 @@ def _on(name, operator):
 
 QUERIES = {
     "op1_byte_bpe": _on("documents", op1_byte_bpe),
+    "op2_imatch": _on("documents", op2_imatch),
     "op5_dac_tokens": _on("documents", op5_dac_tokens),
     "op6_host_quality": _on("documents", op6_host_quality),
     "op8_simhash": _on("documents", op8_simhash),
+    "op9_entropy_mix": _on("documents", op9_entropy_mix),
+    "op10_url_templates": _on("pages", op10_url_templates),
 }
 
 ORACLE_SQL: dict[str, str] = {}
