@@ -59,10 +59,6 @@ def _hashes(known: Column, tops: Column, plain: Column) -> Column:
     return F.when(F.size(known) > 0, F.array(*hashes)).otherwise(F.array_repeat(plain, FAMILIES))
 
 
-def _plain(found: Column) -> Column:
-    return F.substring(F.md5(F.concat(F.lit("~ "), F.array_join(F.array_sort(found), " ")).cast("binary")), 1, HASH_DIGITS)
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Share of the families in which two fingerprints agree."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -78,14 +74,19 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], carrie
     no row is lost and one row of it carries what else is needed.
     """
     sides = [
-        F.struct(F.lit(i).alias("side"), terms(F.col(text)).alias("terms"), F.when(F.lit(i == 0), F.struct(*carried)).alias("carried"))
+        F.struct(
+            F.lit(i).alias("side"),
+            F.concat(F.array(F.lit("")), terms(F.col(text))).alias("terms"),
+            F.substring(F.md5(F.col(text).cast("binary")), 1, HASH_DIGITS).alias("plain"),
+            F.when(F.lit(i == 0), F.struct(*carried)).alias("carried"),
+        )
         for i, text in enumerate(texts)
     ]
     each = rows.select(*keys, F.explode(F.array(*sides)).alias("s")).select(
-        *keys, "s.side", "s.carried", F.col("s.terms").alias("all"), F.explode(F.concat(F.array(F.lit("")), F.col("s.terms"))).alias("term")
+        *keys, "s.side", "s.carried", "s.plain", F.explode("s.terms").alias("term")
     )
     first = F.col("term") == ""
-    slim = each.select(*keys, "side", "term", F.when(first, F.col("carried")).alias("carried"), F.when(first, _plain(F.col("all"))).alias("plain"))
+    slim = each.select(*keys, "side", "term", F.when(first, F.col("carried")).alias("carried"), F.when(first, F.col("plain")).alias("plain"))
     every = lex.union(lex.sparkSession.sql("select '' term, '' levels"))
     met = slim.join(small(every, MOST_TERMS), "term")
     entry = F.struct("term", "levels")
@@ -157,7 +158,7 @@ def op2_imatch(docs: DataFrame) -> DataFrame:
 
     Null texts are empty. Rows that repeat a doc_id follow each other, ordered
     by a hash of the text. A text without a term of the band, an empty one
-    included, has the hash of all of its terms in every place. The texts are
+    included, has the hash of the whole text in every place. The texts are
     shuffled once, by ranges of doc_id; everything after is within that.
     """
     lex = stored(lexicon(docs), "lexicon")
