@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -68,3 +69,9 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """Broadcast if the rows, counted first, are few enough; else joined as Spark sees fit."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs whose results are stored by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

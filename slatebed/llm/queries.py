@@ -9,6 +9,7 @@ from slatebed.llm.imatch import op2_imatch
 from slatebed.llm.mixing import op9_entropy_mix
 from slatebed.llm.quality import op6_host_quality
 from slatebed.llm.simhash import op8_simhash
+from slatebed.llm.substrings import op3_suffix_dedup
 from slatebed.llm.urls import op10_url_templates
 
 
@@ -19,6 +20,7 @@ def _on(name, operator):
 QUERIES = {
     "op1_byte_bpe": _on("documents", op1_byte_bpe),
     "op2_imatch": _on("documents", op2_imatch),
+    "op3_suffix_dedup": _on("documents", op3_suffix_dedup),
     "op5_dac_tokens": _on("documents", op5_dac_tokens),
     "op6_host_quality": _on("documents", op6_host_quality),
     "op8_simhash": _on("documents", op8_simhash),
