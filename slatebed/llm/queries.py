@@ -7,9 +7,11 @@ from slatebed.llm.common import table
 from slatebed.llm.dac import op5_dac_tokens
 from slatebed.llm.imatch import op2_imatch
 from slatebed.llm.mixing import op9_entropy_mix
+from slatebed.llm.ppm import op7_ppm
 from slatebed.llm.quality import op6_host_quality
 from slatebed.llm.simhash import op8_simhash
 from slatebed.llm.substrings import op3_suffix_dedup
+from slatebed.llm.toxicity import op4_crf_toxicity
 from slatebed.llm.urls import op10_url_templates
 
 
@@ -21,8 +23,10 @@ QUERIES = {
     "op1_byte_bpe": _on("documents", op1_byte_bpe),
     "op2_imatch": _on("documents", op2_imatch),
     "op3_suffix_dedup": _on("documents", op3_suffix_dedup),
+    "op4_crf_toxicity": lambda spark, sf_dir: op4_crf_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_dac_tokens": _on("documents", op5_dac_tokens),
     "op6_host_quality": _on("documents", op6_host_quality),
+    "op7_ppm": _on("documents", op7_ppm),
     "op8_simhash": _on("documents", op8_simhash),
     "op9_entropy_mix": _on("documents", op9_entropy_mix),
     "op10_url_templates": _on("pages", op10_url_templates),
