@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from slatebed.llm.common import new_path, text_or_empty
 CHUNK_BITS, BLOCK_BITS = 8, 512
 #: A shard is closed by the document that takes it to so many tokens.
 SHARD_TOKENS = 1 << 19
-REMEMBERED = 400_000
+#: Words that a worker remembers.
+REMEMBERED = 1_000_000
 _MAGIC = b"DAC1"
 
 
@@ -92,37 +94,44 @@ class Dac:
         return upper
 
 
-class WordMemo:
-    """A tokenizer of the tokenizers library behind a memory of words.
+class WordMemo(dict):
+    """Words to their ids as little-endian 32-bit bytes, by the tokenizers library.
 
-    It is meant for tokenizers that drop white space and never join text across
-    it, so a text's ids are those of its words one after the other.
+    It is meant for tokenizers that lower case, drop white space and never join
+    text across it, so a text's ids are those of its words one after the other,
+    and a letter's word before a full stop or comma has the ids of the two.
     """
 
     def __init__(self, spec: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isascii() and b"<" not in word:
+            plain = word.lower()
+            if len(plain) > 1 and plain[-1] in b".," and plain[-2:-1].isalpha():
+                coded = self[plain[:-1]] + self[plain[-1:]]
+            elif plain != word:
+                coded = self[plain]
+            else:
+                coded = self._encoded(word)
+        else:
+            coded = self._encoded(word)
+        self[word] = coded
+        return coded
+
+    def _encoded(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        at = 0
-        while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and size < 1 << 20:
-                split.append(texts[at].encode().split())
-                size += len(texts[at])
-                at += 1
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set().union(*split).difference(self.known))
-            coded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
-            known = self.known
-            for found in split:
-                yield b"".join([known[w] for w in found])
+        for text in texts:
+            if len(self) > REMEMBERED:
+                self.clear()
+            yield b"".join([self[w] for w in text.encode().split()])
 
 
 _MEMOS: dict[int, WordMemo] = {}
