@@ -31,6 +31,7 @@ SHARD_TOKENS = 1 << 19
 #: Words that a worker remembers.
 REMEMBERED = 1_000_000
 _MAGIC = b"DAC1"
+_MARKS = b"!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -94,44 +95,59 @@ class Dac:
         return upper
 
 
-class WordMemo(dict):
+class WordMemo:
     """Words to their ids as little-endian 32-bit bytes, by the tokenizers library.
 
     It is meant for tokenizers that lower case, drop white space and never join
-    text across it, so a text's ids are those of its words one after the other,
-    and a letter's word before a full stop or comma has the ids of the two.
+    text across it, so a text's ids are those of its words one after the other.
+    They also part letters from marks, so a word that ends with marks after a
+    letter has the ids of its plain form and those of the marks; only what has
+    a plain form of its own goes through the library.
     """
 
     def __init__(self, spec: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if word.isascii() and b"<" not in word:
-            plain = word.lower()
-            if len(plain) > 1 and plain[-1] in b".," and plain[-2:-1].isalpha():
-                coded = self[plain[:-1]] + self[plain[-1:]]
-            elif plain != word:
-                coded = self[plain]
-            else:
-                coded = self._encoded(word)
-        else:
-            coded = self._encoded(word)
-        self[word] = coded
-        return coded
-
-    def _encoded(self, word: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        parts, fresh = [], {}
+        for word in words:
+            plain, marks = word, b""
+            if b"<" not in word:  # it may start a special token, which is matched as written
+                stem = word.rstrip(_MARKS)
+                if stem != word and stem[-1:].isalpha():
+                    plain, marks = stem, word[len(stem) :]
+                text = plain.decode()
+                if max(text) <= "\xff":  # letters that are lowered alike everywhere
+                    plain = text.lower().encode()
+            parts.append((plain, marks))
+            for part in (plain, marks):
+                if part and part not in self.known:
+                    fresh[part] = None
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
+        self.known.update((w, array("I", c.ids).tobytes()) for w, c in zip(fresh, coded))
+        known = self.known
+        for word, (plain, marks) in zip(words, parts):
+            known[word] = known[plain] + known[marks] if marks else known[plain]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        for text in texts:
-            if len(self) > REMEMBERED:
-                self.clear()
-            yield b"".join([self[w] for w in text.encode().split()])
+        at = 0
+        while at < len(texts):
+            split, size = [], 0
+            while at < len(texts) and size < 1 << 20:
+                split.append(texts[at].encode().split())
+                size += len(texts[at])
+                at += 1
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            known = self.known
+            self._learn(list(set().union(*split).difference(known)))
+            for found in split:
+                yield b"".join([known[w] for w in found])
 
 
 _MEMOS: dict[int, WordMemo] = {}
