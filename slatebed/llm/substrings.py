@@ -34,6 +34,7 @@ from slatebed.llm.lyndon import suffix_arrays
 WINDOW, GRAM = 200, 64
 #: Different segments of one anchor beyond which strings are counted one by one.
 CROWDED = 24
+RANGE = 8
 #: Bytes of a text that are cut into segments at a time, and of texts for suffix arrays.
 PIECE, BLOCK = 1 << 20, 1 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -221,20 +222,75 @@ def _array_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from spans(groups)
 
 
-def _string_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of the segments of crowded anchors, by its hash."""
+def _range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of the segments of crowded anchors, in ranges of up to RANGE neighbours.
+
+    Ranges are cut by the distance to the anchor, so equal texts around equal
+    anchors have equal ranges. ``whole`` is the hash of a range's text and
+    ``strings`` has those of its strings.
+    """
+    names = ["key", "place", "whole", "at", "n", "strings", "single", "doc_id", "th"]
     for batch in batches:
-        parts = []
+        parts, strings, lengths = [], [], []
         for key, single, doc_id, th, low, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
             hashes = _Hashes(np.frombuffer(data, np.uint8))
+            grams = np.arange(len(data) - GRAM + 1)
+            anchor = int(np.flatnonzero(hashes(grams, grams + GRAM).view(np.int64) == key)[0])
             starts = np.arange(len(data) - WINDOW + 1)
-            parts.append((hashes(starts, starts + WINDOW).view(np.int64), (starts + low).astype(np.int32), key, single, doc_id, th))
+            place = (anchor - starts) // RANGE
+            first = np.flatnonzero(np.concatenate(([True], np.diff(place) != 0)))
+            last = np.append(first[1:], len(starts)) - 1
+            whole = _mixed(hashes(first, last + WINDOW) + (last - first).astype(np.uint64) * np.uint64(_ODD))
+            strings.append(hashes(starts, starts + WINDOW).view(np.int64))
+            lengths.append(last - first + 1)
+            parts.append((place[first], whole.view(np.int64), first + low, key, single, doc_id, th))
         if parts:
-            sizes = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            columns = [pa.array(np.concatenate([p[i] for p in parts])) for i in (0, 1)]
-            for i, kind in ((2, pa.int64()), (3, pa.bool_()), (4, pa.int64()), (5, pa.int64())):
-                columns.append(pa.array([p[i] for p in parts], kind).take(pa.array(sizes)))
-            yield pa.RecordBatch.from_arrays(columns, ["hash", "at", "key", "single", "doc_id", "th"])
+            of = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+            n = np.concatenate(lengths)
+            place, whole, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(strings)))
+            key, single, doc_id, th = (
+                pa.array([p[i] for p in parts], kind).take(of) for i, kind in ((3, pa.int64()), (4, pa.bool_()), (5, pa.int64()), (6, pa.int64()))
+            )
+            columns = [key, pa.array(place, pa.int32()), pa.array(whole), pa.array(at, pa.int32()), pa.array(n, pa.int32()), lists, single, doc_id, th]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def crowded_spans(cut: DataFrame) -> DataFrame:
+    """Spans of repeated strings among the segments of crowded anchors.
+
+    A range that occurs again is repeated as a whole. Where a range of an
+    anchor and place does not, its strings are counted together with those of
+    the other ranges of that place, one of each kind.
+    """
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = stored(
+        cut.repartition(parts).mapInArrow(
+            _range_batches, "key long, place int, whole long, at int, n int, strings array<long>, single boolean, doc_id long, th long"
+        ),
+        "ranges",
+    )
+    of = ["key", "place", "whole"]
+    kinds = stored(
+        ranges.groupBy(*of).agg(
+            F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("strings", "at", "doc_id", "th")), F.bool_or("single").alias("single")
+        ),
+        "kinds",
+    )
+    again = kinds.where("times > 1").select(*of)
+    whole = ranges.where("single").join(again, of).select("doc_id", "th", F.col("at").alias("low"), (F.col("at") + F.col("n") - 1 + WINDOW).alias("high"))
+    open_places = kinds.groupBy("key", "place").agg(F.sum((F.col("times") == 1).cast("int")).alias("alone"), F.count("*").alias("kinds")).where("alone > 0 and kinds > 1")
+    strings = stored(
+        kinds.join(open_places, ["key", "place"]).select(
+            "key", (F.col("single") & (F.col("times") == 1)).alias("single"), "doc_id", "th", "at", F.posexplode("strings").alias("i", "hash")
+        ),
+        "strings",
+    )
+    twice = strings.groupBy("key", "hash").agg(F.count("*").alias("times")).where("times > 1").select("key", "hash")
+    counted = strings.where("single").join(twice, ["key", "hash"]).select(
+        "doc_id", "th", (F.col("at") + F.col("i")).alias("low"), (F.col("at") + F.col("i") + WINDOW).alias("high")
+    )
+    return whole.union(counted)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -254,8 +310,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         ),
         "wanted",
     )
+    again = stored(kinds.where("n > 1").select("key", "seg"), "again")
     whole = stored(
-        every.join(kinds.where("n > 1").select("key", "seg"), ["key", "seg"]).select("doc_id", "th", "low", (F.col("high") + WINDOW).alias("high")), "whole"
+        every.join(again, ["key", "seg"]).select("doc_id", "th", "low", (F.col("high") + WINDOW).alias("high")), "whole"
     )
     forget(spark, every)
     release(spark)
@@ -272,11 +329,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = cut.where("not crowded").select(columns).repartition(4 * parts, "key").sortWithinPartitions("key")
     arrays = sorted_rows.mapInArrow(_array_batches, "doc_id long, th long, low int, high int")
-    strings = cut.where("crowded").select(columns).repartition(parts).mapInArrow(
-        _string_batches, "hash long, at int, key long, single boolean, doc_id long, th long"
-    )
-    again = strings.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
-    counted = strings.where("single").join(again, ["key", "hash"]).select("doc_id", "th", F.col("at").alias("low"), (F.col("at") + WINDOW).alias("high"))
+    counted = crowded_spans(cut.where("crowded").select(columns))
     spans = whole.union(arrays).union(counted)
     return stored(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
 
