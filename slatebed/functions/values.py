@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -100,28 +98,26 @@ def slug(text: Column) -> Column:
 # -- hashes
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside of array functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Bits that differ in two hexadecimal hashes; four for each digit only one has."""
     both = F.least(F.length(a), F.length(b))
-    digits = F.transform(
-        F.sequence(F.lit(1), both),
-        lambda i: F.bit_count(F.conv(F.substr(a, i, F.lit(1)), 16, 10).cast("int").bitwiseXOR(F.conv(F.substr(b, i, F.lit(1)), 16, 10).cast("int"))),
-    )
-    inner = F.when(both > 0, F.aggregate(digits, F.lit(0), lambda s, x: s + x)).otherwise(0)
+    number = lambda h, i: F.conv(F.substr(h, i, F.least(F.lit(8), both - i + 1)), 16, 10).cast("long")
+    parts = F.transform(F.sequence(F.lit(1), both, F.lit(8)), lambda i: F.bit_count(number(a, i).bitwiseXOR(number(b, i))))
+    inner = F.when(both > 0, F.aggregate(parts, F.lit(0), lambda s, x: s + x)).otherwise(0)
     return (inner + 4 * F.abs(F.length(a) - F.length(b))).cast("int")
 
 
 def median_bits(values: Column) -> Column:
     """64 numbers to 16 hexadecimal digits: a bit says that a number is above the upper median."""
     middle = F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
-    bits = F.transform(values, lambda x: F.when(x > middle, "1").otherwise("0"))
-    return F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(15)),
-            lambda i: F.lower(F.conv(F.array_join(F.slice(bits, (i * 4 + 1).cast("int"), F.lit(4)), ""), 2, 16)),
-        ),
-        "",
-    )
+    bits = let(middle, lambda m: F.array_join(F.transform(values, lambda x: F.when(x > m, "1").otherwise("0")), ""))
+    hexadecimal = lambda text: F.lower(F.lpad(F.conv(text, 2, 16), 8, "0"))
+    return let(bits, lambda b: F.concat(hexadecimal(F.substring(b, 1, 32)), hexadecimal(F.substring(b, 33, 32))))
 
 
 def _average_hash(data: bytes) -> str:
@@ -134,10 +130,14 @@ def _average_hash(data: bytes) -> str:
     return np.packbits(means > values.sum() / len(values)).tobytes().hex()
 
 
-@F.pandas_udf("string")
-def average_hash(data: pd.Series) -> pd.Series:
+def average_hash(data: Column) -> Column:
     """64 windows of bytes against the mean of all; for undecoded images."""
-    return data.map(lambda b: None if b is None else _average_hash(bytes(b)), na_action="ignore")
+
+    @F.pandas_udf("string")
+    def hashed(column: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else _average_hash(bytes(b)) for b in column], dtype=object)
+
+    return hashed(data)
 
 
 def _dct_matrix(n: int = 32) -> np.ndarray:
@@ -146,19 +146,25 @@ def _dct_matrix(n: int = 32) -> np.ndarray:
     return scale * np.cos(np.pi * (2 * x + 1) * k / (2 * n))
 
 
-@F.pandas_udf("string")
-def dct_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """32 x 32 grey pixels to a hash of the 64 lowest frequencies; null for other lengths."""
+def _dct_hashes(images: np.ndarray) -> list[str]:
     basis = _dct_matrix()
-    for pixels in batches:
-        out = pd.Series([None] * len(pixels), dtype=object)
-        fits = [i for i, p in enumerate(pixels) if p is not None and len(p) == 1024]
+    low = (basis @ images @ basis.T)[:, :8, :8].reshape(len(images), 64)
+    low = np.concatenate((low[:, 1:], low[:, :1]), axis=1)  # the constant term goes last
+    middle = np.sort(low, axis=1)[:, 32:33]
+    return [h.tobytes().hex() for h in np.packbits(low > middle, axis=1)]
+
+
+def dct_hash(pixels: Column) -> Column:
+    """32 x 32 grey pixels to a hash of the 64 lowest frequencies; null for other lengths."""
+
+    @F.pandas_udf("string")
+    def hashed(column: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(column), dtype=object)
+        fits = [i for i, p in enumerate(column) if p is not None and len(p) == 1024]
         if fits:
-            images = np.stack([np.asarray(pixels.iloc[i], np.float64).reshape(32, 32) for i in fits])
-            low = (basis @ images @ basis.T)[:, :8, :8].reshape(len(fits), 64)
-            low = np.concatenate((low[:, 1:], low[:, :1]), axis=1)  # the constant term goes last
-            middle = np.sort(low, axis=1)[:, 32:33]
-            hashes = np.packbits(low > middle, axis=1)
-            for i, h in zip(fits, hashes):
-                out.iloc[i] = h.tobytes().hex()
-        yield out
+            images = np.stack([np.asarray(column.iloc[i], np.float64).reshape(32, 32) for i in fits])
+            for i, h in zip(fits, _dct_hashes(images)):
+                out.iloc[i] = h
+        return out
+
+    return hashed(pixels)

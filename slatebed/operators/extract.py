@@ -13,8 +13,9 @@ from slatebed.functions.license import coerce_license, license_from_url
 _OG = r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']"""
 
 
-@F.pandas_udf("string")
-def resolve_url(src: pd.Series, base: pd.Series) -> pd.Series:
+def resolve_url(src: Column, base: Column) -> Column:
+    """Absolute address of a link, null where there is none."""
+
     def one(s, b):
         try:
             joined = urljoin(b or "", s)
@@ -22,7 +23,11 @@ def resolve_url(src: pd.Series, base: pd.Series) -> pd.Series:
             return None
         return joined if "://" in joined else None
 
-    return pd.Series([one(s, b) for s, b in zip(src, base)], dtype=object)
+    @F.pandas_udf("string")
+    def resolved(links: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([one(s, b) for s, b in zip(links, bases)], dtype=object)
+
+    return resolved(src, base)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -39,7 +44,7 @@ def probe_images(pages: DataFrame) -> DataFrame:
     og = pages.select(
         "page_id", F.col("url").alias("base"), F.lit(-1).cast("long").alias("ordinal"), F.nullif(F.regexp_extract("html", _OG, 1), F.lit("")).alias("src"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit("og:image").alias("title")
     )
-    found = images.union(og).where("src is not null").withColumn("url", resolve_url("src", "base")).where("url is not null")
+    found = images.union(og).where("src is not null").withColumn("url", resolve_url(F.col("src"), F.col("base"))).where("url is not null")
     # og:image only if no <img> has the same address
     known = F.count(F.when(F.col("ordinal") >= 0, 1)).over(Window.partitionBy("page_id", "url"))
     guess = license_from_url(F.col("url"))

@@ -1,0 +1,36 @@
+"""Small made-up payloads and pages in the shapes that sources deliver."""
+
+from __future__ import annotations
+
+import json
+
+_IMAGE = "https://img.example/a.jpg"
+PAYLOADS = {
+    name: json.dumps(body)
+    for name, body in {
+        "wikimedia": {"query": {"pages": {"7": {"pageid": 7, "title": "File:Cat.jpg", "imageinfo": [{"url": _IMAGE, "thumburl": _IMAGE, "width": 800, "height": 600, "mime": "image/jpeg", "extmetadata": {"LicenseShortName": {"value": "CC BY-SA 4.0"}, "Artist": {"value": "<b>Ann</b>"}}}]}}}},
+        "openverse": {"results": [{"url": _IMAGE, "title": "Cat", "creator": "Bo", "license": "by", "license_version": "2.0"}]},
+        "unsplash": {"results": [{"urls": {"regular": _IMAGE}, "width": 10, "height": 20, "alt_description": "a cat", "user": {"name": "Cy"}}]},
+        "pexels": {"photos": [{"src": {"original": _IMAGE}, "photographer": "Di", "alt": "cat"}]},
+        "pixabay": {"hits": [{"webformatURL": _IMAGE, "user": "Ed"}]},
+        "itunes": {"results": [{"artistName": "Fay", "collectionName": "Cats", "artworkUrl100": "https://a.example/100x100bb.jpg"}]},
+        "musicbrainz-caa": {"releases": [{"id": "r1", "title": "Cats", "artist-credit": [{"name": "Gus"}]}]},
+        "spotify": {"artists": {"items": [{"name": "Hal", "images": [{"url": "https://s.example/1", "width": 64}, {"url": "https://s.example/2", "width": 640}]}]}, "albums": {"items": [{"name": "Cats", "artists": [{"name": "Ida"}], "images": [{"url": "https://s.example/3", "width": 300}]}]}},
+        "brave": {"results": [{"url": "https://b.example/", "title": "cat", "thumbnail": {"src": "https://images.pexels.com/x.jpg"}}]},
+        "bing": {"value": [{"contentUrl": "https://cdn.pixabay.com/c.jpg", "name": "cat"}, {"contentUrl": _IMAGE, "license": "CC0"}]},
+        "serpapi": {"images_results": [{"thumbnail": "https://i.ytimg.com/t.jpg", "title": "cat", "source": "Jo"}]},
+        "flickr": {"stat": "ok", "photos": {"photo": [{"id": "1", "owner": "o", "ownername": "Kai", "title": "cat", "license": "4", "url_l": _IMAGE}, {"id": "2", "license": "6", "url_z": _IMAGE}]}},
+        "internet-archive": {"response": {"docs": [{"identifier": "cats", "title": "Cats", "creator": ["Lu", "Mo"], "licenseurl": "https://creativecommons.org/publicdomain/zero/1.0/"}]}},
+        "smithsonian": {"response": {"rows": [{"title": "Cat", "content": {"descriptiveNonRepeating": {"online_media": {"media": [{"type": "Text"}, {"type": "Images", "content": _IMAGE}]}}}}]}},
+        "nasa": {"collection": {"items": [{"data": [{"nasa_id": "n1", "title": "Cat", "center": "JPL"}], "links": [{"href": "https://n.example/v", "render": "video"}, {"href": _IMAGE, "render": "image"}]}]}},
+        "europeana": {"items": [{"guid": "g", "title": ["Cat"], "dcCreator": ["Ned"], "edmIsShownBy": [_IMAGE], "rights": ["http://creativecommons.org/licenses/by/4.0/"]}, {"edmPreview": [_IMAGE], "rights": ["in copyright"]}]},
+        "europeana-archival": {"items": [{"title": ["Cat"], "edmPreview": [_IMAGE], "rights": ["http://creativecommons.org/publicdomain/zero/1.0/"]}]},
+        "library-of-congress": {"results": [{"id": "l", "title": "Cat", "image_url": ["https://l.example/s", "https://l.example/large", "https://l.example/other"], "contributor": ["Ola"]}]},
+        "wellcome-collection": {"results": [{"id": "w", "thumbnail": {"url": _IMAGE, "license": {"id": "cc-by"}}, "source": {"title": "Cat", "contributors": [{"agent": {"label": "Pia"}}, {"agent": {"label": "Quin"}}]}}]},
+        "rawpixel": {"results": [{"title": "Cat", "image_md": _IMAGE, "user": {"username": "Ray"}}]},
+        "burst": {"photos": [{"title": "Cat", "image_url": _IMAGE, "photographer": {"name": "Sue"}}]},
+    }.items()
+}
+STORY_PAGE = """<html><head><meta property="og:image" content="/hero.jpg"><link rel="license" href="https://x.example/licenses/by-sa/4.0"></head>
+<body><img src="one.png" width="300" alt="One"><img data-src="https://cdn.pixabay.com/two.jpg"></body></html>"""
+SERP_PAGE = """<script>x=[["https://full.example/a.jpg",1200,800],["https://full.example/b.png",640,480],["https://full.example/a.jpg",1,1],["https://t.gstatic.com/c.jpg",9,9]]</script>"""
