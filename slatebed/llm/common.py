@@ -75,3 +75,9 @@ def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of jobs whose results are stored by now."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is among ``ids(doc_id)``, a null one included, columns as they came."""
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    return docs.alias("d").join(ids.alias("k"), same, "left_semi").select(*(F.col(f"d.`{c}`") for c in docs.columns))

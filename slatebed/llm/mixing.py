@@ -205,11 +205,12 @@ def op9_entropy_mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, columns as they came."""
-    copies = mix(docs).select("doc_id", "copies")
-    return (
-        docs.join(copies, "doc_id")
-        .where("copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(docs.columns)
-    )
+    """The documents as often as the mix takes them, columns as they came.
+
+    Rows that share a doc_id are taken as often as the one of them taken most.
+    """
+    most = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    d, m = docs.alias("d"), most.alias("m")
+    times = F.explode(F.sequence(F.lit(1), F.col("m.copies")))
+    taken = d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select(F.struct("d.*").alias("row"), times.alias("time"))
+    return taken.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import stored, text_or_empty, words
+from slatebed.llm.common import stored, text_or_empty, with_ids, words
 
 #: A host's documents all go if more than this share is expected to fail.
 HOST_LIMIT = 0.6
@@ -160,4 +160,4 @@ def op6_host_quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, columns as they came."""
     kept = quality_verdicts(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return with_ids(docs, kept)

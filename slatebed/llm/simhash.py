@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import stored, text_or_empty
+from slatebed.llm.common import stored, text_or_empty, with_ids
 from slatebed.llm.components import connected_components
 
 TAU, SEGMENTS, WIDTH = 2, 8, 8
@@ -168,4 +168,4 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """The documents that are the smallest doc_id of their component, columns as they came."""
     kept = simhash_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return with_ids(docs, kept)

@@ -29,7 +29,8 @@ from slatebed.llm.common import text_or_empty
 #: Labelled documents to learn from, at most, of each label. They are those
 #: with the least hashes of doc_id, so a sample is the same on every run.
 MOST_TOXIC, MOST_CLEAN = 2000, 3500
-#: A feature marks tokens if its log odds and their standard errors are so large.
+#: A feature marks tokens if its log odds are so large, and so many standard
+#: errors (the root of the likelihood ratio) from none.
 LOG_ODDS, ERRORS, FEWEST_DOCS = 1.2, 4.5, 4
 FEATURES, STEPS, PRIOR = 30_000, 60, 1e-4
 #: Cells of a matrix of documents by tokens, and words a worker remembers.
@@ -140,6 +141,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _deviance(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Twice the log likelihood ratio of two shares against one common share."""
+    share = counts.sum(axis=0) / totals.sum()
+    out = np.zeros(counts.shape[1])
+    for n, total in zip(counts, totals):
+        for seen, expected in ((n, total * share), (total - n, total * (1 - share))):
+            out += 2 * seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
+    return out
+
+
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Fits the model to labelled documents; with one label only, scores are its constant."""
     toxic_of = np.array(toxic, bool)
@@ -163,7 +174,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             counts[label, np.unique(np.concatenate([features_of[w] for w in np.unique(tokens)]))] += 1
     n0, n1 = (~toxic_of).sum(), toxic_of.sum()
     odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
-    marks = (odds > LOG_ODDS) & (odds / np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5)) > ERRORS)
+    marks = (odds > LOG_ODDS) & (_deviance(counts, np.array([n0, n1], float)) > ERRORS**2)
     marked_word = np.array([marks[f].any() for f in features_of])
     # features of the chain: those that mark, then the commonest ones of words that are marked
     near = np.zeros(len(names))
