@@ -153,7 +153,7 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def op6_host_quality(docs: DataFrame) -> DataFrame:
     return quality_verdicts(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate")
     )
 
 

@@ -7,6 +7,7 @@ from slatebed.llm.common import table
 from slatebed.llm.dac import op5_dac_tokens
 from slatebed.llm.imatch import op2_imatch
 from slatebed.llm.mixing import op9_entropy_mix
+from slatebed.llm.oracles import IMATCH, QUALITY
 from slatebed.llm.ppm import op7_ppm
 from slatebed.llm.quality import op6_host_quality
 from slatebed.llm.simhash import op8_simhash
@@ -32,4 +33,4 @@ QUERIES = {
     "op10_url_templates": _on("pages", op10_url_templates),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_imatch": IMATCH, "op6_host_quality": QUALITY}
