@@ -28,7 +28,7 @@ from slatebed.llm.common import text_or_empty
 
 #: Labelled documents to learn from, at most, of each label. They are those
 #: with the least hashes of doc_id, so a sample is the same on every run.
-MOST_TOXIC, MOST_CLEAN = 2000, 3500
+MOST_TOXIC, MOST_CLEAN = 1200, 2000
 #: A feature marks tokens if its log odds are so large, and so many standard
 #: errors (the root of the likelihood ratio) from none.
 LOG_ODDS, ERRORS, FEWEST_DOCS = 1.2, 4.5, 4
@@ -158,7 +158,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         share = float(np.clip(toxic_of.mean() if len(texts) else 0.0, 0.01, 0.99))
         return Model({}, 0.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
     words: dict[str, int] = {}
-    docs = [np.array([words.setdefault(w, len(words)) for w in _TOKEN.findall(t)], np.int64) for t in texts]
+    docs = [np.array([words.setdefault(w, len(words)) for w in _TOKEN.findall(t)], np.int32) for t in texts]
     spelled = list(words)
     first: Counter = Counter()
     for tokens, label in zip(docs, toxic):
