@@ -87,3 +87,39 @@ def expired(audit: DataFrame, workspaces: DataFrame, now: Column) -> DataFrame:
 def blob_index(df: DataFrame) -> DataFrame:
     """First and last sight and hits of every content hash."""
     return df.groupBy("sha256").agg(F.min("ordinal").alias("first_seen"), F.max("ordinal").alias("last_hit"), F.count("*").alias("hit_count"))
+
+
+def token_bucket(df: DataFrame, capacity: float, per_second: float, start_full: bool = True) -> DataFrame:
+    """``request_id, allowed`` under a bucket that refills all the time; one token a request.
+
+    The level depends on every request before, so a key's requests are folded in
+    order of time and id.
+    """
+    grouped = df.groupBy("api_key").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "request_id"))).alias("requests"))
+    start = F.struct(
+        F.lit(capacity if start_full else 0.0).alias("level"), F.lit(None).cast("long").alias("at"), F.array().cast("array<struct<request_id:bigint,allowed:boolean>>").alias("out")
+    )
+
+    def step(acc, r):
+        waited = F.coalesce(r["ms"] - acc["at"], F.lit(0))
+        level = F.least(F.lit(capacity), acc["level"] + waited * F.lit(per_second / 1000))
+        row = F.struct(r["request_id"].cast("long").alias("request_id"), (level >= 1).alias("allowed"))
+        return F.struct(F.when(level >= 1, level - 1).otherwise(level).alias("level"), r["ms"].alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return grouped.select("api_key", F.inline(F.aggregate("requests", start, step, lambda acc: acc["out"])))
+
+
+def robots_allow(robots: Column, path: Column, agent: str) -> Column:
+    """Whether a robots text lets an agent read a path: prefixes of the sections that name it or all."""
+    lines = F.filter(F.transform(F.split(robots, "\r?\n"), lambda s: F.trim(F.regexp_replace(s, "#.*$", ""))), lambda s: s != "")
+    start = F.struct(F.lit(False).alias("active"), F.lit(True).alias("allow"))
+
+    def step(acc, line):
+        key = F.lower(F.trim(F.get(F.split(line, ":"), F.lit(0))))
+        value = F.trim(F.get(F.split(line, ":"), F.lit(1)))
+        named = (value == "*") | F.lit(agent.lower()).contains(F.lower(value))
+        active = F.when((key == "user-agent") & value.isNotNull(), named).otherwise(acc["active"])
+        barred = active & (key == "disallow") & (F.coalesce(value, F.lit("")) != "") & path.startswith(value)
+        return F.struct(F.coalesce(active, F.lit(False)).alias("active"), (acc["allow"] & ~F.coalesce(barred, F.lit(False))).alias("allow"))
+
+    return F.coalesce(F.aggregate(lines, start, step, lambda acc: acc["allow"]), F.lit(True))

@@ -9,7 +9,8 @@ from slatebed.dims import CONTEXT_SAFE, OPEN, PROVIDERS
 from slatebed.functions import license as lic
 from slatebed.functions import urls, values
 from slatebed.operators import candidates as ops
-from slatebed.operators import extract, hashes, usage
+from slatebed.operators import extract, hashes, sinks, sites, usage
+from slatebed.operators.metadata import embedded_metadata
 from slatebed.plans.inputs import (
     CANDIDATES_SQL,
     USAGE_SQL,
@@ -511,3 +512,62 @@ def st_usage_stream(spark, sf_dir):
 @query("select count(*) as n from (select distinct event_id from events)")
 def st_dedupe_request(spark, sf_dir):
     return _replayed(spark, sf_dir, lambda rows: streams.deduplicated(rows.union(rows)), "append").agg(F.count("*").alias("n"))
+
+
+# -- extractors, buckets and sinks that came later
+
+
+@query("select * from (values (0, 'https://site.example/hero.jpg', 'og:image'), (5, 'https://site.example/a/one.png', null), (5, 'https://cdn.pixabay.com/two.jpg', null), (5, 'https://site.example/a/three.gif', null)) t(branch, url, title)")
+def ext_generic_page(spark, sf_dir):
+    page = _page(spark, STORY_PAGE.replace("</body>", '<img src="three.gif"></body>'))
+    return sites.site_images(page, sites.GENERIC).select("branch", "url", "title")
+
+
+@query("select 'https://i.pinimg.com/originals/a/b.jpg' as url")
+def ext_pinterest(spark, sf_dir):
+    return sites.site_images(_page(spark, '"https://i.pinimg.com/236x/a/b.jpg" "https://i.pinimg.com/564x/a/b.jpg"'), sites.PINS).select("url")
+
+
+@query("select * from (values ('https://pbs.twimg.com/media/A?format=jpg&name=orig'), ('https://pbs.twimg.com/media/B?name=orig')) t(url)")
+def ext_twitter(spark, sf_dir):
+    return sites.site_images(_page(spark, '"https://pbs.twimg.com/media/A?format=jpg&amp;name=small" "https://pbs.twimg.com/media/B"'), sites.POSTS).select("url")
+
+
+@query("select page_id, 'generic-page' as extractor from pages")
+def ext_dispatch(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", sites.extractor_of(F.col("url")).alias("extractor"))
+
+
+@query("select 'Eve' as artist, 0.7::double as artist_confidence, 'UNKNOWN' as license")
+def ext_exif(spark, sf_dir):
+    data = b"II*\0\x08\0\0\0\x01\0\x3b\x01\x02\0\x04\0\0\0Eve\0\0\0\0\0"
+    blobs = spark.createDataFrame([("a", data)], "id string, content binary")
+    return embedded_metadata(blobs).select("artist", "artist_confidence", "license")
+
+
+@query()
+def fn_token_bucket(spark, sf_dir):
+    return usage.token_bucket(usage_of(spark, sf_dir), 2.0, 1 / 86400).select("request_id", "allowed")
+
+
+@query("select page_id, page_id % 3 <> 0 as allowed from pages")
+def flt_robots(spark, sf_dir):
+    text = F.lit("User-agent: *\nDisallow: /private # all\n\nUser-agent: other\nDisallow: /")
+    path = F.when(F.col("page_id") % 3 == 0, "/private/x").otherwise("/open")
+    return read(spark, sf_dir, "pages").select("page_id", usage.robots_allow(text, path, "reader/1.0").alias("allowed"))
+
+
+@query(f"{C}, r as (select *, row_number() over (partition by query order by {ORDER}) as position from c where license <> 'UNKNOWN') select query, lpad(position::varchar, 3, '0') || '.jpg' as file, position::int as position from r where position <= 50")
+def snk_manifest(spark, sf_dir):
+    return sinks.manifest(ops.rank_all(candidates(spark, sf_dir)).where("position <= 50")).select("query", "file", "position")
+
+
+@query(f"{C} select ordinal, '![' || coalesce(title, 'image') || '](' || url || ')' as line from c")
+def snk_markdown(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return candidates(spark, sf_dir).select("ordinal", sinks.markdown_image(F.col("title"), F.col("url"), none).alias("line"))
+
+
+@query(f"{U} select api_key, arg_max(request_id, struct_pack(ts := ts, id := request_id)) as request_id from u group by api_key")
+def snk_upsert_subscription(spark, sf_dir):
+    return sinks.latest_by(usage_of(spark, sf_dir), "api_key", ["ts", "request_id"]).select("api_key", "request_id")
