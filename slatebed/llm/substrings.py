@@ -226,10 +226,11 @@ def _range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """The strings of the segments of crowded anchors, in ranges of up to RANGE neighbours.
 
     Ranges are cut by the distance to the anchor, so equal texts around equal
-    anchors have equal ranges. ``whole`` is the hash of a range's text and
-    ``strings`` has those of its strings.
+    anchors have equal ranges. ``whole`` is the hash of a range's text,
+    ``strings`` has those of its strings, and ``core`` that of the bytes which
+    any string of this place has.
     """
-    names = ["key", "place", "whole", "at", "n", "strings", "single", "doc_id", "th"]
+    names = ["key", "place", "whole", "core", "at", "n", "strings", "single", "doc_id", "th"]
     for batch in batches:
         parts, strings, lengths = [], [], []
         for key, single, doc_id, th, low, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
@@ -241,18 +242,20 @@ def _range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             first = np.flatnonzero(np.concatenate(([True], np.diff(place) != 0)))
             last = np.append(first[1:], len(starts)) - 1
             whole = _mixed(hashes(first, last + WINDOW) + (last - first).astype(np.uint64) * np.uint64(_ODD))
+            inner = anchor - RANGE * place[first]
+            core = hashes(inner, inner + WINDOW - RANGE + 1)
             strings.append(hashes(starts, starts + WINDOW).view(np.int64))
             lengths.append(last - first + 1)
-            parts.append((place[first], whole.view(np.int64), first + low, key, single, doc_id, th))
+            parts.append((place[first], whole.view(np.int64), core.view(np.int64), first + low, key, single, doc_id, th))
         if parts:
             of = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
             n = np.concatenate(lengths)
-            place, whole, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            place, whole, core, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate(strings)))
             key, single, doc_id, th = (
-                pa.array([p[i] for p in parts], kind).take(of) for i, kind in ((3, pa.int64()), (4, pa.bool_()), (5, pa.int64()), (6, pa.int64()))
+                pa.array([p[i] for p in parts], kind).take(of) for i, kind in ((4, pa.int64()), (5, pa.bool_()), (6, pa.int64()), (7, pa.int64()))
             )
-            columns = [key, pa.array(place, pa.int32()), pa.array(whole), pa.array(at, pa.int32()), pa.array(n, pa.int32()), lists, single, doc_id, th]
+            columns = [key, pa.array(place, pa.int32()), pa.array(whole), pa.array(core), pa.array(at, pa.int32()), pa.array(n, pa.int32()), lists, single, doc_id, th]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -261,27 +264,28 @@ def crowded_spans(cut: DataFrame) -> DataFrame:
 
     A range that occurs again is repeated as a whole. Where a range of an
     anchor and place does not, its strings are counted together with those of
-    the other ranges of that place, one of each kind.
+    the other ranges of that place that have the same core, one of each kind;
+    without the same core no string can be the same.
     """
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = stored(
         cut.repartition(parts).mapInArrow(
-            _range_batches, "key long, place int, whole long, at int, n int, strings array<long>, single boolean, doc_id long, th long"
+            _range_batches, "key long, place int, whole long, core long, at int, n int, strings array<long>, single boolean, doc_id long, th long"
         ),
         "ranges",
     )
     of = ["key", "place", "whole"]
     kinds = stored(
         ranges.groupBy(*of).agg(
-            F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("strings", "at", "doc_id", "th")), F.bool_or("single").alias("single")
+            F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("core", "strings", "at", "doc_id", "th")), F.bool_or("single").alias("single")
         ),
         "kinds",
     )
     again = kinds.where("times > 1").select(*of)
     whole = ranges.where("single").join(again, of).select("doc_id", "th", F.col("at").alias("low"), (F.col("at") + F.col("n") - 1 + WINDOW).alias("high"))
-    open_places = kinds.groupBy("key", "place").agg(F.sum((F.col("times") == 1).cast("int")).alias("alone"), F.count("*").alias("kinds")).where("alone > 0 and kinds > 1")
+    open_places = kinds.groupBy("key", "place", "core").agg(F.sum((F.col("times") == 1).cast("int")).alias("alone"), F.count("*").alias("kinds")).where("alone > 0 and kinds > 1")
     strings = stored(
-        kinds.join(open_places, ["key", "place"]).select(
+        kinds.join(open_places, ["key", "place", "core"]).select(
             "key", (F.col("single") & (F.col("times") == 1)).alias("single"), "doc_id", "th", "at", F.posexplode("strings").alias("i", "hash")
         ),
         "strings",
