@@ -7,10 +7,15 @@ there are different successors) and the next shorter context is asked, without
 the successors that the longer one has already ruled out. The last resort is
 equal chances for what no context has ruled out.
 
-Counts are taken of whole n-grams on the executors, added up by Spark, and
-shorter contexts follow by summing. The trie keeps what is at least a share of
-``LEAST`` of the training bytes, whatever their number, so each order has at
-most 1 / LEAST entries and the trie can be broadcast.
+Every count of the training texts is kept, however large they are, so the model
+is never gathered in one place. It is cut into parts by the ``NEAR`` bytes next
+to the symbol; a part holds all that longer contexts with these bytes have. The
+chance of a byte depends on its code alone (itself and the ORDER bytes before
+it), so documents are laid in chunks, the distinct codes of a chunk are sent to
+their parts, and the answers, in the order of the codes, are joined to the
+chunk's documents. Only contexts
+of fewer than ``NEAR`` bytes are broadcast: 257**NEAR entries at most, whatever
+the corpus.
 """
 
 from __future__ import annotations
@@ -22,15 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import stored, text_or_empty
+from slatebed.llm.common import forget, release, stored, text_or_empty
 from slatebed.llm.toxicity import fold
 
 ORDER = 6
-LEAST = 2.0**-20
+#: Context bytes that name a part; shorter contexts are broadcast.
+NEAR = 3
+#: Bytes of text for each part of the model.
+PART = 1 << 25
+#: Bytes of text that are scored together.
+LAID = 1 << 22
+#: Distinct n-grams that a task counts before it hands them on.
+DISTINCT = 1 << 20
 #: Words with at least this share of the training tokens are looked up in a
 #: broadcast table of at most 1 / HOT entries, all others by a join.
 HOT = 2.0**-19
@@ -40,8 +52,8 @@ SYMBOLS = 257
 CHUNK = 1 << 21
 #: Bytes scored at a time, and rows of a batch.
 STEP, SLICE = 1 << 18, 1000
-#: Rows of counts that are handed to Spark at a time.
-ROWS = 1 << 16
+#: Packed rows that are handed to Spark at a time.
+ROWS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END_WORD = b"\0end"  # no word is this one: words of it would be longer or without the zero byte in front
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -91,54 +103,194 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``gram, word, n``: counts of n-grams (word null) and of words (gram null)."""
-    _MADE.clear()  # a model of an earlier call isn't needed any more
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    words: Counter = Counter()
+class _Bag:
+    """Distinct codes and how often they came, merged as they grow."""
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        codes, n = (np.concatenate([pair[i] for pair in held]) for i in (0, 1))
-        held.clear()  # before the sort, which needs as much again
-        order = np.argsort(codes)
-        codes, n = codes[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-        return codes[first], np.add.reduceat(n, first)
-
-    def gram_rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(codes), ROWS):
-            some = codes[at : at + ROWS].view(np.int64)
-            columns = [pa.array(some), pa.nulls(len(some), pa.binary()), pa.array(n[at : at + ROWS], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["gram", "word", "n"])
-
-    def word_rows() -> pa.RecordBatch:
-        columns = [pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["gram", "word", "n"])
-
-    for batch in _sliced(batches):
-        texts = [t.encode().translate(_LOWER) for t in batch.column(0).to_pylist()]
-        for at, end in _chunks(texts):
-            some = texts[at:end]
-            unique, n = np.unique(_codes(some)[0], return_counts=True)
-            held.append((unique, n.astype(np.int32)))
-            size += len(unique)
-            if size > 1 << 22:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 1 << 21:
-                    yield from gram_rows(*held[0])
-                    held, size = [], 0
-            for t in some:
-                words.update(t.split())
-            words[_END_WORD] += len(some)
-            if len(words) > 300_000:
-                yield word_rows()
-                words.clear()
-    if held:
-        yield from gram_rows(*merged())
-    if words:
-        yield word_rows()
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray, n: np.ndarray) -> None:
+        self.held.append((codes, n))
+        self.size += len(codes)
+        if self.size > 2 * DISTINCT:
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+
+    def add_texts(self, texts: list[bytes]) -> None:
+        unique, n = np.unique(_codes(texts)[0], return_counts=True)
+        self.add(unique, n.astype(np.int32))
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        codes, n = (np.concatenate([pair[i] for pair in self.held]) for i in (0, 1))
+        self.held.clear()  # before the sort, which needs as much again
+        self.size = 0
+        return _summed(codes, n)
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(codes):
+        return codes, n
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(n, first, dtype=np.int64)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Eight-byte integers by planes of like bytes, compressed; in front their length."""
+    planes = values.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = _inflated(data).reshape(8, -1)
+    return planes.T.copy().view(kind).ravel()
+
+
+def _pack_logs(logs: np.ndarray) -> bytes:
+    """As values, many of which repeat."""
+    return logs.nbytes.to_bytes(8, "little") + pa.compress(logs.tobytes(), codec="zstd", asbytes=True)
+
+
+def _inflated(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8)
+
+
+def _part(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The part of the model that knows each code."""
+    near = (codes >> np.uint64(8)) & np.uint64((1 << (8 * NEAR)) - 1)
+    return ((near * _MULTIPLIER) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _parts(codes: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts and the places of their codes; sorted codes stay sorted."""
+    part = _part(codes, bits)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
+    for i, j in zip(edges[:-1], edges[1:]):
+        yield int(part[i]), order[i:j]
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = ROWS) -> Iterator[pa.RecordBatch]:
+    some = []
+    for row in rows:
+        some.append(row)
+        if len(some) == most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+            some = []
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+
+_COUNTS = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("times", pa.binary()), ("word", pa.binary()), ("low", pa.int64()), ("n", pa.int64())])
+_COUNTS_DDL = "part int, codes binary, times binary, word binary, low long, n long"
+_LAID = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+_ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("codes", pa.binary()), ("times", pa.binary())])
+_ANSWERS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("logs", pa.binary())])
+
+
+def _count_rows(column: str, values: list, counts: list) -> pa.RecordBatch:
+    arrays = {f.name: pa.nulls(len(values), f.type) for f in _COUNTS}
+    arrays |= {column: pa.array(values, _COUNTS.field(column).type), "n": pa.array(counts, pa.int64())}
+    return pa.RecordBatch.from_arrays(list(arrays.values()), schema=_COUNTS)
+
+
+def _count_batches(bits: int):
+    """Packed counts of n-grams by part, and counts of words, whose part is null."""
+
+    def grams(bag: _Bag) -> Iterator[pa.RecordBatch]:
+        codes, n = bag.merged()
+        packed = ((part, _pack(codes[at]), _pack(n[at].astype(np.int64)), None, None, None) for part, at in _parts(codes, bits))
+        yield from _batches(packed, _COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag, words = _Bag(), Counter()
+        for batch in _sliced(batches):
+            texts = [t.encode().translate(_LOWER) for t in batch.column(0).to_pylist()]
+            for at, end in _chunks(texts):
+                some = texts[at:end]
+                bag.add_texts(some)
+                if bag.size > DISTINCT and len(bag.held) == 1:
+                    yield from grams(bag)
+                for t in some:
+                    words.update(t.split())
+                words[_END_WORD] += len(some)
+                if len(words) > 300_000:
+                    yield _count_rows("word", list(words), list(words.values()))
+                    words.clear()
+        yield from grams(bag)
+        if words:
+            yield _count_rows("word", list(words), list(words.values()))
+
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of counts a part, and its counts for shorter contexts; rows are sorted by part."""
+    mask = np.uint64((1 << (8 * NEAR)) - 1)
+
+    def done(part: int, bag: _Bag) -> Iterator[pa.RecordBatch]:
+        codes, n = bag.merged()
+        yield from _batches(iter([(part, _pack(codes), _pack(n), None, None, None)]), _COUNTS)
+        low, sums = _summed(codes & mask, n)
+        yield _count_rows("low", low.astype(np.int64).tolist(), sums.tolist())
+
+    now, bag = None, _Bag()
+    for row in _rows(batches):
+        if row["part"] != now and now is not None:
+            yield from done(now, bag)
+        now = row["part"]
+        bag.add(_unpack(row["codes"], np.uint64), _unpack(row["times"], np.int64))
+    if now is not None:
+        yield from done(now, bag)
+
+
+def _lay_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in chunks, a row each."""
+
+    def laid() -> Iterator[tuple]:
+        chunk = TaskContext.get().partitionId() << 32
+        ids, texts, size = [], [], 0
+        for batch in _sliced(batches):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text.encode())
+                if size >= LAID:
+                    yield chunk, ids, texts
+                    chunk, ids, texts, size = chunk + 1, [], [], 0
+        if ids:
+            yield chunk, ids, texts
+
+    yield from _batches(laid(), _LAID, 1)
+
+
+def _lowered(texts: list[str]) -> list[bytes]:
+    return [t.encode().translate(_LOWER) for t in texts]
+
+
+def _ask_batches(bits: int):
+    """The distinct codes of each chunk by part."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for row in _rows(batches):
+            codes = np.sort(_codes(_lowered(row["texts"]))[0])
+            codes = codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
+            for part, at in _parts(codes, bits):
+                yield part, row["chunk"], _pack(codes[at]), None
+
+    return lambda batches: _batches(asked(batches), _ASKED)
 
 
 class Hashed:
@@ -176,13 +328,18 @@ class Hashed:
 
 
 class Ppm:
-    """``entries[k]``: codes of k context bytes and a symbol, their counts, contexts, their counts."""
+    """``entries[k]``: codes of k context bytes and a symbol, their counts, contexts, their counts.
+
+    With a model of shorter contexts ``below``, entries are those of the orders above.
+    """
 
-    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.grams, self.log_count, self.contexts = [], [], []
-        self.total, self.kinds, self.dropped = [], [], []
-        self.rest_total, self.rest_kinds = [], []
-        for k, (codes, counts, seen, seen_counts) in enumerate(entries):
+    LISTS = "counts", "grams", "log_count", "contexts", "total", "kinds", "dropped", "rest_total", "rest_kinds"
+
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], below: Ppm | None = None):
+        for name in self.LISTS:
+            setattr(self, name, list(getattr(below, name)) if below else [])
+        for k, (codes, counts, seen, seen_counts) in enumerate(entries, len(self.grams)):
+            self.counts.append(counts)
             self.grams.append(Hashed(codes))
             self.log_count.append(np.log10(counts))
             contexts, of = np.unique(codes >> np.uint64(8), return_inverse=True)
@@ -194,7 +351,7 @@ class Ppm:
             self.kinds.append(np.bincount(of, minlength=len(contexts)).astype(float))
             if k:  # what the next shorter context has left when these successors are ruled out
                 shorter = self.grams[k - 1](codes & np.uint64((1 << (8 * k)) - 1))
-                gone = np.bincount(of, np.where(shorter >= 0, entries[k - 1][1][shorter], 0.0), len(contexts))
+                gone = np.bincount(of, np.where(shorter >= 0, self.counts[k - 1][shorter], 0.0) if len(self.counts[k - 1]) else np.zeros(len(codes)), len(contexts))
                 gone_kinds = np.bincount(of, shorter >= 0, len(contexts))
                 node = self.contexts[k - 1](contexts & np.uint64((1 << (8 * (k - 1))) - 1))
                 self.rest_total.append(np.where(node >= 0, self.total[k - 1][node], 0.0) - gone)
@@ -234,38 +391,73 @@ class Ppm:
         return out
 
 
-#: The model a worker has made last, by its name.
-_MADE: dict[str, tuple[Ppm, dict[bytes, tuple[int, float]]]] = {}
+#: What a worker has made last, by its name.
+_MADE: dict[str, object] = {}
 
 
-def _made(name: str, shipped: Broadcast) -> tuple[Ppm, dict[bytes, tuple[int, float]]]:
-    """The byte model and the frequent words with log10(count + 1), made once by each worker."""
+def _made(name: str, make):
+    """What ``make`` returns, made once by each worker."""
     if name not in _MADE:
         _MADE.clear()
-        entries, known = shipped.value
-        _MADE[name] = Ppm(entries), {w: (n, math.log10(n + 1)) for w, n in known.items()}
+        _MADE[name] = make()
     return _MADE[name]
 
 
-def trie_entries(grams: DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """``grams(gram, n)`` to what :class:`Ppm` takes, of a share of LEAST at least."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(total * LEAST))
+def orders(codes: np.ndarray, n: np.ndarray, lowest: int, highest: int) -> list[tuple[np.ndarray, ...]]:
+    """Counts of codes of the highest order to what :class:`Ppm` takes, every count kept."""
     entries: list[tuple[np.ndarray, ...]] = []
-    part = grams.select(F.col("gram").alias("code"), "n")  # a row for each code by now
-    for k in range(ORDER, -1, -1):
-        contexts = part.groupBy(F.shiftrightunsigned("code", 8).alias("code")).agg(F.sum("n").alias("n"))
-        found = []
-        for some in (part, contexts):
-            table = some.where(F.col("n") >= least).toArrow().sort_by("code")
-            found += [table["code"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)]
-        entries.insert(0, tuple(found))
-        if k:  # each order is summed up from the one above, which is larger
-            shorter = F.col("code").bitwiseAND(F.lit((1 << (8 * k)) - 1))
-            part = stored(part.groupBy(shorter.alias("code")).agg(F.sum("n").alias("n")), "grams")
+    for k in range(highest, lowest - 1, -1):
+        codes, n = _summed(codes & np.uint64((1 << (8 * (k + 1))) - 1), n)
+        contexts, sums = _summed(codes >> np.uint64(8), n)
+        entries.insert(0, (codes, n.astype(np.float64), contexts, sums.astype(np.float64)))
     return entries
 
 
+def _answer_batches(name: str, shipped: Broadcast):
+    """Log chances of each chunk's codes by the part of the model before them in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = _made(name, lambda: Ppm(orders(*shipped.value, 0, NEAR - 1)))
+
+        def answers() -> Iterator[tuple]:
+            now, model = None, low
+            for row in _rows(batches):
+                if row["part"] != now:
+                    now, model = row["part"], low
+                codes = _unpack(row["codes"], np.uint64)
+                if row["chunk"] is None:
+                    model = Ppm(orders(codes, _unpack(row["times"], np.int64), NEAR, ORDER), low)
+                    continue
+                logs = np.concatenate([model.log10(codes[i : i + STEP]) for i in range(0, len(codes), STEP)])
+                yield row["chunk"], now, _pack_logs(logs)
+
+        yield from _batches(answers(), _ANSWERS)
+
+    return run
+
+
+def _with_answers(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[list, list[bytes], np.ndarray, np.ndarray]]:
+    """Ids, texts, log chances of their bytes and where each text's start; rows are sorted by chunk and part, documents last."""
+    logs: list[np.ndarray] = []
+    for row in _rows(batches):
+        if row["texts"] is None:
+            logs.append(_inflated(row["logs"]).view(np.float64))
+            continue
+        texts = _lowered(row["texts"])
+        codes, starts = _codes(texts)
+        order = np.argsort(codes)
+        codes = codes[order]
+        first = np.concatenate(([True], codes[1:] != codes[:-1]))
+        codes = codes[first]
+        answers = np.empty(len(codes))
+        answers[np.argsort(_part(codes, bits), kind="stable")] = np.concatenate(logs)
+        logs.clear()
+        of_byte = np.empty(len(order))
+        of_byte[order] = answers[np.cumsum(first, dtype=np.int32) - 1]
+        del order, first, codes
+        yield row["ids"], texts, of_byte, starts
+
+
 def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     """Scores every row of ``docs(doc_id, text)`` by what ``train(text)`` has.
 
@@ -276,61 +468,76 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     chance. Rows that repeat are each scored.
     """
     spark = docs.sparkSession
-    counted = (
-        train.select(text_or_empty().alias("text"))
-        .mapInArrow(_count_batches, "gram long, word binary, n long")
-        .groupBy("gram", "word")
-        .agg(F.sum("n").alias("n"))
-    )
-    counts = stored(counted, "counts")
-    words = counts.where("word is not null").select("word", "n")
+    train = train.select(text_or_empty().alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    size = max(t.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for t in (train, docs))
+    bits = max(2, math.ceil(size / PART).bit_length())
+    raw = stored(train.mapInArrow(_count_batches(bits), _COUNTS_DDL), "raw")
+    grams = raw.where("codes is not null").repartition(1 << bits, "part").sortWithinPartitions("part")
+    counts = stored(grams.mapInArrow(_merge_batches, _COUNTS_DDL), "counts")
+    words = stored(raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    forget(spark, raw)
+    release(spark)
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = sums["n"], sums["v"]
     hot = words.where(F.col("n") >= max(1, math.ceil(tokens * HOT))).toArrow()
     known = dict(zip(hot["word"].to_pylist(), hot["n"].to_pylist()))
     ends = words.where(F.col("word") == F.lit(_END_WORD)).select("n").first()
     known[_END_WORD] = ends["n"] if ends else 0
-    entries = trie_entries(counts.where("gram is not null").select("gram", "n"))
-    shipped = spark.sparkContext.broadcast((entries, known))
+    table = counts.where("low is not null").groupBy("low").agg(F.sum("n").alias("n")).toArrow()
+    low = spark.sparkContext.broadcast((table["low"].to_numpy().astype(np.uint64), table["n"].to_numpy().astype(np.int64)))
+    shipped = spark.sparkContext.broadcast(known)
     log_below = math.log10(tokens + 1 * (kinds + 1))
     name = uuid.uuid4().hex
+    laid = stored(docs.mapInArrow(_lay_batches, "chunk long, ids array<long>, texts array<string>"), "laid")
+    model = counts.where("codes is not null").select("part", F.lit(None).cast("long").alias("chunk"), "codes", "times")
+    asked = laid.mapInArrow(_ask_batches(bits), "part int, chunk long, codes binary, times binary")
+    answers = (
+        model.union(asked)
+        .repartition(1 << bits, "part")
+        .sortWithinPartitions("part", "chunk")  # a part's model has no chunk and comes first
+        .mapInArrow(_answer_batches(name, low), "chunk long, part int, logs binary")
+    )
+    joined = (
+        laid.unionByName(answers, allowMissingColumns=True)
+        .repartition(1 << bits, "chunk")
+        .sortWithinPartitions("chunk", F.col("part").asc_nulls_last())
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm, known = _made(name, shipped)
-        for batch in _sliced(batches):
-            texts = [t.encode().translate(_LOWER) for t in batch.column(1).to_pylist()]
-            for at, end in _chunks(texts):
-                some = texts[at:end]
-                codes, starts = _codes(some)
-                scores = np.zeros(len(some))
-                logs = np.concatenate([ppm.log10(codes[i : i + STEP]) for i in range(0, len(codes), STEP)])
-                scores = np.add.reduceat(logs, starts)
-                sizes, sums, seen, rare, times = [], [], [], [], []
-                for t in some:
-                    found = t.split()
-                    sizes.append(len(found) + 1)
-                    hits = [known[w] for w in found if w in known]
-                    hits.append(known[_END_WORD])
-                    sums.append(math.fsum(x for _, x in hits))
-                    seen.append(sum(n > 0 for n, _ in hits))
-                    other = Counter(w for w in found if w not in known) if len(hits) <= len(found) else {}
-                    rare.append(list(other))
-                    times.append(list(other.values()))
-                columns = [
-                    batch.column(0).slice(at, end - at),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(scores),
-                    pa.array(sums, pa.float64()),
-                    pa.array(seen, pa.int64()),
-                    pa.array(rare, pa.list_(pa.binary())),
-                    pa.array(times, pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "score", "hot_sum", "hot_known", "rare", "times"])
+        known = _made("words " + name, lambda: {w: (n, math.log10(n + 1)) for w, n in shipped.value.items()})
+        for ids, some, logs, starts in _with_answers(batches, bits):
+            scores = np.add.reduceat(logs, starts)
+            sizes, sums, seen, rare, times = [], [], [], [], []
+            for t in some:
+                found = t.split()
+                sizes.append(len(found) + 1)
+                hits = [known[w] for w in found if w in known]
+                hits.append(known[_END_WORD])
+                sums.append(math.fsum(x for _, x in hits))
+                seen.append(sum(n > 0 for n, _ in hits))
+                other = Counter(w for w in found if w not in known) if len(hits) <= len(found) else {}
+                rare.append(list(other))
+                times.append(list(other.values()))
+            columns = [
+                pa.array(ids, pa.int64()),
+                pa.array(sizes, pa.int64()),
+                pa.array(scores),
+                pa.array(sums, pa.float64()),
+                pa.array(seen, pa.int64()),
+                pa.array(rare, pa.list_(pa.binary())),
+                pa.array(times, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "score", "hot_sum", "hot_known", "rare", "times"])
 
     schema = "doc_id long, n_tokens long, score double, hot_sum double, hot_known long, rare array<binary>, times array<long>"
-    scored = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    scored = joined.mapInArrow(run, schema)
     each = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     shipped.destroy()
+    low.destroy()
+    for done in (laid, counts):
+        forget(spark, done)
+    release(spark)
     pairs = each.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.times").alias("times"))
     found = (
         pairs.join(words, "word", "left")
