@@ -28,7 +28,7 @@ from slatebed.llm.common import text_or_empty
 
 #: Labelled documents to learn from, at most, of each label. They are those
 #: with the least hashes of doc_id, so a sample is the same on every run.
-MOST_TOXIC, MOST_CLEAN = 1200, 2000
+MOST_TOXIC, MOST_CLEAN = 2000, 3500
 #: A feature marks tokens if its log odds are so large, and so many standard
 #: errors (the root of the likelihood ratio) from none.
 LOG_ODDS, ERRORS, FEWEST_DOCS = 1.2, 4.5, 4
@@ -203,19 +203,22 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     token = np.concatenate(pieces).reshape(-1, width)
     y = np.concatenate(labels).reshape(-1, width)
     real = np.concatenate(inside).reshape(-1, width)
-    # a piece without a word that any feature knows only speaks to the bias; a tenth of them is enough for that
+    # pieces without a word that any feature knows are alike to the chain if they are as long: one of each length, weighted
     known = np.bincount(of_word, minlength=len(words)) > 0
-    rich = known[token].any(axis=1) | (np.arange(len(token)) % 10 == 0)
-    token, y, real = token[rich], y[rich], real[rich]
+    plain = ~(known[token] & real).any(axis=1)
+    _, at, times = np.unique(real[plain].sum(axis=1), return_index=True, return_counts=True)
+    rows = np.concatenate((np.flatnonzero(~plain), np.flatnonzero(plain)[at]))
+    weight = np.concatenate((np.ones((~plain).sum()), times))[:, None]
+    token, y, real = token[rows], y[rows], real[rows]
     weights, bias, moves = np.zeros(len(kept)), -4.0, np.log(np.array([[0.95, 0.05], [0.6, 0.4]]))
     g2w, g2b, g2m = np.full(len(kept), 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    n = real.sum()
+    n = (real * weight).sum()
     for _ in range(STEPS):
         of = np.bincount(of_word, weights[feature], len(words)) + bias
         odds = np.where(real, np.exp(np.clip(of[token], -30, 30)), 1.0)
         f, b = _ragged(odds, real, moves) if not real.all() else chain(odds, moves)
         both = f * b
-        gap = np.where(real, y - both / (1 + both), 0.0)
+        gap = np.where(real, y - both / (1 + both), 0.0) * weight
         by_word = np.bincount(token.ravel(), gap.ravel(), len(words))
         grad_w = np.bincount(feature, by_word[of_word], len(kept)) / n - PRIOR * weights
         grad_b = gap.sum() / n
@@ -223,7 +226,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         e = np.exp(moves)
         joint = np.stack([np.ones_like(x) * e[0, 0], e[0, 1] * x, f[:, :-1] * e[1, 0], f[:, :-1] * e[1, 1] * x])
         joint /= joint.sum(axis=0)
-        pair = real[:, 1:]
+        pair = real[:, 1:] * weight
         seen = np.stack([(~y[:, :-1] & ~y[:, 1:]), (~y[:, :-1] & y[:, 1:]), (y[:, :-1] & ~y[:, 1:]), (y[:, :-1] & y[:, 1:])])
         grad_m = (((seen - joint) * pair).sum(axis=(1, 2)) / n).reshape(2, 2)
         g2w, g2b, g2m = g2w + grad_w**2, g2b + grad_b**2, g2m + grad_m**2

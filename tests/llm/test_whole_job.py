@@ -8,7 +8,7 @@ from math import log10
 
 import pytest
 
-from slatebed.llm import ppm
+from slatebed.llm import ppm, toxicity
 
 
 def ppm_by_force(train: list[bytes], texts: list[bytes]) -> list[float]:
@@ -52,3 +52,13 @@ def test_ppm_keeps_every_count(spark):
     weighed = ppm_by_force([t.lower().encode() if t.isascii() else t.encode() for t in train[-3:]] + [common.encode()] * 5200, [t.encode().translate(ppm._LOWER) for t in texts])
     # the only capital letter of the training texts is not ASCII and stays
     assert [r.score for r in sorted(got)] == pytest.approx(weighed, rel=1e-9)
+
+
+def test_crf_learns_from_every_piece():
+    rng = random.Random(4)
+    clean = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+    toxic = [" ".join(["vilewords"] * 2 + list("abc")) for _ in range(60)]
+    texts, label = clean + toxic, [0] * 300 + [1] * 60
+    one = toxicity.fit(texts, label)
+    other = toxicity.fit(texts[7:] + texts[:7], label[7:] + label[:7])  # pieces in another order
+    assert other.bias == pytest.approx(one.bias, rel=1e-9) and other.moves == pytest.approx(one.moves, rel=1e-9)
