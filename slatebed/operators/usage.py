@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +25,48 @@ def minute_of(ts: Column) -> Column:
     return F.floor(F.unix_millis(ts.cast("timestamp")) / 60000)
 
 
+def _in_order(df: DataFrame, key: list[str], order: list[str], start, step, results: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
+    """Rows of each key in order through ``step(state, *values of order) -> state, *results``.
+
+    Only the state is held: a key may have any number of rows.
+    """
+    none = object()
+    width = len(key) + len(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = none, start
+        for batch in batches:
+            out = []
+            rows = [c.to_pylist() for c in batch.columns[:width]]
+            for row in zip(*rows):
+                if row[: len(key)] != now:
+                    now, state = row[: len(key)], start
+                state, *found = step(state, *row[len(key) :])
+                out.append(found)
+            columns = list(zip(*out)) or [()] * len(results)
+            arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, results)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], [*key, *order, *(name for name, _ in results)])
+
+    sorted_rows = df.select(*key, *order).repartition(*key).sortWithinPartitions(*key, *order)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema]
+    return sorted_rows.mapInArrow(run, ", ".join([*fields, ddl]))
+
+
 def quota_gate(df: DataFrame, included: int) -> DataFrame:
     """Requests of mixed cost against a daily allowance: a request that does not fit is refused and costs nothing.
 
-    The rule is sequential for each key and day, whose requests are folded in
-    order; a day of one key is the unit that has to fit a task.
+    The rule is sequential for each key and day, whose requests stream in order.
     """
-    day = F.date_trunc("day", "ts")
-    grouped = df.groupBy("api_key", day.alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "request_id", "units"))).alias("requests"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<request_id:bigint,allowed:boolean,used:bigint>>").alias("out"))
 
-    def step(acc, r):
-        fits = acc["used"] + r["units"] <= included
-        used = F.when(fits, acc["used"] + r["units"]).otherwise(acc["used"]).cast("long")
-        row = F.struct(r["request_id"].cast("long").alias("request_id"), fits.alias("allowed"), used.alias("used"))
-        return F.struct(used.alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def step(used: int, ts, request_id, units):
+        fits = None if units is None else used + units <= included
+        used = int(used + units) if fits else used
+        return used, fits, used
 
-    folded = F.aggregate("requests", start, step, lambda acc: acc["out"])
-    return grouped.select("api_key", "day", F.inline(folded))
+    rows = df.select("api_key", F.date_trunc("day", "ts").alias("day"), "ts", F.col("request_id").cast("long").alias("request_id"), "units")
+    results = [("allowed", pa.bool_()), ("used", pa.int64())]
+    done = _in_order(rows, ["api_key", "day"], ["ts", "request_id", "units"], 0, step, results, "allowed boolean, used long")
+    return done.select("api_key", "day", "request_id", "allowed", "used")
 
 
 def usage_by_window(df: DataFrame, unit: str) -> DataFrame:
@@ -92,21 +119,20 @@ def blob_index(df: DataFrame) -> DataFrame:
 def token_bucket(df: DataFrame, capacity: float, per_second: float, start_full: bool = True) -> DataFrame:
     """``request_id, allowed`` under a bucket that refills all the time; one token a request.
 
-    The level depends on every request before, so a key's requests are folded in
+    The level depends on every request before, so a key's requests stream in
     order of time and id.
     """
-    grouped = df.groupBy("api_key").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "request_id"))).alias("requests"))
-    start = F.struct(
-        F.lit(capacity if start_full else 0.0).alias("level"), F.lit(None).cast("long").alias("at"), F.array().cast("array<struct<request_id:bigint,allowed:boolean>>").alias("out")
-    )
 
-    def step(acc, r):
-        waited = F.coalesce(r["ms"] - acc["at"], F.lit(0))
-        level = F.least(F.lit(capacity), acc["level"] + waited * F.lit(per_second / 1000))
-        row = F.struct(r["request_id"].cast("long").alias("request_id"), (level >= 1).alias("allowed"))
-        return F.struct(F.when(level >= 1, level - 1).otherwise(level).alias("level"), r["ms"].alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def step(state: tuple, ms, request_id):
+        level, at = state
+        waited = 0 if ms is None or at is None else ms - at
+        level = min(capacity, level + waited * (per_second / 1000))
+        return (level - 1 if level >= 1 else level, ms), level >= 1
 
-    return grouped.select("api_key", F.inline(F.aggregate("requests", start, step, lambda acc: acc["out"])))
+    rows = df.select("api_key", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("request_id").cast("long").alias("request_id"))
+    start = (capacity if start_full else 0.0, None)
+    done = _in_order(rows, ["api_key"], ["ms", "request_id"], start, step, [("allowed", pa.bool_())], "allowed boolean")
+    return done.select("api_key", "request_id", "allowed")
 
 
 def robots_allow(robots: Column, path: Column, agent: str) -> Column:

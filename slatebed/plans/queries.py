@@ -490,6 +490,7 @@ def fn_watch_key(spark, sf_dir):
 
 def _replayed(spark: SparkSession, sf_dir: str, make, mode: str) -> DataFrame:
     """Runs a stream over the events table to its end and returns what it has written."""
+    import tempfile
     import uuid
 
     folder = f"{sf_dir}/events.parquet"
@@ -497,10 +498,20 @@ def _replayed(spark: SparkSession, sf_dir: str, make, mode: str) -> DataFrame:
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     kind = F.col("event_type")
     rows = raw.select(F.col("event_id").alias("request_id"), "ts", F.concat(F.lit("/v1/"), kind).alias("endpoint"), F.when(kind == "purchase", 2).when(kind == "view", 3).otherwise(1).alias("units"))
-    name = f"replay_{uuid.uuid4().hex}"
-    job = make(rows).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    out = make(rows)
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slatebed-")
+    path = f"{root.rstrip('/')}/slatebed/replay-{uuid.uuid4().hex}"
+    written = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+        written.append(number)
+
+    job = out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.table(name)
+    if not written:
+        return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(path).select(*out.columns)
 
 
 @query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, '/v1/' || event_type as endpoint, count(*) as requests, sum(case event_type when 'purchase' then 2 when 'view' then 3 else 1 end)::bigint as units from events group by all")
