@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -34,11 +34,15 @@ def lower_ascii(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir of the session.
 
-    Where the setting is absent (tests, a local session), a folder of this
-    machine is made once and remembered for the session.
+    Where the setting is absent, a session of this machine alone (local, as in
+    tests) makes a folder once and remembers it; a cluster is refused, as its
+    executors would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("slatebed.shared.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
         found = tempfile.mkdtemp(prefix="slatebed-")
         spark.conf.set("slatebed.shared.dir", found)
     return found.rstrip("/")
@@ -48,22 +52,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/slatebed/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the query that made them has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read back.
 
-    It cuts the lineage, so a lost executor costs a reread and no recomputing.
+    It cuts the lineage, so a lost executor costs a reread and no recomputing,
+    and nothing needs the shuffle files of the write any more.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table made by :func:`stored` that nothing reads any more."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables made by :func:`stored` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:
@@ -71,13 +86,17 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of jobs whose results are stored by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def numbered(df: DataFrame, carried: list[str], columns: list) -> DataFrame:
+    """``row, uid`` and the given expressions of every row, stored.
+
+    row holds the carried columns as they came, so none clashes with another;
+    uid tells rows apart that are alike. It is written down, as numbers given
+    anew at each reading need not be the same.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row")
+    return stored(df.select(whole, F.monotonically_increasing_id().alias("uid"), *columns), "numbered")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among ``ids(doc_id)``, a null one included, columns as they came."""
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    return docs.alias("d").join(ids.alias("k"), same, "left_semi").select(*(F.col(f"d.`{c}`") for c in docs.columns))
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows inside of ``row``, columns as they came."""
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import forget, release, stored, text_or_empty
+from slatebed.llm.common import forget, stored, text_or_empty
 from slatebed.llm.lyndon import suffix_arrays
 
 WINDOW, GRAM = 200, 64
@@ -173,7 +173,13 @@ def _repeated(groups: list[list[bytes]]) -> list[list[np.ndarray]]:
         for x, h in ((a, ha), (b, hb)):
             here = (x >= part) & (x < part + PIECE)
             h[here] = hashes(x[here] - part, x[here] - part + WINDOW)
-    equal = ha == hb
+    # equal hashes are looked at byte by byte
+    at = np.flatnonzero(ha == hb)
+    equal = np.zeros(len(a), bool)
+    views = np.lib.stride_tricks.sliding_window_view(data, WINDOW) if len(at) else data
+    for low in range(0, len(at), BLOCK // WINDOW):
+        some = at[low : low + BLOCK // WINDOW]
+        equal[some] = (views[a[some]] == views[b[some]]).all(axis=1)
     marked = np.zeros(len(data), bool)
     marked[a[equal]] = marked[b[equal]] = True
     starts = np.flatnonzero(marked)
@@ -319,7 +325,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         every.join(again, ["key", "seg"]).select("doc_id", "th", "low", (F.col("high") + WINDOW).alias("high")), "whole"
     )
     forget(spark, every)
-    release(spark)
     lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "single", "crowded", "low", "high")).alias("wanted"))
     t, w = texts.alias("t"), lists.alias("w")
     cut = stored(
@@ -328,7 +333,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .mapInArrow(_cut_batches, "key long, single boolean, crowded boolean, doc_id long, th long, low int, data binary"),
         "cut",
     )
-    release(spark)
     columns = ["key", "single", "doc_id", "th", "low", "data"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = cut.where("not crowded").select(columns).repartition(4 * parts, "key").sortWithinPartitions("key")
@@ -383,6 +387,11 @@ def without_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def op3_suffix_dedup(docs: DataFrame) -> DataFrame:
+    """The contract's columns; see :func:`without_repeats`.
+
+    Null texts are empty, rows that repeat are occurrences of each other, a
+    null doc_id is kept, other columns are ignored, an empty table gives no rows.
+    """
     return without_repeats(docs, ["doc_id"]).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
