@@ -5,14 +5,15 @@ piece a row, padded on the right. Each round every row merges its leftmost
 pair of least rank: the ranks of all adjacent pairs lie in a second matrix,
 filled from a hash table, so a round is one argmin, one write and one gather
 that closes the gaps. A round takes one column off every row that goes on,
-and rows without a pair left are taken out, so the matrices shrink.
+and rows without a pair left are taken out, so the matrices shrink. A very long
+piece is a row of its own and takes all places of its least pair in one round,
+up to the first whose merge makes a lesser pair.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from itertools import islice
 
@@ -26,8 +27,8 @@ from slatebed.llm.common import text_or_empty
 
 #: Cells of one matrix. Rows are taken up to it, so memory is bounded.
 CELLS = 1 << 20
-#: Rounds grow with the square of a row's length, so longer pieces go through
-#: a heap that takes the same pairs in the same order.
+#: Longer pieces are matrices of one row, which merges its least pair wherever
+#: it stands in one round, in the order of single merges.
 LONG_PIECE = 512
 #: Pieces whose ids a worker remembers; the memory is emptied when full.
 REMEMBERED = 300_000
@@ -87,13 +88,13 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pairs = {
+        pairs = {
             (ranks[token[:i]], ranks[token[i:]]): rank
             for token, rank in ranks.items()
             for i in range(1, len(token))
             if token[:i] in ranks and token[i:] in ranks
         }
-        self.merged = PairTable(self.pairs)
+        self.merged = PairTable(pairs)
         self.known: dict[str, bytes] = {}
 
     # -- pieces to ids
@@ -153,24 +154,37 @@ class ByteBpe:
             ranks[here[right], best[right]] = self.merged(ids[here[right], best[right]], ids[here[right], best[right] + 1])
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        pairs = self.pairs
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := pairs.get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return np.array([x for x, there in zip(ids, alive) if there], np.int32)
+        """A matrix of one row: each round merges the least pair in all places that single rounds would take in a row.
+
+        Rounds are as many as the piece has kinds of merges, not as many as it
+        has bytes. A merge may make a pair of lesser rank with a neighbour, which
+        single rounds would take next, so a round ends with the first such one.
+        """
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.merged(ids[:-1], ids[1:])
+        while len(ranks) and (rank := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == rank)
+            # of places in a row, which overlap, the first, third and so on
+            run = np.concatenate(([0], np.flatnonzero(np.diff(at) > 1) + 1))
+            in_run = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+            at = at[in_run % 2 == 0]
+            new = np.full(len(at), rank, np.int32)
+            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            joined = np.concatenate(([False], np.diff(at) == 2))  # the place before has just been merged
+            before = np.where(joined, rank, np.where(at > 0, ids[np.maximum(at - 1, 0)], -1)).astype(np.int32)
+            lesser = np.minimum(self.merged(before, new), self.merged(new, after)) < rank
+            at = at[: int(np.argmax(lesser)) + 1] if lesser.any() else at
+            ids[at] = rank
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            ranks = ranks[np.delete(keep, -1)] if keep[-1] else ranks[keep[:-1]][:-1]
+            here = np.flatnonzero(keep)
+            at = np.searchsorted(here, at)
+            for side in (at - 1, at):
+                side = side[(side >= 0) & (side < len(ids) - 1)]
+                ranks[side] = self.merged(ids[side], ids[side + 1])
+        return ids
 
     # -- texts to ids and back
 
