@@ -11,10 +11,12 @@ whole table's; templates with over half blocked are rejected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import small, stored
+from slatebed.llm.common import forget, small, stored
 
 #: verdict, host, path: a rule fits its host and subdomains and paths that start with its own.
 RULES = (
@@ -24,7 +26,6 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-LEVELS = 6
 #: A node with more children than this, and fewer pages a child, has variable children.
 MANY_CHILDREN, FEW_PAGES = 20, 5.0
 #: Standard errors from the siblings' common rate up to which a branch is merged.
@@ -34,6 +35,8 @@ FEWEST_LABELS = 5
 #: Labels that each smoothing prior counts for.
 PRIOR = 4.0
 REJECT = 0.5
+#: Nodes up to which they are broadcast; beyond, rows of one node are spread over so many tasks.
+FEW_NODES, SALTS = 200_000, 16
 #: Segments that name one thing: numbers with or without an ending, long hex or mixed codes.
 _IDENTIFIER = r"^(\d+(\.[A-Za-z]{1,5})?|[0-9a-fA-F-]{12,}|(?=.*\d)[A-Za-z0-9_=-]{16,})$"
 
@@ -55,18 +58,39 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
+def _looked_up(rows: DataFrame, nodes: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """Rows with what ``nodes`` has for their keys.
+
+    Few nodes are broadcast. Many are joined by a shuffle, in which the rows of
+    one key go to SALTS tasks by a hash of ``spread`` and its node to each of them.
+    """
+    nodes = stored(nodes, "nodes")
+    if nodes.limit(FEW_NODES + 1).count() <= FEW_NODES:
+        return rows.join(F.broadcast(nodes), keys, how)
+    salted = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def path_templates(urls: DataFrame) -> DataFrame:
     """``urls(host, path, n, labelled, blocked)`` with the column ``template`` added.
 
-    The tree is grown a level at a time; what is left below the last level is
-    one wildcard. Each level is two aggregations by host and node.
+    The tree is grown a level at a time, as deep as the longest path. Each
+    level is two aggregations by host and node; paths that have ended are laid
+    aside and not read again.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = urls.withColumn("parts", F.transform(parts, lambda s: F.when(s.rlike(_IDENTIFIER), F.lit("*")).otherwise(s))).withColumn("template", F.lit("/"))
-    for level in range(LEVELS):
-        here = rows.withColumn("child", F.get("parts", F.lit(level)))
-        children = here.where("child is not null").groupBy("host", "template", "child").agg(
-            F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")
+    named = F.transform(parts, lambda s: F.when(s.rlike(_IDENTIFIER), F.lit("*")).otherwise(s))
+    rows = stored(urls.withColumn("parts", named).withColumn("template", F.lit("/")), "urls")
+    ended, level = [], 0
+    while True:
+        ended.append(rows.where(F.size("parts") <= level).select(*urls.columns, "template"))
+        here = rows.where(F.size("parts") > level).withColumn("child", F.get("parts", F.lit(level)))
+        if here.isEmpty():
+            return reduce(DataFrame.unionByName, ended)
+        children = stored(
+            here.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")),
+            "children",
         )
         nodes = children.groupBy("host", "template").agg(
             F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
@@ -75,26 +99,14 @@ def path_templates(urls: DataFrame) -> DataFrame:
         apart = F.abs(F.col("blocked") - F.col("labelled") * rate) / F.sqrt(rate * (1 - rate) * F.greatest(F.col("labelled"), F.lit(1)))
         variable = (F.col("kinds") > MANY_CHILDREN) & (F.col("all_n") / F.col("kinds") < FEW_PAGES)
         alike = (F.col("kinds") > 1) & (F.col("labelled") >= FEWEST_LABELS) & (apart <= SIMILAR)
-        named = children.join(nodes, ["host", "template"]).select(
-            "host",
-            "template",
-            "child",
-            F.when(variable, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("child")).alias("as"),
+        names = _looked_up(children, nodes, ["host", "template"], "child").select(
+            "host", "template", "child", F.when(variable, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("child")).alias("as")
         )
-        names = stored(named.where(F.col("as") != F.col("child")), "templates")
-        rows = stored(
-            here.join(small(names, 200_000), ["host", "template", "child"], "left").select(
-                *urls.columns,
-                "parts",
-                F.when(F.col("child").isNull(), F.col("template"))
-                .otherwise(F.concat("template", F.coalesce("as", "child"), F.lit("/")))
-                .alias("template"),
-            ),
-            "urls",
+        longer = _looked_up(here, names.where(F.col("as") != F.col("child")), ["host", "template", "child"], "path", "left").select(
+            *urls.columns, "parts", F.concat("template", F.coalesce("as", "child"), F.lit("/")).alias("template")
         )
-        if rows.where(F.size("parts") > level + 1).isEmpty():
-            break
-    return rows.withColumn("template", F.when(F.size("parts") > LEVELS, F.concat("template", F.lit("**"))).otherwise(F.col("template"))).drop("parts")
+        rows, level = stored(longer, "urls"), level + 1
+        forget(urls.sparkSession, children)
 
 
 def template_purity(rows: DataFrame) -> DataFrame:
@@ -107,7 +119,8 @@ def template_purity(rows: DataFrame) -> DataFrame:
     shapes = leaves.groupBy("template").agg(F.sum("labelled").alias("shape_l"), F.sum("blocked").alias("shape_b"))
     host_rate = smooth(F.col("host_b"), F.col("host_l"), F.lit(base))
     shape_rate = smooth(F.col("shape_b"), F.col("shape_l"), host_rate)
-    return leaves.join(hosts, "host").join(shapes, "template").select(
+    with_host = _looked_up(leaves, hosts, ["host"], "template")
+    return _looked_up(with_host, shapes, ["template"], "host").select(
         "host", "template", smooth(F.col("blocked"), F.col("labelled"), shape_rate).alias("purity")
     )
 
@@ -127,8 +140,8 @@ def url_verdicts(pages: DataFrame) -> DataFrame:
         F.sum(F.col("_rule").isNotNull().cast("long")).alias("labelled"),
         F.sum((F.coalesce(F.col("_rule.verdict"), F.lit("")) == "block").cast("long")).alias("blocked"),
     )
-    rows = path_templates(stored(urls, "urls"))
-    judged = rows.select("host", "path", "template").join(template_purity(rows), ["host", "template"])
+    rows = path_templates(urls)
+    judged = _looked_up(rows.select("host", "path", "template"), template_purity(rows), ["host", "template"], "path")
     learned = F.when(F.col("purity") > REJECT, F.lit("block")).otherwise(F.lit("allow"))
     return ruled.join(judged, ["host", "path"]).select(
         "page_id",
@@ -142,4 +155,9 @@ def url_verdicts(pages: DataFrame) -> DataFrame:
 
 
 def op10_url_templates(pages: DataFrame) -> DataFrame:
+    """The contract's columns, the template and its smoothed share of blocked labels; see :func:`url_verdicts`.
+
+    Rows that repeat are rows of their own; other columns are ignored; an empty
+    table gives no rows. Paths may have any number of segments.
+    """
     return url_verdicts(pages)
