@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slatebed.llm.imatch import FAMILIES, HASH_DIGITS, LEAST, MOST
+from slatebed.llm.imatch import HASH_DIGITS, LEAST, MOST, NONE, SETS, SUBSETS
 from slatebed.llm.quality import DUP_LINE_SHARE, HOST_LIMIT, SYMBOLS_A_WORD
 
 _GAP = r"'[ \x09-\x0D]+'"
@@ -28,8 +28,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from r join o on r.source is not distinct from o.source
 """
 
-_LEVELS = " || ".join(f"chr((113 - length(bin(('0x' || substr(md5('{k}:' || term), 1, 4))::int)))::int)" for k in range(FAMILIES))
-_SAME = "(list_sum(list_transform(range(1, {n} + 1), lambda i: ({a}[i] = {b}[i])::int)) / {n}.0::double)::double".replace("{n}", str(FAMILIES))
+_COUNT = "list_sum(list_transform(range(1, {n} + 1), lambda i: ({test})::int))".replace("{n}", str(SUBSETS))
+_LIKE = f"({_COUNT.format(test=f"{{a}}[i] = {{b}}[i] and {{a}}[i] <> '{NONE}'")}::double / {_COUNT.format(test=f"{{a}}[i] <> '{NONE}' or {{b}}[i] <> '{NONE}'")})::double"
 
 IMATCH = rf"""
 with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
@@ -37,15 +37,15 @@ e as (select *, coalesce(lead(t) over (order by doc_id), first_value(t) over (or
 f as (select *, substr(t, 1, (n - n // 2)::int) || substr(nt, 1, (n // 2)::int) as ed from e),
 x as (select doc_id, 0 as side, t from f union all select doc_id, 1, ed from f),
 u as (select doc_id, side, unnest(list_distinct(list_filter(regexp_split_to_array(lower(t), {_GAP}), lambda w: w <> ''))) as term from x),
-l as (select term, {_LEVELS} as levels from u where side = 0 group by term
+l as (select term from u where side = 0 group by term
   having count(*) between greatest(2, ceil({LEAST}::double * (select count(*) from d))) and greatest(2, floor({MOST}::double * (select count(*) from d)))),
-k as (select doc_id, side, k, term, substr(levels, k::int, 1) as level from u join l using (term), range(1, {FAMILIES + 1}) r(k)),
-m as (select *, max(level) over (partition by doc_id, side, k) as top from k),
-h as (select doc_id, side, k, substr(md5(string_agg(term, ' ' order by term)), 1, {HASH_DIGITS}) as h from m where level = top group by doc_id, side, k),
-q as (select doc_id, side, list(h order by k) as fp from h group by doc_id, side),
-z as (select x.doc_id, x.side, coalesce(fp, list_transform(range(0, {FAMILIES}), lambda i: substr(md5(t), 1, {HASH_DIGITS}))) as fp from x left join q on x.doc_id = q.doc_id and x.side = q.side),
+s as (select term, k from l, range(0, {SUBSETS}) r(k) where ('0x' || substr(md5(k || ':' || term), 1, 3))::int < (4096 >> (k // {SETS} + 1)::int)),
+h as (select doc_id, side, k, substr(md5(string_agg(term, ' ' order by term)), 1, {HASH_DIGITS}) as h from u join s using (term) group by doc_id, side, k),
+m as (select doc_id, side, map(list(k), list(h)) as hs from h group by doc_id, side),
+z as (select x.doc_id, x.side, case when hs is null then list_transform(range(0, {SUBSETS}), lambda i: substr(md5(t), 1, {HASH_DIGITS}))
+  else list_transform(range(0, {SUBSETS}), lambda i: coalesce(hs[i], '{NONE}')) end as fp from x left join m on x.doc_id = m.doc_id and x.side = m.side),
 y as (select f.doc_id, f.n, sha256(f.ed) as edited_sha256, a.fp as fp, b.fp as efp from f join z a on a.doc_id = f.doc_id and a.side = 0 join z b on b.doc_id = f.doc_id and b.side = 1),
 o as (select *, coalesce(lead(fp) over (order by doc_id), first_value(fp) over (order by doc_id)) as nfp from y)
 select doc_id, n::bigint as n_chars, edited_sha256, array_to_string(fp, '') as fingerprint, array_to_string(efp, '') as edited_fingerprint,
-  {_SAME.format(a='fp', b='efp')} as near_edited, {_SAME.format(a='fp', b='nfp')} as near_next from o
+  {_LIKE.format(a='fp', b='efp')} as near_edited, {_LIKE.format(a='fp', b='nfp')} as near_next from o
 """
