@@ -8,8 +8,10 @@ likelihood. Its forward-backward marginals say how likely each token is to be
 toxic; a logistic model turns a document's marginals into its score.
 
 The chain is run as odds: with two states the forward and the backward message
-are one number each, and a document's tokens are steps for all documents of a
-batch at once.
+are one number each. Texts are cut into pieces of WIDTH tokens that are steps
+for all pieces of a batch at once; what a piece does to a message is a matrix
+of two by two, by which the messages at its ends are carried over from piece to
+piece, so a text of any length has the marginals of one chain.
 """
 
 from __future__ import annotations
@@ -26,15 +28,20 @@ from pyspark.sql import functions as F
 
 from slatebed.llm.common import text_or_empty
 
-#: Labelled documents to learn from, at most, of each label. They are those
-#: with the least hashes of doc_id, so a sample is the same on every run.
-MOST_TOXIC, MOST_CLEAN = 2000, 3500
+#: Labelled documents to learn from, at most, of each label, and bytes of their
+#: texts. They are those with the least hashes of doc_id, so a sample is the
+#: same on every run. All of their tokens are learned from.
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 2000, 3500, 1 << 26
 #: A feature marks tokens if its log odds are so large, and so many standard
 #: errors (the root of the likelihood ratio) from none.
 LOG_ODDS, ERRORS, FEWEST_DOCS = 1.2, 4.5, 4
-FEATURES, STEPS, PRIOR = 30_000, 60, 1e-4
-#: Cells of a matrix of documents by tokens, and words a worker remembers.
-CELLS, REMEMBERED = 1 << 21, 400_000
+STEPS, PRIOR = 100, 1e-4
+#: Tokens of a piece, cells of a matrix of pieces by tokens, and words a worker remembers.
+WIDTH, CELLS, REMEMBERED = 256, 1 << 20, 400_000
+#: Tokens of a piece in learning, which has the last token of the one before as its first.
+LEARNED_WIDTH, LEARNED_ROWS = 32, 1 << 14
+#: Odds of a token whose state is known.
+GIVEN = 1e9
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -60,22 +67,33 @@ class Model:
         return self.bias + sum(get(f, 0.0) for f in word_features(word))
 
 
-def chain(odds: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward odds of state 1 for ``odds[document, token]`` of emissions.
+def chain(
+    odds: np.ndarray, moves: np.ndarray, inside: np.ndarray | None = None, before: np.ndarray | None = None, after: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward odds of state 1 for ``odds[piece, token]`` of emissions.
 
-    Padding at the end has odds one; marginal odds are the product of the two.
+    Marginal odds are the product of the two. Tokens outside of ``inside``, at
+    the end of a row, have odds one and send nothing back. ``before`` has the
+    forward odds of the token before each piece, not a number where there is
+    none; ``after`` the backward odds at its last token, one where nothing follows.
     """
     stay0, up, down, stay1 = np.exp(moves).ravel()
     forward, backward = np.empty_like(odds), np.ones_like(odds)
     r = odds[:, 0].copy()
+    if before is not None:
+        r = np.where(np.isnan(before), r, r * (up + before * stay1) / (stay0 + before * down))
     forward[:, 0] = r
     for t in range(1, odds.shape[1]):
         r = odds[:, t] * (up + r * stay1) / (stay0 + r * down)
         forward[:, t] = r
-    b = np.ones(len(odds))
+    b = np.ones(len(odds)) if after is None else after
+    backward[:, -1] = b
+    start = b
     for t in range(odds.shape[1] - 2, -1, -1):
         x = odds[:, t + 1] * b
         b = (down + stay1 * x) / (stay0 + up * x)
+        if inside is not None:
+            b = np.where(inside[:, t + 1], b, start)
         backward[:, t] = b
     return forward, backward
 
@@ -94,39 +112,72 @@ def document_features(marginals: np.ndarray, starts: np.ndarray, sizes: np.ndarr
 def marginals(emissions: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Probability of state 1 of each token, for documents laid end to end."""
     out = np.empty(len(emissions))
-    starts = np.cumsum(sizes) - sizes
-    order = np.argsort(sizes, kind="stable")
-    order = order[sizes[order] > 0]
+    odds = np.exp(np.clip(emissions, -30, 30))
+    pieces = -(-sizes // WIDTH)
+    of = np.repeat(np.arange(len(sizes)), pieces)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = (np.cumsum(sizes) - sizes)[of] + place * WIDTH
+    lengths = np.minimum(sizes[of] - place * WIDTH, WIDTH)
+    before, after = np.full(len(of), np.nan), np.ones(len(of))
+    long = np.flatnonzero(pieces[of] > 1)
+    if len(long):
+        through = np.empty((len(of), 2, 2))
+        for rows, cells, inside in _matrices(long, starts, lengths):
+            through[rows] = _transfers(np.where(inside, odds[cells], 1.0), inside, place[rows] == 0, moves)
+        _carry(through, long, of, place, pieces, before, after)
+    for rows, cells, inside in _matrices(np.arange(len(of)), starts, lengths):
+        f, b = chain(np.where(inside, odds[cells], 1.0), moves, inside, before[rows], after[rows])
+        both = f * b
+        out[cells[inside]] = (both / (1 + both))[inside]
+    return out
+
+
+def _matrices(pieces: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of similar length, the places of their tokens and which places are theirs."""
+    order = pieces[np.argsort(lengths[pieces], kind="stable")]
     at = 0
     while at < len(order):
-        end = at + 1
-        limit = max(16, int(1.3 * sizes[order[at]]))
-        while end < len(order) and sizes[order[end]] <= limit and (end - at + 1) * sizes[order[end]] <= CELLS:
-            end += 1
+        limit = max(16, int(1.3 * lengths[order[at]]))
+        end = min(int(np.searchsorted(lengths[order], limit, side="right")), at + max(1, CELLS // limit))
         rows = order[at:end]
-        width = int(sizes[rows[-1]])
-        inside = np.arange(width) < sizes[rows][:, None]
-        where = (starts[rows][:, None] + np.arange(width))[inside]
-        odds = np.ones(inside.shape)
-        odds[inside] = np.exp(np.clip(emissions[where], -30, 30))
-        # columns past a text's end must not send anything back: the backward pass starts at its last token
-        f, b = chain(odds, moves) if inside.all() else _ragged(odds, inside, moves)
-        both = f * b
-        out[where] = (both / (1 + both))[inside]
+        steps = np.arange(int(lengths[rows[-1]]))
+        inside = steps < lengths[rows][:, None]
+        yield rows, np.where(inside, starts[rows][:, None] + steps, starts[rows][:, None]), inside
         at = end
-    return out
 
 
-def _ragged(odds: np.ndarray, inside: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    forward, _ = chain(odds, moves)
+def _transfers(odds: np.ndarray, inside: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """What each piece does to the two weights of a message, up to a factor.
+
+    The first piece of a text takes no message; its first column is the message
+    that it sends on.
+    """
     stay0, up, down, stay1 = np.exp(moves).ravel()
-    backward = np.ones_like(odds)
-    b = np.ones(len(odds))
-    for t in range(odds.shape[1] - 2, -1, -1):
-        x = odds[:, t + 1] * b
-        b = np.where(inside[:, t + 1], (down + stay1 * x) / (stay0 + up * x), 1.0)
-        backward[:, t] = b
-    return forward, backward
+    state = np.tile(np.eye(2), (len(odds), 1, 1))
+    state[first, :, 0] = np.stack((np.ones(first.sum()), odds[first, 0]), axis=1)
+    for t in range(odds.shape[1]):
+        zero = stay0 * state[:, 0] + down * state[:, 1]
+        one = odds[:, t, None] * (up * state[:, 0] + stay1 * state[:, 1])
+        total = (zero + one).sum(axis=1, keepdims=True)
+        goes = inside[:, t] & ~(first & (t == 0))
+        state[goes, 0], state[goes, 1] = (zero / total)[goes], (one / total)[goes]
+    return state
+
+
+def _carry(through: np.ndarray, long: np.ndarray, of: np.ndarray, place: np.ndarray, pieces: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+    """Fills in the message odds at the ends of the pieces of long texts."""
+    for first in long[place[long] == 0].tolist():
+        last = first + int(pieces[of[first]]) - 1
+        v = through[first, :, 0]
+        for i in range(first + 1, last + 1):
+            before[i] = v[1] / v[0]
+            v = through[i] @ v
+            v = v / v.sum()
+        w = np.ones(2)
+        for i in range(last, first, -1):
+            w = through[i].T @ w
+            w = w / w.sum()
+            after[i - 1] = w[1] / w[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -176,12 +227,12 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     odds = np.log((counts[1] + 0.5) / (n1 + 1)) - np.log((counts[0] + 0.5) / (n0 + 1))
     marks = (odds > LOG_ODDS) & (_deviance(counts, np.array([n0, n1], float)) > ERRORS**2)
     marked_word = np.array([marks[f].any() for f in features_of])
-    # features of the chain: those that mark, then the commonest ones of words that are marked
+    # features of the chain: those that mark and all of words that are marked
     near = np.zeros(len(names))
     for w in np.flatnonzero(marked_word):
         near[features_of[w]] += 1
     ranked = np.lexsort((np.arange(len(names)), -near, ~marks))
-    ranked = ranked[(marks | (near > 0))[ranked]][:FEATURES]
+    ranked = ranked[(marks | (near > 0))[ranked]]
     kept = [names[i] for i in ranked]
     index = np.full(len(names), -1)
     index[ranked] = np.arange(len(ranked))
@@ -189,46 +240,48 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     feature = index[np.concatenate(features_of)] if len(words) else np.zeros(0, np.int64)
     of_word, feature = of_word[feature >= 0], feature[feature >= 0]
     del features_of
-    # training pieces of fixed length, every token of every text in one
-    width = 32
-    pieces, labels, inside = [], [], []
+    # pieces of fixed length that overlap by a token, so that every move from token to token is in one of them
+    steps = np.arange(LEARNED_WIDTH)
+    parts: list[tuple[np.ndarray, ...]] = []
     for tokens, label in zip(docs, toxic):
-        if not len(tokens):
-            continue
-        y = marked_word[tokens] & bool(label)
-        pad = -len(tokens) % width
-        pieces.append(np.pad(tokens, (0, pad)))
-        labels.append(np.pad(y, (0, pad)))
-        inside.append(np.pad(np.ones(len(tokens), bool), (0, pad)))
-    token = np.concatenate(pieces).reshape(-1, width)
-    y = np.concatenate(labels).reshape(-1, width)
-    real = np.concatenate(inside).reshape(-1, width)
-    # pieces without a word that any feature knows are alike to the chain if they are as long: one of each length, weighted
+        if len(tokens):
+            at = np.arange(0, max(1, len(tokens) - 1), LEARNED_WIDTH - 1)[:, None] + steps
+            real = at < len(tokens)
+            piece = tokens[np.minimum(at, len(tokens) - 1)]
+            parts.append((piece, real, real & ((steps > 0) | (at == 0)), marked_word[piece] & bool(label) & real))
+    token, real, own, y = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    del parts
+    # pieces without a word that any feature knows are alike to the chain if they are as long: one of each kind, weighted
     known = np.bincount(of_word, minlength=len(words)) > 0
     plain = ~(known[token] & real).any(axis=1)
-    _, at, times = np.unique(real[plain].sum(axis=1), return_index=True, return_counts=True)
+    _, at, times = np.unique(2 * real[plain].sum(axis=1) + own[plain, 0], return_index=True, return_counts=True)
     rows = np.concatenate((np.flatnonzero(~plain), np.flatnonzero(plain)[at]))
     weight = np.concatenate((np.ones((~plain).sum()), times))[:, None]
-    token, y, real = token[rows], y[rows], real[rows]
+    token, y, real, own = token[rows], y[rows], real[rows], own[rows]
     weights, bias, moves = np.zeros(len(kept)), -4.0, np.log(np.array([[0.95, 0.05], [0.6, 0.4]]))
     g2w, g2b, g2m = np.full(len(kept), 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    n = (real * weight).sum()
+    n = (own * weight).sum()
     for _ in range(STEPS):
         of = np.bincount(of_word, weights[feature], len(words)) + bias
-        odds = np.where(real, np.exp(np.clip(of[token], -30, 30)), 1.0)
-        f, b = _ragged(odds, real, moves) if not real.all() else chain(odds, moves)
-        both = f * b
-        gap = np.where(real, y - both / (1 + both), 0.0) * weight
-        by_word = np.bincount(token.ravel(), gap.ravel(), len(words))
+        by_word, grad_m, e = np.zeros(len(words)), np.zeros(4), np.exp(moves)
+        for low in range(0, len(token), LEARNED_ROWS):
+            part = slice(low, low + LEARNED_ROWS)
+            here, label = real[part], y[part]
+            odds = np.where(here, np.exp(np.clip(of[token[part]], -30, 30)), 1.0)
+            # what the piece before has ended with is given
+            odds[:, 0] = np.where(own[part, 0], odds[:, 0], np.where(label[:, 0], GIVEN, 1 / GIVEN))
+            f, b = chain(odds, moves, here)
+            both = f * b
+            gap = np.where(own[part], label - both / (1 + both), 0.0) * weight[part]
+            by_word += np.bincount(token[part].ravel(), gap.ravel(), len(words))
+            x = odds[:, 1:] * b[:, 1:]
+            joint = np.stack([np.ones_like(x) * e[0, 0], e[0, 1] * x, f[:, :-1] * e[1, 0], f[:, :-1] * e[1, 1] * x])
+            joint /= joint.sum(axis=0)
+            seen = np.stack([~label[:, :-1] & ~label[:, 1:], ~label[:, :-1] & label[:, 1:], label[:, :-1] & ~label[:, 1:], label[:, :-1] & label[:, 1:]])
+            grad_m += ((seen - joint) * (here[:, 1:] * weight[part])).sum(axis=(1, 2))
         grad_w = np.bincount(feature, by_word[of_word], len(kept)) / n - PRIOR * weights
-        grad_b = gap.sum() / n
-        x = odds[:, 1:] * b[:, 1:]
-        e = np.exp(moves)
-        joint = np.stack([np.ones_like(x) * e[0, 0], e[0, 1] * x, f[:, :-1] * e[1, 0], f[:, :-1] * e[1, 1] * x])
-        joint /= joint.sum(axis=0)
-        pair = real[:, 1:] * weight
-        seen = np.stack([(~y[:, :-1] & ~y[:, 1:]), (~y[:, :-1] & y[:, 1:]), (y[:, :-1] & ~y[:, 1:]), (y[:, :-1] & y[:, 1:])])
-        grad_m = (((seen - joint) * pair).sum(axis=(1, 2)) / n).reshape(2, 2)
+        grad_b = by_word.sum() / n
+        grad_m = grad_m.reshape(2, 2) / n
         g2w, g2b, g2m = g2w + grad_w**2, g2b + grad_b**2, g2m + grad_m**2
         weights += 0.5 * grad_w / np.sqrt(g2w)
         bias += 0.3 * grad_b / np.sqrt(g2b)
@@ -294,13 +347,30 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
-    """Fits on labelled documents whose fold is not 0; several labels of one count as toxic if any is."""
+    """Fits on labelled documents whose fold is not 0.
+
+    Several labels of one doc_id count as toxic if any is; a null label is
+    none. Different texts of one doc_id are documents of their own, equal ones
+    are one. Of each label at most MOST_TOXIC or MOST_CLEAN come to the driver,
+    and no more whole texts than MOST_BYTES hold: the bound of the sample,
+    whatever the tables have. Without labelled documents the model is constant.
+    """
     marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id"), folds) != 0)
+    every = docs.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
     texts, label = [], []
     for value, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
         some = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id").select("text")
-        found = rows.toArrow()["text"].to_pylist()
+        theirs = every.join(F.broadcast(some.select("doc_id")), "doc_id")  # so many rows at most
+        about = theirs.select("doc_id", "th", F.octet_length("text").alias("size")).distinct()
+        first = about.orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(most).collect()
+        chosen, left = [], MOST_BYTES
+        for row in first:
+            left -= row["size"]
+            if left < 0:
+                break
+            chosen.append((row["doc_id"], row["th"]))
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, th long"))
+        found = theirs.join(wanted, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("text").alias("text")).toArrow()["text"].to_pylist()
         texts += found
         label += [value] * len(found)
     order = sorted(range(len(texts)), key=lambda i: (label[i], texts[i]))  # the same model whatever the order of rows
@@ -328,6 +398,12 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_crf_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns, the number of toxic spans and their offsets in code points.
+
+    Null and empty texts have the score of a text without tokens; rows that
+    repeat are each scored; a null doc_id has the fold of an empty text; other
+    columns are ignored; an empty table gives no rows.
+    """
     scored = toxicity(docs, learn(docs, labels))
     return scored.select(
         "doc_id",
