@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import forget, small, stored, text_or_empty, words
+from slatebed.llm.common import forget, numbered, small, stored, text_or_empty, unpacked, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST_COPIES = 1.5, 2
@@ -26,9 +26,9 @@ GROUP = 8192
 FEW_SOURCES = 100_000
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size``; a null text has size 0."""
-    return docs.select("doc_id", "source", F.size(words(text_or_empty())).cast("long").alias("size"))
+def document_sizes(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """``row, uid, doc_id, source, size`` of every row, stored; a null text has size 0."""
+    return numbered(docs, carried, ["doc_id", "source", F.size(words(text_or_empty())).cast("long").alias("size")])
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -133,8 +133,8 @@ def dual_variables(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return stored(found.select("source", "mean", F.when(~full, F.col("t")).alias("t")), "tilts")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate, copies`` for every row.
+def mix(sizes: DataFrame) -> DataFrame:
+    """``uid, doc_id, source, size, source_size, target, rate, copies`` for rows of :func:`document_sizes`.
 
     Rates are rounded within groups of a source, largest documents first, so
     that the copies of any number of first documents add up to their rates to
@@ -144,7 +144,7 @@ def mix(docs: DataFrame) -> DataFrame:
     sources of nothing else, take one copy and no words. Rows that repeat a
     doc_id are documents of their own.
     """
-    sizes = stored(document_sizes(docs), "docsizes")
+    sizes = sizes.select("uid", "doc_id", "source", "size")
     targets = stored(source_targets(sizes), "targets")
     tilts = dual_variables(sizes, targets)
     d, s = sizes.alias("d"), small(targets, FEW_SOURCES).alias("s")
@@ -158,18 +158,19 @@ def mix(docs: DataFrame) -> DataFrame:
         .cast("long")
         .alias("rate"),
     )
-    lot = F.xxhash64("doc_id")
-    grouped = rated.withColumn("lot", lot).withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("n_docs") / GROUP)))
+    # rows that repeat a doc_id are spread by their size, and are alike where that is the same
+    lot = F.xxhash64("doc_id", "size")
+    grouped = rated.withColumn("lot", lot).withColumn("group", F.pmod(F.xxhash64("doc_id", "size", F.lit(1)), F.ceil(F.col("n_docs") / GROUP)))
     part = F.pmod("rate", F.lit(ONE))
     seen = F.sum(part).over(
-        Window.partitionBy("source", "group").orderBy(F.desc("size"), "lot", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("source", "group").orderBy(F.desc("size"), "lot", "doc_id", "uid").rowsBetween(Window.unboundedPreceding, 0)
     )
     half = F.lit(ONE // 2)
     copies = F.floor(F.col("rate") / ONE) + F.floor((F.col("seen") + half) / ONE) - F.floor((F.col("seen") - part + half) / ONE)
     rounded = stored(
         grouped.withColumn("seen", seen)
         .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "rate", "copies"),
+        .select("uid", "doc_id", "source", "size", "source_size", "target", "rate", "copies"),
         "rounded",
     )
     sums = rounded.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"))
@@ -181,36 +182,36 @@ def mix(docs: DataFrame) -> DataFrame:
         r.join(g, F.col("r.source").eqNullSafe(F.col("g.source")))
         .where(can & (miss < F.abs("gap")))
         .groupBy("r.source")
-        .agg(F.min(F.struct(miss.alias("miss"), F.col("doc_id"), F.signum("gap").cast("long").alias("by"))).alias("best"))
-        .select("source", "best.doc_id", "best.by")
+        .agg(F.min(F.struct(miss.alias("miss"), F.col("doc_id"), F.col("uid"), F.signum("gap").cast("long").alias("by"))).alias("best"))
+        .select("best.uid", "best.by")
     )
-    r, n = rounded.alias("r"), small(nudge, FEW_SOURCES).alias("n")
-    return r.join(
-        n, F.col("r.source").eqNullSafe(F.col("n.source")) & F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")), "left"
-    ).select(
-        "r.doc_id",
-        "r.source",
-        "r.size",
-        "r.source_size",
-        "r.target",
-        (F.col("r.rate") / ONE).alias("rate"),
-        F.greatest(F.lit(0), F.least(F.lit(MOST_COPIES), F.col("r.copies") + F.coalesce("n.by", F.lit(0)))).cast("long").alias("copies"),
+    return rounded.join(small(stored(nudge, "nudge"), FEW_SOURCES), "uid", "left").select(
+        "uid",
+        "doc_id",
+        "source",
+        "size",
+        "source_size",
+        "target",
+        (F.col("rate") / ONE).alias("rate"),
+        F.greatest(F.lit(0), F.least(F.lit(MOST_COPIES), F.col("copies") + F.coalesce("by", F.lit(0)))).cast("long").alias("copies"),
     )
 
 
 def op9_entropy_mix(docs: DataFrame) -> DataFrame:
-    return mix(docs).select(
+    """The contract's columns, the rate and the copies of each row.
+
+    Null texts have size 0 and take nothing; a null source is the last of the
+    sources; rows that repeat are rows of their own; other columns are ignored.
+    An empty table gives no rows.
+    """
+    return mix(document_sizes(docs, ["doc_id"])).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies"
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, columns as they came.
-
-    Rows that share a doc_id are taken as often as the one of them taken most.
-    """
-    most = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    d, m = docs.alias("d"), most.alias("m")
-    times = F.explode(F.sequence(F.lit(1), F.col("m.copies")))
-    taken = d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select(F.struct("d.*").alias("row"), times.alias("time"))
-    return taken.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    """The rows as often as the mix takes each, columns as they came."""
+    sizes = document_sizes(docs, docs.columns)
+    copies = mix(sizes).where("copies > 0").select("uid", "copies")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("time")
+    return unpacked(sizes.select("row", "uid").join(copies, "uid").select("row", times), docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import stored, text_or_empty, with_ids, words
+from slatebed.llm.common import small, stored, text_or_empty, unpacked, words
 
 #: A host's documents all go if more than this share is expected to fail.
 HOST_LIMIT = 0.6
@@ -23,15 +23,22 @@ DUP_LINE_SHARE = 0.5
 WINDOW_WORDS = 5
 
 
-def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
+#: Hosts up to which their verdicts are broadcast.
+FEW_HOSTS = 200_000
+
+
+def document_rules(docs: DataFrame, host: str = "source", whole_rows: bool = False) -> DataFrame:
     """``doc_id, host`` and the counts of each whole text; nulls count as empty.
 
-    Five-word windows are compared by 64-bit hashes of their words' hashes, and
+    With ``whole_rows`` each comes with its row, as the struct ``row``. Five-word windows are compared by 64-bit hashes of their words' hashes, and
     sorted where a text repeats one: n log n for any text.
     """
     text = F.col("_text")
-    one = docs.select("doc_id", F.col(host).alias("host"), text_or_empty().alias("_text"))
+    kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * whole_rows
+    one = docs.select(*kept, "doc_id", F.col(host).alias("host"), text_or_empty().alias("_text"))
+    kept = ["row"] * whole_rows
     two = one.select(
+        *kept,
         "doc_id",
         "host",
         words(text).alias("_words"),
@@ -41,6 +48,7 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
         F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \x09-\x0D]")).alias("_lines"),
     )
     three = two.select(
+        *kept,
         "doc_id",
         "host",
         F.size("_words").alias("_n"),
@@ -88,6 +96,7 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
         lambda acc: acc["sum"],
     )
     return six.select(
+        *kept,
         "doc_id",
         "host",
         n.cast("long").alias("n_words"),
@@ -127,13 +136,13 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     )
 
 
-def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
+def quality_verdicts(docs: DataFrame, host: str = "source", whole_rows: bool = False) -> DataFrame:
     """Counts, rules and verdicts, one row per document.
 
     A null host is a host of its own. Documents without a word fail the first
     rule. Ties at a limit are kept. Repeated rows are judged each and counted each.
     """
-    counts = stored(document_rules(docs, host), "quality")
+    counts = stored(document_rules(docs, host, whole_rows), "quality")
     rules = counts.withColumns(
         {
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
@@ -142,7 +151,7 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
         }
     )
     rules = rules.withColumn("failed", F.col("base_failed") | F.col("symbols_failed") | F.col("lines_failed"))
-    hosts = host_verdicts(rules)
+    hosts = small(stored(host_verdicts(rules), "hosts"), FEW_HOSTS)
     return (
         rules.alias("r")
         .join(hosts.alias("h"), F.col("r.host").eqNullSafe(F.col("h.host")), "left")
@@ -152,12 +161,21 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def op6_host_quality(docs: DataFrame) -> DataFrame:
+    """The contract's columns and the host's expected rate of failures.
+
+    Null texts have no words and fail; a null source is a host of its own; rows
+    that repeat are judged each; other columns are ignored. An empty table
+    gives no rows.
+    """
     return quality_verdicts(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate")
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, columns as they came."""
-    kept = quality_verdicts(docs).where("kept").select("doc_id").distinct()
-    return with_ids(docs, kept)
+    """The rows that the rules keep, columns as they came.
+
+    Each row is judged by itself, also where rows share a doc_id: rows are
+    written once with their verdicts and read again, so no text is shuffled.
+    """
+    return unpacked(quality_verdicts(docs, whole_rows=True).where("kept"), docs.columns)

@@ -8,6 +8,13 @@ l = 1..3, 1 for l = 4..7 and 2 for l = 8. So the first three segments agree,
 and of the next four at most one bit differs, which leaves the first two or
 the last two of them alike: 40 bits that agree exactly and serve as the key of
 an equi-join. The chain condition is then checked whole, then the distance.
+
+Two bits find close copies. For texts that share a given part of their
+shingles, the ring is laid over the shingles themselves: their hashes fall
+into segments, the differences of all segments together are bounded by the
+similarity, so some segment of texts that are alike enough has no difference
+at all, but for rare luck. Equal segments are keys, candidates are checked by
+the distance of the fingerprints and then by their shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import stored, text_or_empty, with_ids
+from slatebed.llm.common import numbered, small, stored, text_or_empty, unpacked
 from slatebed.llm.components import connected_components
 
 TAU, SEGMENTS, WIDTH = 2, 8, 8
@@ -28,6 +35,15 @@ SHINGLE_WORDS, SEED = 3, 42
 #: Fingerprints that share one key beyond this count are linked through their
 #: common neighbours at distance one instead of pair by pair; no link is lost.
 CROWDED = 48
+#: Stage of near copies: words of a shingle, shared part of all shingles of two texts.
+NEAR_WORDS, NEAR = 5, 0.8
+#: Bits in which texts of that similarity may differ: the expected 9.7 and four standard deviations.
+NEAR_BITS = 21
+#: Shingles of a segment of the ring, about, and segments of a text that serve as keys.
+SEGMENT_SHINGLES, RING = 3, 64
+#: Losers up to which they are broadcast; beyond, rows and losers are joined by a shuffle.
+FEW_ROWS = 2_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SLICE = 1 << 16
 
@@ -139,33 +155,162 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that can be reached over fingerprints
     that differ in at most two bits. Equal fingerprints, also those of empty
     and null texts (zero), are one class from the start. Rows that repeat a
-    doc_id keep a row each; a null doc_id is carried but never names a class
-    unless the class has no other. Extra columns are ignored.
+    doc_id keep a row each; a null doc_id links like any other, and names a
+    component only if that has no other. Extra columns are ignored.
     """
     each = stored(fingerprints(docs), "fingerprints")
     classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     found = links(classes.select("fp"))
-    reps = classes.where("rep is not null")
-    ends = (
-        found.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a")
-        .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    groups = connected_components(ends)
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
+    groups = connected_components(found)
+    joined = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = joined.join(least, "component").select("fp", "component_id")
     return each.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:
-    """The contract's columns: doc_id, fingerprint as 16 hex digits, component_id."""
+    """The contract's columns: doc_id, fingerprint as 16 hex digits, component_id.
+
+    Null and empty texts have fingerprint zero and link like any other; an
+    empty table gives no rows; rows that repeat are rows of their own.
+    """
     return simhash_components(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+# -- near copies by their shared shingles
+
+
+def ring_segments(shingles: np.ndarray) -> np.ndarray:
+    """Keys of sorted distinct hashes: one for each of the first segments of the ring that has two or more.
+
+    The number of segments is a power of two near the number of shingles over
+    SEGMENT_SHINGLES. Texts of similar size may fall on both sides of a power,
+    so those near one have the keys of both.
+    """
+    n = len(shingles)
+    mixed = shingles * _ODD
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _ODD
+    keys = []
+    for bits in sorted({max(0, int(m / SEGMENT_SHINGLES)).bit_length() for m in (n, n / NEAR)}):
+        edge = n if bits == 0 or (1 << bits) <= RING else int(np.searchsorted(shingles, np.uint64(RING << (64 - bits))))
+        if not edge:
+            continue
+        segment = shingles[:edge] >> np.uint64(64 - bits) if bits else np.zeros(edge, np.uint64)
+        first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+        size = np.diff(np.append(first, edge))
+        name = (segment[first] + np.uint64(bits << 32)) * _ODD
+        keys.append((np.add.reduceat(mixed[:edge], first) ^ name)[(size > 1) | (n < 3)])
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+
+def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprint, digest and number of the distinct shingles, and ring keys of each text."""
+    for batch in batches:
+        fps, digests, counts, keys = [], [], [], []
+        for text in batch.column(1):
+            hashes = shingle_hashes(text.as_py(), NEAR_WORDS)
+            distinct = np.unique(np.array(hashes, np.uint64))
+            fps.append(majority_bits(hashes))
+            digests.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+            counts.append(len(distinct))
+            keys.append(ring_segments(distinct).view(np.int64))
+        offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+        columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["uid", "fp", "digest", "n", "keys"])
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            found = [np.unique(np.array(shingle_hashes(t.as_py(), NEAR_WORDS), np.uint64)).view(np.int64) for t in some.column(1)]
+            offsets = np.concatenate(([0], np.cumsum([len(k) for k in found])))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([some.column(0), lists], ["uid", "shingles"])
+
+
+def near_candidates(classes: DataFrame) -> DataFrame:
+    """``classes(uid, fp, keys)`` to candidate pairs ``a < b`` of uids.
+
+    They come from fingerprints within two bits and from equal segments of the
+    ring. Within an ordinary key every pair is one. The members of a crowded key
+    are paired with the one that shares its segments with most others, which in
+    a crowd of copies is the text that they were made from.
+    """
+    by_fp = stored(classes.groupBy("fp").agg(F.min("uid").alias("rep")), "fps")
+    found = links(by_fp.select("fp"))
+    a, b = by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
+    close = found.join(a, "a").join(b, "b").select("x", "y")
+    same = classes.join(by_fp, "fp").where("uid <> rep").select(F.col("rep").alias("x"), F.col("uid").alias("y"))
+    keyed = classes.select("uid", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(keyed.join(sizes, "key"), "shared")
+    few = shared.where(F.col("n") <= CROWDED)
+    ring = few.alias("p").join(few.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.uid") < F.col("q.uid"))).select(
+        F.col("p.uid").alias("x"), F.col("q.uid").alias("y")
+    )
+    crowd = shared.where(F.col("n") > CROWDED)
+    known = crowd.join(shared.groupBy("uid").agg(F.sum("n").alias("known")), "uid")
+    centres = known.groupBy("key").agg(F.max(F.struct("known", -F.col("uid"))).alias("c")).select("key", (-F.col("c.col2")).alias("x"))
+    stars = crowd.join(centres, "key").where("uid <> x").select("x", F.col("uid").alias("y"))
+    every = close.union(same).union(ring).union(stars)
+    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes ``a, b`` whose texts share at least NEAR of all their shingles."""
+    about = classes.select("uid", "fp", "n")
+    pairs = (
+        near_candidates(classes)
+        .join(about.select(F.col("uid").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na")), "a")
+        .join(about.select(F.col("uid").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb")), "b")
+        .where((F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR_BITS) & (F.least("na", "nb") >= NEAR * F.greatest("na", "nb")))
+    )
+    pairs = stored(pairs.select("a", "b", "na", "nb"), "pairs")
+    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    texts = rows.join(small(stored(wanted, "wanted"), FEW_ROWS), "uid", "left_semi").select("uid", F.coalesce("row.text", F.lit("")).alias("text"))
+    shingles = stored(texts.mapInArrow(_shingle_batches, "uid long, shingles array<long>"), "shingles")
+    both = pairs.join(shingles.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        shingles.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= NEAR * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``row, uid`` of every row and ``uid, kept`` of it.
+
+    Rows whose texts have the same five-word shingles, A-Z lowered, are one
+    class; classes that share 0.8 of their shingles are linked; of each
+    connected group the row with the smallest doc_id is kept, the null ones
+    last. Texts of fewer words are one shingle, null, empty and blank ones have
+    none and are one class. Equal rows are told apart, so one of them stays.
+    """
+    rows = numbered(docs, docs.columns, [])
+    told = rows.select("uid", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(
+        _near_batches, "uid long, fp long, digest binary, n long, keys array<long>"
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    each = stored(told, "fingerprints")
+    ids = rows.select("uid", F.col("row.doc_id").alias("doc_id"))
+    of_row = stored(each.select("uid", "digest").join(ids, "uid").select("digest", order.alias("first")), "rows")
+    best = of_row.groupBy("digest").agg(F.min("first").alias("first"))
+    classes = stored(each.join(best.select(F.col("first.uid").alias("uid")), "uid", "left_semi").select("uid", "fp", "n", "keys"), "classes")
+    groups = connected_components(near_links(rows, classes))
+    # the least row of each group of classes
+    grouped = best.join(groups, F.col("first.uid") == F.col("node"), "left").select("digest", "first", F.coalesce("component", "first.uid").alias("component"))
+    heads = grouped.groupBy("component").agg(F.min("first").alias("head"))
+    named = grouped.join(heads, "component").select("digest", "head")
+    kept = of_row.join(named, "digest").select("first.uid", (F.col("first.uid") == F.col("head.uid")).alias("kept"))
+    return rows, stored(kept, "kept")
+
+
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, columns as they came."""
-    kept = simhash_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return with_ids(docs, kept)
+    """One row of each group of near copies, columns as they came; see :func:`near_duplicates`."""
+    rows, kept = near_duplicates(docs)
+    gone = small(kept.where("not kept").select("uid"), FEW_ROWS)
+    return unpacked(rows.join(gone, "uid", "left_anti"), docs.columns)
