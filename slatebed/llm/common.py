@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/slatebed/{name}-{uuid.uuid4().hex}"
 
 
+#: What is stored while a scratch or a stage is open, innermost last.
+_OPEN: list[list[str]] = []
 #: Shuffle files go when the query that made them has ended.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -69,16 +73,55 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
 
 
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables made by :func:`stored` that nothing reads any more."""
+    _delete(spark, [df.stored_at for df in tables])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    for df in tables:
-        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that are stored inside are deleted at its end, but for those put into the list that it gives."""
+    kept: list[DataFrame] = []
+    _OPEN.append([])
+    try:
+        yield kept
+    finally:
+        made, stay = _OPEN.pop(), {df.stored_at for df in kept}
+        _delete(spark, [path for path in made if path not in stay])
+        if _OPEN:
+            _OPEN[-1].extend(path for path in made if path in stay)
+
+
+#: Paths of the tables that a stage's result still reads.
+_LEFT: list[str] = []
+
+
+def as_stage(spark: SparkSession, work) -> DataFrame:
+    """``work()`` as a stage of a pipeline, whose results are each written before the next stage is called.
+
+    What the stage before has stored for its own use is deleted first.
+    """
+    _delete(spark, _LEFT)
+    _LEFT.clear()
+    _OPEN.append([])
+    try:
+        return work()
+    finally:
+        _LEFT.extend(_OPEN.pop())
 
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:

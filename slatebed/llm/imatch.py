@@ -57,7 +57,8 @@ def lexicon(docs: DataFrame) -> DataFrame:
     n = docs.count()
     counts = docs.select(F.explode(terms(text_or_empty())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = counts.where(F.col("df").between(max(2, math.ceil(LEAST * n)), max(2, math.floor(MOST * n)))).select("term")
-    return band.select("term", subset_mask(F.col("term")).alias("mask")).where("mask <> 0")
+    # written down, as a filter on the mask would be carried down to every single term
+    return stored(band, "band").select("term", subset_mask(F.col("term")).alias("mask")).where("mask <> 0")
 
 
 def _hashes(known: Column, plain: Column) -> Column:

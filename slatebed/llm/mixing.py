@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import forget, numbered, small, stored, text_or_empty, unpacked, words
+from slatebed.llm.common import forget, numbered, scratch, small, stored, text_or_empty, unpacked, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST_COPIES = 1.5, 2
@@ -146,7 +146,9 @@ def mix(sizes: DataFrame) -> DataFrame:
     """
     sizes = sizes.select("uid", "doc_id", "source", "size")
     targets = stored(source_targets(sizes), "targets")
-    tilts = dual_variables(sizes, targets)
+    with scratch(sizes.sparkSession) as stay:
+        tilts = dual_variables(sizes, targets)
+        stay.append(tilts)
     d, s = sizes.alias("d"), small(targets, FEW_SOURCES).alias("s")
     about = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.n_docs", "s.target")
     t = small(tilts, FEW_SOURCES).alias("t")

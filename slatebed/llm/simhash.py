@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import numbered, small, stored, text_or_empty, unpacked
+from slatebed.llm.common import numbered, scratch, small, stored, text_or_empty, unpacked
 from slatebed.llm.components import connected_components
 
 TAU, SEGMENTS, WIDTH = 2, 8, 8
@@ -291,6 +291,13 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     none and are one class. Equal rows are told apart, so one of them stays.
     """
     rows = numbered(docs, docs.columns, [])
+    with scratch(docs.sparkSession) as stay:
+        kept = _kept_rows(rows)
+        stay.append(kept)
+    return rows, kept
+
+
+def _kept_rows(rows: DataFrame) -> DataFrame:
     told = rows.select("uid", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(
         _near_batches, "uid long, fp long, digest binary, n long, keys array<long>"
     )
@@ -299,14 +306,17 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = rows.select("uid", F.col("row.doc_id").alias("doc_id"))
     of_row = stored(each.select("uid", "digest").join(ids, "uid").select("digest", order.alias("first")), "rows")
     best = of_row.groupBy("digest").agg(F.min("first").alias("first"))
-    classes = stored(each.join(best.select(F.col("first.uid").alias("uid")), "uid", "left_semi").select("uid", "fp", "n", "keys"), "classes")
-    groups = connected_components(near_links(rows, classes))
+    with scratch(rows.sparkSession) as stay:
+        classes = stored(each.join(best.select(F.col("first.uid").alias("uid")), "uid", "left_semi").select("uid", "fp", "n", "keys"), "classes")
+        links = stored(near_links(rows, classes), "near")
+        stay.append(links)
+    groups = connected_components(links)
     # the least row of each group of classes
     grouped = best.join(groups, F.col("first.uid") == F.col("node"), "left").select("digest", "first", F.coalesce("component", "first.uid").alias("component"))
     heads = grouped.groupBy("component").agg(F.min("first").alias("head"))
     named = grouped.join(heads, "component").select("digest", "head")
     kept = of_row.join(named, "digest").select("first.uid", (F.col("first.uid") == F.col("head.uid")).alias("kept"))
-    return rows, stored(kept, "kept")
+    return stored(kept, "kept")
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:

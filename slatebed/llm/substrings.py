@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import forget, stored, text_or_empty
+from slatebed.llm.common import forget, scratch, stored, text_or_empty
 from slatebed.llm.lyndon import suffix_arrays
 
 WINDOW, GRAM = 200, 64
@@ -305,6 +305,13 @@ def crowded_spans(cut: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, th, spans``: byte ranges to remove from the texts whose hash is th."""
+    with scratch(docs.sparkSession) as stay:
+        spans = _spans(docs)
+        stay.append(spans)
+    return spans
+
+
+def _spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
     every = stored(
