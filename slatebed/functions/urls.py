@@ -26,7 +26,11 @@ def normalize_url(url: Column) -> Column:
     kept = F.filter(F.split(_part(url, 4), "&"), lambda p: (p != "") & ~p.rlike(rf"^({keys})(=|$)"))
     query = F.nullif(F.array_join(kept, "&"), F.lit(""))
     path = F.when(_part(url, 3) == "", "/").otherwise(_part(url, 3))
-    whole = F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2)), path)
+    # the origin has no user, and no port that is the usual one
+    scheme = F.lower(_part(url, 1))
+    place = F.lower(F.regexp_replace(_part(url, 2), "^.*@", ""))
+    usual = F.when(scheme == "https", ":0*443$").when(scheme == "http", ":0*80$").otherwise(":$")
+    whole = F.concat(scheme, F.lit("://"), F.regexp_replace(place, usual, F.lit("")), path)
     return F.coalesce(F.concat(whole, F.coalesce(F.concat(F.lit("?"), query), F.lit(""))), url)
 
 

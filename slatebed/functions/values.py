@@ -90,8 +90,20 @@ def mask_key(prefix: Column) -> Column:
     return F.concat(prefix, F.repeat(F.lit("•"), 24))
 
 
+def _decomposed(text: Column) -> Column:
+    """Text with its letters and marks apart and the marks U+0300 to U+036F gone."""
+
+    @F.pandas_udf("string")
+    def apart(column: pd.Series) -> pd.Series:
+        return column.str.normalize("NFKD").str.replace("[\u0300-\u036f]", "", regex=True)
+
+    return apart(text)
+
+
 def slug(text: Column) -> Column:
-    cut = F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 48)
+    """Up to 48 letters and digits with hyphens between, accents gone, of a title; image if nothing is left."""
+    low = F.lower(_decomposed(text))
+    cut = F.substring(F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 48)
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("image"))
 
 

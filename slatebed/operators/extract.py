@@ -1,4 +1,4 @@
-"""Images, links and licenses out of HTML, by regular expressions over whole pages."""
+"""Images, links and licenses out of the tags of whole pages."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatebed.functions.license import coerce_license, license_from_url
+from slatebed.operators.html import attribute, tags, values_of
 
-_OG = r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']"""
+_FULL_SIZE = r"(?i)^https?://\S+\.(jpe?g|png|webp|gif|avif)$"
+_TRIPLE = r'\[\s*"([^"\[\]]+)"\s*,\s*(\d+)\s*,\s*(\d+)\s*\]'
 
 
 def resolve_url(src: Column, base: Column) -> Column:
@@ -30,21 +32,23 @@ def resolve_url(src: Column, base: Column) -> Column:
     return resolved(src, base)
 
 
-def attribute(tag: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(tag, rf"""(?i)\b{name}=["']([^"']+)["']""", 1), F.lit(""))
-
-
 def probe_images(pages: DataFrame) -> DataFrame:
     """``page_id, ordinal, url, width, height, title, license, confidence``; og:image comes first if it is new."""
-    tags = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<img\b[^>]*>"), 0)).alias("at", "tag"))
-    number = lambda n: F.regexp_extract(attribute(F.col("tag"), n), r"^\s*(\d+)", 1).try_cast("int")
-    images = tags.select(
-        "page_id", "base", F.col("at").cast("long").alias("ordinal"), F.coalesce(attribute(F.col("tag"), "src"), attribute(F.col("tag"), "data-src")).alias("src"), number("width").alias("width"), number("height").alias("height"), attribute(F.col("tag"), "alt").alias("title")
+    read = pages.select("page_id", F.col("url").alias("base"), tags(F.col("html")).alias("tags"))
+    number = lambda t, n: F.regexp_extract(attribute(t, n), r"^\s*(\d+)", 1).try_cast("int")
+    none = F.lit(None).cast("int")
+    images = F.transform(
+        F.filter("tags", lambda t: t["kind"] == "img"),
+        lambda t, i: F.struct(
+            i.cast("long").alias("ordinal"), F.coalesce(attribute(t, "src"), attribute(t, "data-src")).alias("src"), number(t, "width").alias("width"), number(t, "height").alias("height"), attribute(t, "alt").alias("title")
+        ),
     )
-    og = pages.select(
-        "page_id", F.col("url").alias("base"), F.lit(-1).cast("long").alias("ordinal"), F.nullif(F.regexp_extract("html", _OG, 1), F.lit("")).alias("src"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit("og:image").alias("title")
+    hero = F.transform(
+        F.slice(values_of(F.col("tags"), "meta", "content", "property", ("og:image",)), 1, 1),
+        lambda u: F.struct(F.lit(-1).cast("long").alias("ordinal"), u.alias("src"), none.alias("width"), none.alias("height"), F.lit("og:image").alias("title")),
     )
-    found = images.union(og).where("src is not null").withColumn("url", resolve_url(F.col("src"), F.col("base"))).where("url is not null")
+    every = read.select("page_id", "base", F.inline(F.concat(hero, images)))
+    found = every.where("src is not null").withColumn("url", resolve_url(F.col("src"), F.col("base"))).where("url is not null")
     # og:image only if no <img> has the same address
     known = F.count(F.when(F.col("ordinal") >= 0, 1)).over(Window.partitionBy("page_id", "url"))
     guess = license_from_url(F.col("url"))
@@ -57,34 +61,62 @@ def probe_images(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``page_id, ordinal, href`` of every anchor."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\b[^>]*?\bhref=["']([^"']+)["']"""), 1)).alias("ordinal", "href"))
+    return pages.select("page_id", F.posexplode(values_of(tags(F.col("html")), "a", "href")).alias("ordinal", "href"))
+
+
+def image_triples(html: Column) -> Column:
+    """``array<struct<url, width, height>>`` of JSON triples ``["address",width,height]`` that name a full-size image."""
+    hits = lambda k: F.regexp_extract_all(html, F.lit(_TRIPLE), k)
+    every = F.arrays_zip(hits(1).alias("url"), hits(2).alias("width"), hits(3).alias("height"))
+    shaped = F.transform(every, lambda t: F.struct(t["url"].alias("url"), t["width"].try_cast("int").alias("width"), t["height"].try_cast("int").alias("height")))
+    return F.filter(shaped, lambda t: t["url"].rlike(_FULL_SIZE) & ~t["url"].contains("gstatic.com") & ~t["url"].contains("google.com/images"))
 
 
 def serp_triples(pages: DataFrame) -> DataFrame:
-    """Full-size images embedded as ``["address",height,width]`` triples, first of each address."""
-    pattern = r"""(?i)\["(https?://[^"\s]+?\.(?:jpe?g|png|webp|gif|avif))",(\d+),(\d+)\]"""
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), 0)).alias("ordinal", "hit")).select(
-        "page_id", "ordinal", F.regexp_extract("hit", pattern, 1).alias("url"), F.regexp_extract("hit", pattern, 2).cast("int").alias("width"), F.regexp_extract("hit", pattern, 3).cast("int").alias("height")
-    )
+    """``page_id, ordinal, url, width, height`` of the triples of a page, first of each address."""
+    found = pages.select("page_id", F.posexplode(image_triples(F.col("html"))).alias("ordinal", "t")).select("page_id", "ordinal", "t.*")
     place = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("ordinal"))
-    return found.where(~F.col("url").contains("gstatic.com") & ~F.col("url").contains("google.com/images")).withColumn("_p", place).where("_p = 1").drop("_p")
+    return found.withColumn("_p", place).where("_p = 1").drop("_p")
 
 
 def page_license(pages: DataFrame) -> DataFrame:
-    """First recognised of link rel=license, dc.rights and og:image:license, else that of the host."""
-    spots = (
-        r"""(?i)<link[^>]+rel=["']license["'][^>]+href=["']([^"']+)["']""",
-        r"""(?i)<meta[^>]+name=["']dc\.rights["'][^>]+content=["']([^"']+)["']""",
-        r"""(?i)<meta[^>]+property=["']og:image:license["'][^>]+content=["']([^"']+)["']""",
+    """License, confidence, license address and author that a page states.
+
+    The first of link rel=license, dc.rights and og:image:license counts if it
+    is recognised, else the host's license; the author is article:author.
+    """
+    read = pages.select("page_id", "url", tags(F.col("html")).alias("tags"))
+    first = lambda *place: F.get(values_of(F.col("tags"), *place), F.lit(0))
+    raw = F.coalesce(
+        first("link", "href", "rel", ("license",)), first("meta", "content", "name", ("dc.rights",)), first("meta", "content", "property", ("og:image:license",))
     )
-    raw = F.coalesce(*(F.nullif(F.regexp_extract("html", p, 1), F.lit("")) for p in spots))
-    tag, guess = coerce_license(raw), license_from_url(F.col("url"))
+    told = read.select("page_id", "url", raw.alias("raw"), first("meta", "content", "property", ("article:author",)).alias("author"))
+    tag, guess = coerce_license(F.col("raw")), license_from_url(F.col("url"))
     sure = tag != "UNKNOWN"
-    return pages.select(
+    return told.select(
         "page_id",
         F.when(sure, tag).otherwise(guess["license"]).alias("license"),
         F.when(sure, F.greatest(guess["confidence"], F.lit(0.7))).otherwise(guess["confidence"]).alias("confidence"),
-        raw.alias("license_url"),
+        F.col("raw").alias("license_url"),
+        "author",
+    )
+
+
+def reconciled(page: DataFrame, embedded: DataFrame) -> DataFrame:
+    """``page(id, license, confidence, license_url, author)`` with what the file itself says.
+
+    The file's license wins if it is known and as sure at least; its artist
+    counts where the page names none.
+    """
+    e = embedded.select("id", F.col("license").alias("e_license"), F.col("license_confidence").alias("e_sure"), F.col("license_url").alias("e_url"), "artist", "copyright")
+    wins = F.coalesce((F.col("e_license") != "UNKNOWN") & (F.col("e_sure") >= F.col("confidence")), F.lit(False))
+    return page.join(e, "id", "left").select(
+        "id",
+        F.when(wins, F.col("e_license")).otherwise(F.col("license")).alias("license"),
+        F.when(wins, F.col("e_sure")).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(wins, F.coalesce("e_url", "license_url")).otherwise(F.col("license_url")).alias("license_url"),
+        F.coalesce(F.nullif("author", F.lit("")), "artist").alias("author"),
+        "copyright",
     )
 
 
@@ -94,7 +126,9 @@ def doc_scores(docs: DataFrame, query: str, most: int = 12) -> DataFrame:
     title, body = F.lower("title"), F.lower(F.concat_ws("\n", "title", "body"))
     if not terms:
         return docs.select("doc_id", F.lit(0).alias("score")).where("false")
-    score = sum((F.when(title.contains(t), 10).otherwise(0) + 1 for t in terms), F.lit(0))
+    headings = F.regexp_extract_all(body, F.lit(r"(?m)^#{2,3}[ \t]+([^\n]+)$"), 1)
+    in_heading = lambda t: F.exists(headings, lambda h: h.contains(t))
+    score = sum((F.when(title.contains(t), 10).otherwise(0) + F.when(in_heading(t), 5).otherwise(0) + 1 for t in terms), F.lit(0))
     found = docs
     for t in terms:
         found = found.where(body.contains(t))
