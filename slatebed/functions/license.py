@@ -109,3 +109,10 @@ def attribution(tag: Column, author: Column, source_name: Column, source_url: Co
     head = F.concat_ws(" ", head, F.concat(F.lit("("), name, F.lit(")")))
     tail = F.concat_ws(" — ", F.concat(F.lit("licensed "), pretty_license(tag)), url)
     return F.concat(head, F.lit(", "), tail)
+
+
+def short_attribution(tag: Column, author: Column, source: Column, source_url: Column, title: Column) -> Column:
+    """The shorter line of credit: title, author, tag and where it is from."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    place = F.coalesce(F.concat(F.lit("— "), some(source_url)), F.concat(F.lit("via "), some(source)))
+    return F.concat_ws(" ", F.concat(F.lit('"'), some(title), F.lit('"')), F.concat(F.lit("by "), some(author)), F.concat(F.lit("("), tag, F.lit(")")), place)

@@ -59,3 +59,12 @@ def is_public_url(url: Column) -> Column:
     )
     fine = F.lower(_part(url, 1)).isin("http", "https") & host.isNotNull() & ~local & ~F.coalesce(numeric & private, F.lit(False))
     return F.coalesce(fine, F.lit(False))
+
+
+def host_blocked(url: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether an address is of one of the hosts or of a host below it."""
+    host = host_of(url)
+    out = F.lit(False)
+    for h in hosts:
+        out = out | (host == h) | host.endswith("." + h)
+    return F.coalesce(out, F.lit(False))

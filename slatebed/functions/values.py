@@ -180,3 +180,24 @@ def dct_hash(pixels: Column) -> Column:
         return out
 
     return hashed(pixels)
+
+
+def download_error(mime: Column, size: Column, most: int) -> Column:
+    """What is wrong with a download: bad-type, too-large or null."""
+    kind = F.trim(F.substring_index(F.coalesce(mime, F.lit("application/octet-stream")), ";", 1))
+    return F.when(~kind.startswith("image/"), "bad-type").when(size > most, "too-large")
+
+
+# Endings by a part of the type, in order.
+ENDINGS = [("jpeg", ".jpg"), ("jpg", ".jpg"), ("png", ".png"), ("webp", ".webp"), ("gif", ".gif"), ("avif", ".avif"), ("svg", ".svg")]
+
+
+def file_ending(mime: Column, url: Column) -> Column:
+    """By the type, else by the address's path, else .img."""
+    path = F.lower(F.regexp_extract(url, "^[^?#]*", 0))
+    out = F.lit(".img")
+    for part, ending in reversed(ENDINGS):
+        out = F.when(path.endswith("." + part), ending).otherwise(out)
+    for part, ending in reversed(ENDINGS):
+        out = F.when(F.lower(mime).contains(part), ending).otherwise(out)
+    return out

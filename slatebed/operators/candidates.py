@@ -118,3 +118,26 @@ def batch_top(df: DataFrame, queries: DataFrame) -> DataFrame:
     ranked = rank_all(df)
     top = ranked.groupBy("query").agg(F.count("*").alias("n"), F.min_by("url", "position").alias("top_url"))
     return queries.join(top, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n"), "top_url")
+
+
+def session_user(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """Rows with the row of another table that they name; those that name none go."""
+    return left.join(right, F.col(key) == F.col(other))
+
+
+def ok_ratio(report: DataFrame) -> DataFrame:
+    """How many candidates came from how many of the sources asked."""
+    return report.agg(F.sum("n").alias("candidates"), F.count_if("ok").alias("ok"), F.count("*").alias("asked"))
+
+
+def overlaid(*layers: Column) -> Column:
+    """The last of the layers that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in reversed(layers)))
+
+
+def best_of_bucket(df: DataFrame, bucket: str) -> DataFrame:
+    """Of each bucket and license rank the largest row, then the surest."""
+    pixels = F.coalesce("width", F.lit(0)).cast("long") * F.coalesce("height", F.lit(0))
+    order = [pixels.desc(), F.coalesce("confidence", F.lit(0.0)).desc(), F.col("ordinal")]
+    place = F.row_number().over(Window.partitionBy(bucket, license_rank(F.col("license"))).orderBy(*order))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")

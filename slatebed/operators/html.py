@@ -29,6 +29,16 @@ def attribute(tag: Column, name: str) -> Column:
     return F.nullif(F.get(tag["values"], (F.array_position(tag["names"], name) - 1).cast("int")), F.lit(""))
 
 
+def picture(tag: Column) -> Column:
+    """The first attribute of a tag that is src or ends with -src, as lazily loaded images have."""
+    is_source = F.transform(tag["names"], lambda n: (n == "src") | n.endswith("-src"))
+    return F.nullif(F.get(tag["values"], (F.array_position(is_source, True) - 1).cast("int")), F.lit(""))
+
+
+def pictures(found: Column) -> Column:
+    return F.filter(F.transform(F.filter(found, lambda t: t["kind"] == "img"), picture), lambda v: v.isNotNull())
+
+
 def values_of(found: Column, kind: str, value: str, where: str | None = None, one_of: tuple[str, ...] = ()) -> Column:
     """An attribute of all tags of a kind, of those only whose attribute ``where`` is one of the given."""
 

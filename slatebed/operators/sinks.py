@@ -47,3 +47,18 @@ def latest_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key: what a table of upserts holds."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
     return rows.withColumn("_p", place).where("_p = 1").drop("_p")
+
+
+def get_blobs(spark: SparkSession, store: str, wanted: DataFrame) -> DataFrame:
+    """``sha256, content`` of the wanted hashes that the store has; only their shards are read."""
+    keys = wanted.select("sha256", F.substring("sha256", 1, 2).alias("shard"))
+    return spark.read.option("basePath", store).schema("content binary, sha256 string, shard string").parquet(store).join(keys, ["shard", "sha256"])
+
+
+def provenance(url: Column, page: Column, extractor: Column, license_tag: Column, confidence: Column) -> Column:
+    """JSON that says where an image is from and by what it was found."""
+    return F.to_json(
+        F.struct(
+            url.alias("imageUrl"), page.alias("sourcePageUrl"), extractor.alias("extractor"), F.concat(F.lit("browser:"), extractor).alias("fetchedVia"), license_tag.alias("license"), F.coalesce(confidence, F.lit(0.0)).alias("licenseConfidence")
+        )
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slatebed.functions.urls import host_of
 from slatebed.operators.extract import image_triples, resolve_url
-from slatebed.operators.html import tags, urls_in, values_of
+from slatebed.operators.html import pictures, tags, urls_in, values_of
 
 _IMAGE_ENDING = r"(?i)\.(jpe?g|png|webp|gif|avif)([?#]|$)"
 
@@ -56,7 +56,7 @@ GENERIC = [
     Branch(_tag("meta", "content", "property", "og:image", "og:image:url"), "og:image", 0.2),
     Branch(_tag("meta", "content", "name", "twitter:image"), "twitter:image", 0.15),
     Branch(_tag("link", "href", "rel", "image_src"), "image_src"),
-    Branch(_tag("img", "src"), fits=lambda url: ~url.startswith("data:")),
+    Branch(lambda html, found: pictures(found), fits=lambda url: ~url.startswith("data:")),
     Branch(_tag("a", "href"), "linked", 0.1, fits=lambda url: url.rlike(_IMAGE_ENDING)),
 ]
 IMAGE_RESULTS = [
@@ -66,7 +66,7 @@ IMAGE_RESULTS = [
         fits=lambda url: url.rlike("[?&]imgurl="),
         tidy=lambda url: F.try_url_decode(F.regexp_extract(url, "[?&]imgurl=([^&]*)", 1)),
     ),
-    Branch(_tag("img", "src"), fits=lambda url: url.rlike("^(?i)https?://") & ~url.contains("gstatic.com/images/branding"), only_if_none=True),
+    Branch(lambda html, found: pictures(found), fits=lambda url: url.rlike("^(?i)https?://") & ~url.contains("gstatic.com/images/branding"), only_if_none=True),
 ]
 PINS = [Branch(lambda html, found: urls_in(html), fits=lambda url: _on_host("i.pinimg.com")(url) & url.rlike(_IMAGE_ENDING), tidy=_original_size), _OG]
 POSTS = [

@@ -149,3 +149,10 @@ def robots_allow(robots: Column, path: Column, agent: str) -> Column:
         return F.struct(F.coalesce(active, F.lit(False)).alias("active"), (acc["allow"] & ~F.coalesce(barred, F.lit(False))).alias("allow"))
 
     return F.coalesce(F.aggregate(lines, start, step, lambda acc: acc["allow"]), F.lit(True))
+
+
+def quota_share(snapshot: DataFrame) -> DataFrame:
+    """How much of what a plan includes is used, and whether that is near (0.8) or over."""
+    used, included = F.col("used"), F.col("included")
+    level = F.when(used >= included, "over").when(used >= 0.8 * included, "near").otherwise("fine")
+    return snapshot.select("workspace_id", F.when(included == 0, 0.0).otherwise(used / included).alias("share"), level.alias("level"))

@@ -17,7 +17,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: candidates out of documents and labels; runs in Spark SQL and DuckDB alike.
 CANDIDATES_SQL = f"""
 select 'q' || cast(d.doc_id % 5 as varchar(20)) as query, d.doc_id as ordinal,
-  'https://Img.' || d.source || '.example/a/' || cast(d.doc_id % 400 as varchar(20)) || '.jpg?w=' || cast(d.doc_id % 7 as varchar(20)) || '&id=' || cast(d.doc_id % 3 as varchar(20)) || '#top' as url,
+  'https://' || case d.doc_id % 4 when 1 then 'me:pw@' else '' end || 'Img.' || d.source || '.example' || case d.doc_id % 3 when 1 then ':443' when 2 then ':8443' else '' end || '/a/' || cast(d.doc_id % 400 as varchar(20)) || '.jpg?w=' || cast(d.doc_id % 7 as varchar(20)) || '&id=' || cast(d.doc_id % 3 as varchar(20)) || '#top' as url,
   cast(d.n_chars % 4000 as int) as width, cast(d.n_chars % 900 as int) as height, d.source as source,
   'https://' || d.source || '.example/p/' || cast(d.doc_id as varchar(20)) as source_page_url,
   case when d.doc_id % 4 = 0 then null else 'Title ' || cast(d.doc_id as varchar(20)) end as title,
@@ -26,9 +26,9 @@ select 'q' || cast(d.doc_id % 5 as varchar(20)) as query, d.doc_id as ordinal,
   case when l.quality = 1 then cast(0.9 as double) when l.quality = 0 then cast(0.3 as double) else null end as confidence
 from documents d left join labels l on d.doc_id = l.doc_id
 """
-#: request log out of events.
+#: request log out of events; four keys share a workspace.
 USAGE_SQL = """
-select event_id as request_id, ts, 'k' || cast(user_id as varchar(20)) as api_key, 'w' || cast(user_id % 40 as varchar(20)) as workspace_id,
+select event_id as request_id, ts, 'k' || cast(user_id as varchar(20)) as api_key, 'w' || cast(user_id - user_id % 4 as varchar(20)) as workspace_id,
   case event_type when 'click' then '/v1/search' when 'view' then '/v1/similar' when 'purchase' then '/v1/download' else '/v1/' || event_type end as endpoint,
   case event_type when 'purchase' then 2 when 'view' then 3 else 1 end as units, value, props
 from events
@@ -37,8 +37,8 @@ from events
 WORKSPACES_SQL = """
 select 'w' || cast(c_custkey - 1 as varchar(20)) as workspace_id,
   case c_mktsegment when 'BUILDING' then 'pro' when 'MACHINERY' then 'team' when 'AUTOMOBILE' then 'enterprise' else 'free' end as plan,
-  case when c_custkey % 2 = 0 then 10 else null end as audit_retention_days
-from customer where c_custkey <= 40
+  case when c_custkey % 2 = 0 then 10 else null end as audit_retention_days, case when c_acctbal > 0 then 'cus' || cast(c_custkey as varchar(20)) else null end as customer_id
+from customer
 """
 
 

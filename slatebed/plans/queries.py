@@ -21,7 +21,7 @@ from slatebed.plans.inputs import (
 )
 from slatebed.plans.inputs import usage as usage_of
 from slatebed.plans.inputs import workspaces as workspaces_of
-from slatebed.plans.samples import PAYLOADS, SERP_PAGE, STORY_PAGE
+from slatebed.plans.samples import PAYLOADS
 from slatebed.sources import providers
 from slatebed.streaming import usage as streams
 
@@ -41,6 +41,17 @@ def query(sql: str | None = None):
     return register
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, so that a loop's rounds are not computed again."""
+    import tempfile
+    import uuid
+
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slatebed-")
+    path = f"{root.rstrip('/')}/slatebed/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _tags(tags: list[str]) -> str:
     return ", ".join(f"'{t}'" for t in tags)
 
@@ -52,7 +63,7 @@ ORDER = f"""{RANK}, coalesce(confidence, case when license <> 'UNKNOWN' then 0.5
   coalesce(width, 0)::bigint * coalesce(height, 0) desc,
   (coalesce(author, '') <> '')::int + (coalesce(source_page_url, '') <> '')::int + (coalesce(title, '') <> '')::int desc, ordinal"""
 NORMAL = """case when regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://') then
-  lower(regexp_extract(url, '^([^/]*//[^/?#]*)', 1)) || regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1) ||
+  lower(regexp_extract(url, '^([^:]*)', 1)) || '://' || regexp_replace(regexp_replace(lower(regexp_extract(url, '^[^/]*//([^/?#]*)', 1)), '^.*@', ''), case lower(regexp_extract(url, '^([^:]*)', 1)) when 'https' then ':443$' when 'http' then ':80$' else ':$' end, '') || regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1) ||
   coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(w|h|fit|auto|q|fm|dpr|crop|s|t)(=|$)')), '&'), ''), '')
   else url end"""
 COERCE = """case when {s} = 'cc0' or contains({s}, 'public domain dedication') or contains({s}, 'publicdomain/zero') then 'CC0'
@@ -116,16 +127,16 @@ def fn_normalize_url(spark, sf_dir):
     return candidates(spark, sf_dir).select("ordinal", urls.normalize_url(F.col("url")).alias("normal_url"))
 
 
-@query(f"{C} select ordinal, source from c where ordinal % 2 = 0 union all select ordinal, source from c where ordinal % 3 = 0")
+@query(f"{C} select ordinal, source, url, title from c union all select page_id, 'pages', url, null from pages")
 def set_union_all(spark, sf_dir):
-    c = candidates(spark, sf_dir)
-    return ops.union_candidates([c.where("ordinal % 2 = 0"), c.where("ordinal % 3 = 0").drop("title")]).select("ordinal", "source")
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("ordinal"), F.lit("pages").alias("source"), "url")
+    return ops.union_candidates([candidates(spark, sf_dir), p]).select("ordinal", "source", "url", "title")
 
 
-@query(f"{C} select query, url, ordinal from c where (query, url) not in (select query, url from c where ordinal < 500)")
+@query(f"{C} select query, url, ordinal from c where (query, url) not in (select query, url from c where width < 2000)")
 def set_diff(spark, sf_dir):
     c = candidates(spark, sf_dir)
-    return ops.new_since(c, c.where("ordinal < 500")).select("query", "url", "ordinal")
+    return ops.new_since(c, c.where("width < 2000")).select("query", "url", "ordinal")
 
 
 @query(f"""{C} select ordinal,
@@ -209,21 +220,30 @@ def fn_median_bits(spark, sf_dir):
     return hashes_of_embeddings(spark, sf_dir).select(F.col("ordinal").alias("vec_id"), "phash")
 
 
-@query(f"with {_MEDIAN}, d as (select distinct phash from h), n as (select phash, ('0x' || substr(phash, 1, 8))::bigint as hi, ('0x' || substr(phash, 9, 8))::bigint as lo from d), p as (select a.phash as hash_a, b.phash as hash_b, cast(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) as int) as distance from n a join n b on a.phash < b.phash) select * from p where distance <= 18")
+# 64 windows of a text's bytes, as floor(place * 64 / length), each against the mean of all
+_AVERAGE = """b as (select doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as l from documents),
+v as (select doc_id, len(l) as n, unnest(l) as x, unnest(range(0, len(l))) as i from b),
+s as (select doc_id, i * 64 // n as win, n, sum(('0x' || x)::int) as s, count(*) as c from v group by all),
+t as (select *, sum(s) over (partition by doc_id) as total from s),
+m as (select doc_id, map(list(win), list((s * n > total * c)::int)) as bits from t group by doc_id),
+h as (select b.doc_id, array_to_string(list_transform(range(0, 16), lambda k: substr('0123456789abcdef', 1 + 8 * coalesce(bits[k * 4], 0) + 4 * coalesce(bits[k * 4 + 1], 0) + 2 * coalesce(bits[k * 4 + 2], 0) + coalesce(bits[k * 4 + 3], 0), 1)), '') as phash from b left join m on b.doc_id = m.doc_id)"""
+
+
+@query(f"with {_AVERAGE}, d as (select distinct phash from h), n as (select phash, ('0x' || substr(phash, 1, 8))::bigint as hi, ('0x' || substr(phash, 9, 8))::bigint as lo from d), p as (select a.phash as hash_a, b.phash as hash_b, cast(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) as int) as distance from n a join n b on a.phash < b.phash) select * from p where distance <= 5")
 def jn_hamming_pairs(spark, sf_dir):
-    return hashes.hamming_pairs(hashes_of_embeddings(spark, sf_dir), 18)
+    return hashes.hamming_pairs(fn_ahash_bytes(spark, sf_dir), 5)
 
 
-@query(f"with {_MEDIAN}, n as (select vec_id, phash, lag(phash) over (order by vec_id) as other from h) select vec_id, cast(bit_count(xor(('0x' || substr(phash, 1, 8))::bigint, ('0x' || substr(other, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(phash, 9, 8))::bigint, ('0x' || substr(other, 9, 8))::bigint)) as int) as distance from n where other is not null and vec_id % 5 = 0")
+@query(f"with {_MEDIAN}, n as (select vec_id, phash, lag(phash) over (order by vec_id) as other from h) select vec_id, cast(bit_count(xor(('0x' || substr(phash, 1, 8))::bigint, ('0x' || substr(other, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(phash, 9, 8))::bigint, ('0x' || substr(other, 9, 8))::bigint)) as int) as distance from n where other is not null")
 def fn_hamming(spark, sf_dir):
     h = hashes_of_embeddings(spark, sf_dir)
     other = h.select((F.col("ordinal") + 1).alias("ordinal"), F.col("phash").alias("other"))
-    return h.where("ordinal % 5 = 0").join(other, "ordinal").select(F.col("ordinal").alias("vec_id"), values.hamming(F.col("phash"), F.col("other")).alias("distance"))
+    return h.join(other, "ordinal").select(F.col("ordinal").alias("vec_id"), values.hamming(F.col("phash"), F.col("other")).alias("distance"))
 
 
-@query()
+@query(f"with {_AVERAGE} select doc_id, phash from h")
 def fn_ahash_bytes(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", values.average_hash(F.col("text").cast("binary")).alias("phash"))
+    return read(spark, sf_dir, "documents").select("doc_id", values.average_hash(F.coalesce("text", F.lit("")).cast("binary")).alias("phash"))
 
 
 @query()
@@ -231,7 +251,7 @@ def set_dedupe_hash(spark, sf_dir):
     from slatebed.operators.hashes import greedy_dedupe
 
     rows = fn_ahash_bytes(spark, sf_dir).withColumnRenamed("doc_id", "ordinal")
-    return greedy_dedupe(rows, 6, checkpoint=lambda d: d.persist()).select("ordinal", "phash")
+    return greedy_dedupe(rows, 6, checkpoint=lambda d: _written(d, "dedupe")).select("ordinal", "phash")
 
 
 @query("with h as (select sha256(text) as sha256, doc_id from documents) select sha256, min(doc_id) as first_seen, max(doc_id) as last_hit, count(*) as hit_count from h group by sha256")
@@ -391,7 +411,7 @@ def ext_links(spark, sf_dir):
     return extract.page_links(read(spark, sf_dir, "pages")).select("page_id", "href")
 
 
-@query("with d as (select doc_id, lower(substr(text, 1, 60)) as title, lower(text) as body from documents) select doc_id, (case when contains(title, 'the') then 10 else 0 end + 1 + case when contains(title, 'and') then 10 else 0 end + 1)::int as score from d where contains(title || chr(10) || body, 'the') and contains(title || chr(10) || body, 'and') order by score desc, doc_id limit 12")
+@query("with d as (select doc_id, lower(substr(text, 1, 60)) as title, lower(text) as body from documents) select doc_id, (case when contains(title, 'the') then 10 else 0 end + case when len(list_filter(regexp_extract_all(title || chr(10) || body, '(?m)^#{2,3}[ \\t]+([^\\n]+)$', 1), lambda h: contains(h, 'the'))) > 0 then 5 else 0 end + 1 + case when contains(title, 'and') then 10 else 0 end + case when len(list_filter(regexp_extract_all(title || chr(10) || body, '(?m)^#{2,3}[ \\t]+([^\\n]+)$', 1), lambda h: contains(h, 'and'))) > 0 then 5 else 0 end + 1)::int as score from d where contains(title || chr(10) || body, 'the') and contains(title || chr(10) || body, 'and') order by score desc, doc_id limit 12")
 def fn_doc_score(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"))
     return extract.doc_scores(d, "the and")
@@ -415,7 +435,7 @@ def _source(name: str):
     return run
 
 
-for _name in providers.SPECS:
+for _name in (n for n in providers.SPECS if n in PAYLOADS):
     QUERIES[f"src_{_name.replace('-', '_')}"] = _source(_name)
 
 
@@ -442,23 +462,34 @@ def src_registry(spark, sf_dir):
     return provider_dim(spark).where("is_default").select("source")
 
 
-def _page(spark: SparkSession, html: str) -> DataFrame:
-    return spark.createDataFrame([(1, "https://site.example/a/b.html", html)], "page_id long, url string, html string")
+def _marked(spark: SparkSession, sf_dir: str, snippet: str) -> DataFrame:
+    """All pages, each with a piece of HTML in front that its number makes its own."""
+    pages = read(spark, sf_dir, "pages")
+    return pages.select("page_id", F.lit("https://site.example/a/b.html").alias("url"), F.concat(F.expr(snippet), "html").alias("html"))
 
 
-@query("select * from (values (-1, 'https://site.example/hero.jpg', 'og:image'), (0, 'https://site.example/a/one.png', 'One'), (1, 'https://cdn.pixabay.com/two.jpg', null)) t(ordinal, url, title)")
+_PROBED = """concat('<meta content="/i/', page_id % 7, '.png" property="og:image"><img title="no" data-src="https://cdn.example/', page_id, '.gif" alt="T', page_id, '" width="40px">')"""
+
+
+@query("select page_id, -1 as ordinal, 'https://site.example/i/' || page_id % 7 || '.png' as url, 'og:image' as title, null::int as width from pages union all select page_id, 0, 'https://cdn.example/' || page_id || '.gif', 'T' || page_id, 40 from pages")
 def ext_probe_page(spark, sf_dir):
-    return extract.probe_images(_page(spark, STORY_PAGE)).select("ordinal", "url", "title")
+    return extract.probe_images(_marked(spark, sf_dir, _PROBED)).select("page_id", F.col("ordinal").cast("int").alias("ordinal"), "url", "title", "width")
+
 
+_STATED = """concat('<link href="https://x.example/licenses/', element_at(array('by-sa', 'by', 'zero', 'odd'), cast(page_id % 4 + 1 as int)), '/4.0" rel="license"><meta name="dc.rights" content="Public domain"><meta property="article:author" content="N', page_id, '">')"""
 
-@query("select 'CC_BY_SA' as license, 0.7::double as confidence")
+
+@query("select page_id, (['CC_BY_SA', 'CC_BY', 'UNKNOWN', 'UNKNOWN'])[page_id % 4 + 1] as license, (case when page_id % 4 < 2 then 0.7 else 0.0 end)::double as confidence, 'N' || page_id as author from pages")
 def fn_html_license(spark, sf_dir):
-    return extract.page_license(_page(spark, STORY_PAGE)).select("license", "confidence")
+    return extract.page_license(_marked(spark, sf_dir, _STATED)).select("page_id", "license", "confidence", "author")
+
+
+_TRIPLES = """concat('x=[["https://full.example/', page_id, '.jpg",', page_id % 900 + 1, ',600],["https://full.example/b.png",640,480],["https://full.example/', page_id, '.jpg",1,1],["https://t.gstatic.com/c.jpg",9,9]]')"""
 
 
-@query("select * from (values ('https://full.example/a.jpg', 1200, 800), ('https://full.example/b.png', 640, 480)) t(url, width, height)")
+@query("select page_id, 'https://full.example/' || page_id || '.jpg' as url, (page_id % 900 + 1)::int as width, 600 as height from pages union all select page_id, 'https://full.example/b.png', 640, 480 from pages")
 def ext_google_images(spark, sf_dir):
-    return extract.serp_triples(_page(spark, SERP_PAGE)).select("url", "width", "height")
+    return extract.serp_triples(_marked(spark, sf_dir, _TRIPLES)).select("page_id", "url", "width", "height")
 
 
 @query()
@@ -467,10 +498,9 @@ def fn_dct_phash(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", values.dct_hash(wide).alias("phash"))
 
 
-@query("select event_id, (['s-1', 'a b', 'image'])[event_id % 3 + 1] as slug from events".replace("'s-1', 'a b'", "'image', 'hello-world-1'").replace(", 'image'])", ", 'caf'])"))
+@query("select doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(strip_accents(substr(coalesce(text, ''), 1, 60))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'image') as slug from documents")
 def fn_slug_filename(spark, sf_dir):
-    name = F.element_at(F.array(F.lit("!!"), F.lit("Hello  World #1"), F.lit("caf.")), (F.col("event_id") % 3 + 1).cast("int"))
-    return read(spark, sf_dir, "events").select("event_id", values.slug(name).alias("slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", values.slug(F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("slug"))
 
 
 @query("select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&apos;') as escaped from documents")
@@ -528,25 +558,35 @@ def st_dedupe_request(spark, sf_dir):
 # -- extractors, buckets and sinks that came later
 
 
-@query("select * from (values (0, 'https://site.example/hero.jpg', 'og:image'), (5, 'https://site.example/a/one.png', null), (5, 'https://cdn.pixabay.com/two.jpg', null), (5, 'https://site.example/a/three.gif', null)) t(branch, url, title)")
+_GENERIC = """concat('<meta content="/h', page_id % 7, '.jpg" property="og:image"><img class="x" data-src="https://cdn.example/', page_id, '.jpg"><img src="data:x"><a href="big.PNG?x">')"""
+
+
+@query("select page_id, 0 as branch, 'https://site.example/h' || page_id % 7 || '.jpg' as url, 'og:image' as title from pages union all select page_id, 3, 'https://cdn.example/' || page_id || '.jpg', null from pages union all select page_id, 4, 'https://site.example/a/big.PNG?x', 'linked' from pages")
 def ext_generic_page(spark, sf_dir):
-    page = _page(spark, STORY_PAGE.replace("</body>", '<img src="three.gif"></body>'))
-    return sites.site_images(page, sites.GENERIC).select("branch", "url", "title")
+    return sites.site_images(_marked(spark, sf_dir, _GENERIC), sites.GENERIC).select("page_id", "branch", "url", "title")
+
 
+_PINS = """concat('"https://i.pinimg.com/', page_id % 500, 'x/a/', page_id, '.jpg" "https://i.pinimg.com/564x/a/', page_id, '.jpg" "https://i.pinimg.com/orig/b.png"')"""
 
-@query("select 'https://i.pinimg.com/originals/a/b.jpg' as url")
+
+@query("select page_id, 'https://i.pinimg.com/originals/a/' || page_id || '.jpg' as url from pages union all select page_id, 'https://i.pinimg.com/orig/b.png' from pages")
 def ext_pinterest(spark, sf_dir):
-    return sites.site_images(_page(spark, '"https://i.pinimg.com/236x/a/b.jpg" "https://i.pinimg.com/564x/a/b.jpg"'), sites.PINS).select("url")
+    return sites.site_images(_marked(spark, sf_dir, _PINS), sites.PINS).select("page_id", "url")
+
+
+_POSTS = """concat('"https://pbs.twimg.com/media/A', page_id, '?format=jpg&amp;name=small" "https://pbs.twimg.com/media/B', page_id, '" "https://pbs.twimg.com/other/C"')"""
 
 
-@query("select * from (values ('https://pbs.twimg.com/media/A?format=jpg&name=orig'), ('https://pbs.twimg.com/media/B?name=orig')) t(url)")
+@query("select page_id, 'https://pbs.twimg.com/media/A' || page_id || '?format=jpg&name=orig' as url from pages union all select page_id, 'https://pbs.twimg.com/media/B' || page_id || '?name=orig' from pages")
 def ext_twitter(spark, sf_dir):
-    return sites.site_images(_page(spark, '"https://pbs.twimg.com/media/A?format=jpg&amp;name=small" "https://pbs.twimg.com/media/B"'), sites.POSTS).select("url")
+    return sites.site_images(_marked(spark, sf_dir, _POSTS), sites.POSTS).select("page_id", "url")
 
 
-@query("select page_id, 'generic-page' as extractor from pages")
+@query("select page_id, (['google-images', 'pinterest', 'twitter', 'generic-page', 'twitter'])[page_id % 5 + 1] as extractor from pages")
 def ext_dispatch(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", sites.extractor_of(F.col("url")).alias("extractor"))
+    host = F.element_at(F.array(*map(F.lit, ("www.google.com", "www.pinterest.de", "x.com", "fox.com", "mobile.twitter.com"))), (F.col("page_id") % 5 + 1).cast("int"))
+    url = F.concat(F.lit("https://"), host, urls._part(F.col("url"), 3))
+    return read(spark, sf_dir, "pages").select("page_id", sites.extractor_of(F.coalesce(url, F.concat(F.lit("https://"), host))).alias("extractor"))
 
 
 @query("select 'Eve' as artist, 0.7::double as artist_confidence, 'UNKNOWN' as license")
@@ -568,9 +608,9 @@ def flt_robots(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", usage.robots_allow(text, path, "reader/1.0").alias("allowed"))
 
 
-@query(f"{C}, r as (select *, row_number() over (partition by query order by {ORDER}) as position from c where license <> 'UNKNOWN') select query, lpad(position::varchar, 3, '0') || '.jpg' as file, position::int as position from r where position <= 50")
+@query(f"{C}, r as (select *, row_number() over (partition by query order by {ORDER}) as position from c where license <> 'UNKNOWN') select query, lpad(position::varchar, greatest(3, length(position::varchar))::int, '0') || '.jpg' as file, position::int as position from r")
 def snk_manifest(spark, sf_dir):
-    return sinks.manifest(ops.rank_all(candidates(spark, sf_dir)).where("position <= 50")).select("query", "file", "position")
+    return sinks.manifest(ops.rank_all(candidates(spark, sf_dir))).select("query", "file", "position")
 
 
 @query(f"{C} select ordinal, '![' || coalesce(title, 'image') || '](' || url || ')' as line from c")
@@ -582,3 +622,6 @@ def snk_markdown(spark, sf_dir):
 @query(f"{U} select api_key, arg_max(request_id, struct_pack(ts := ts, id := request_id)) as request_id from u group by api_key")
 def snk_upsert_subscription(spark, sf_dir):
     return sinks.latest_by(usage_of(spark, sf_dir), "api_key", ["ts", "request_id"]).select("api_key", "request_id")
+
+
+from slatebed.plans import more  # noqa: E402, F401  the queries of the audit, billing and page operators

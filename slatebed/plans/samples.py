@@ -31,6 +31,3 @@ PAYLOADS = {
         "burst": {"photos": [{"title": "Cat", "image_url": _IMAGE, "photographer": {"name": "Sue"}}]},
     }.items()
 }
-STORY_PAGE = """<html><head><meta property="og:image" content="/hero.jpg"><link rel="license" href="https://x.example/licenses/by-sa/4.0"></head>
-<body><img src="one.png" width="300" alt="One"><img data-src="https://cdn.pixabay.com/two.jpg"></body></html>"""
-SERP_PAGE = """<script>x=[["https://full.example/a.jpg",1200,800],["https://full.example/b.png",640,480],["https://full.example/a.jpg",1,1],["https://t.gstatic.com/c.jpg",9,9]]</script>"""

@@ -254,6 +254,12 @@ SPECS: dict[str, SourceSpec] = {
         {"url": "coalesce(r.image_1300, r.image_md, r.image)", "thumbnail_url": "coalesce(r.image_md, r.image_1300, r.image)", "source_page_url": "coalesce(r.pageURL, r.url)", "title": "r.title", "author": "coalesce(r.user.display_name, r.user.username)", "license_url": CC0_URL},
         fixed("CC0", 0.9),
     ),
+    "similar": SourceSpec(
+        "image_results array<struct<link:string,thumbnail:string,title:string>>",
+        "j.image_results",
+        {"url": "coalesce(r.thumbnail, r.link)", "source_page_url": "r.link", "title": "r.title"},
+        by_host("coalesce(r.thumbnail, r.link)"),
+    ),
     "burst": SourceSpec(
         "photos array<struct<title:string,image_url:string,thumbnail_url:string,permalink:string,page_url:string,photographer:struct<name:string>>>, results array<struct<title:string,image_url:string,thumbnail_url:string,permalink:string,page_url:string,photographer:struct<name:string>>>",
         "coalesce(j.photos, j.results)",

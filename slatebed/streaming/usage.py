@@ -24,3 +24,9 @@ def units_by_window(stream: DataFrame, width: str = "1 day", late: str = "1 hour
 def new_urls(stream: DataFrame, late: str = "30 days") -> DataFrame:
     """Rows whose query has not shown the URL within the watermark."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["query", "url"])
+
+
+def first_effects(stream: DataFrame, late: str = "30 days") -> DataFrame:
+    """Deliveries ``event_id, ts, ok`` that take effect: the first good one of each event."""
+    good = stream.where("ok").withColumn("ts", F.col("ts").cast("timestamp"))
+    return good.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
