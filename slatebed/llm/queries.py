@@ -8,6 +8,7 @@ from slatebed.llm.dac import op5_dac_tokens
 from slatebed.llm.imatch import op2_imatch
 from slatebed.llm.mixing import op9_entropy_mix
 from slatebed.llm.oracles import IMATCH, QUALITY
+from slatebed.llm.periods import op13_periodic_runs
 from slatebed.llm.ppm import op7_ppm
 from slatebed.llm.quality import op6_host_quality
 from slatebed.llm.simhash import op8_simhash
@@ -31,6 +32,7 @@ QUERIES = {
     "op8_simhash": _on("documents", op8_simhash),
     "op9_entropy_mix": _on("documents", op9_entropy_mix),
     "op10_url_templates": _on("pages", op10_url_templates),
+    "op13_periodic_runs": _on("documents", op13_periodic_runs),
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_imatch": IMATCH, "op6_host_quality": QUALITY}
