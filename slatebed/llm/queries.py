@@ -11,6 +11,7 @@ from slatebed.llm.oracles import IMATCH, QUALITY
 from slatebed.llm.periods import op13_periodic_runs
 from slatebed.llm.ppm import op7_ppm
 from slatebed.llm.quality import op6_host_quality
+from slatebed.llm.rules import op12_rule_ensemble
 from slatebed.llm.simhash import op8_simhash
 from slatebed.llm.substrings import op3_suffix_dedup
 from slatebed.llm.toxicity import op4_crf_toxicity
@@ -32,6 +33,7 @@ QUERIES = {
     "op8_simhash": _on("documents", op8_simhash),
     "op9_entropy_mix": _on("documents", op9_entropy_mix),
     "op10_url_templates": _on("pages", op10_url_templates),
+    "op12_rule_ensemble": lambda spark, sf_dir: op12_rule_ensemble(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op13_periodic_runs": _on("documents", op13_periodic_runs),
 }
 
