@@ -240,23 +240,24 @@ def _of_texts(texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int, in
         yield n, runs, _collapsed(ids[begins[i] : begins[i] + n], spelled, runs)
 
 
-def rewritten(doc_id: Column, text: Column) -> Column:
-    """The contract's texts: of every tenth document by hash the end is made periodic.
+def rewritten(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the contract's ``text``: of every tenth document by hash the end is made periodic.
 
     A null doc_id has the hash of an empty text and a null text has no words;
     other texts are left as they are.
     """
-    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
-    g = F.floor(h / 10).cast("long")
-    found = words(text)
-
-    def repeat(ws: Column) -> Column:
-        n = F.size(ws).cast("long")
-        a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-        return F.array_join(F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, (a + (i - a) % p).cast("int")))), " ")
-
-    return F.when((h % 10 == 0) & (F.size(found) > 0), repeat(found)).otherwise(text)
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    one = docs.select("doc_id", text_or_empty().alias("_text"), F.floor(h / 10).cast("long").alias("_g"), (h % 10 == 0).alias("_chosen"))
+    # a column of its own: the words must not be split again for each of them
+    two = one.withColumn("_words", F.when(F.col("_chosen"), words(F.col("_text"))))
+    n = F.size("_words").cast("long")
+    a = F.col("_g") % n
+    p = 1 + F.floor((n - a) / (3 + F.col("_g") % 8)).cast("long")
+    three = two.withColumns({"_a": F.when(n > 0, a), "_p": F.when(n > 0, p)})
+    moved = F.transform(
+        "_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    )
+    return three.select("doc_id", F.when(F.col("_p").isNotNull(), F.array_join(moved, " ")).otherwise(F.col("_text")).alias("text"))
 
 
 def op13_periodic_runs(docs: DataFrame) -> DataFrame:
@@ -266,7 +267,7 @@ def op13_periodic_runs(docs: DataFrame) -> DataFrame:
     rows; a null doc_id has the hash of an empty text; other columns are
     ignored; an empty table gives no rows.
     """
-    found = periodic_runs(docs.select("doc_id", "text"), rewritten(F.col("doc_id"), text_or_empty()))
+    found = periodic_runs(rewritten(docs), F.col("text"))
     # exact fractions; runs come by start, then period, and only a larger one replaces an earlier one
     best = F.aggregate(
         F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))),
