@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,7 +212,7 @@ def periodic_runs(docs: DataFrame, text: Column, key: str = "doc_id") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
-            sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+            sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
             for rows in _parts(sizes, BATCH_BYTES):
                 low, n = int(rows[0]), len(rows)
                 found = list(_of_texts(column.slice(low, n).cast(pa.binary()).to_pylist()))
