@@ -49,3 +49,25 @@ o as (select *, coalesce(lead(fp) over (order by doc_id), first_value(fp) over (
 select doc_id, n::bigint as n_chars, edited_sha256, array_to_string(fp, '') as fingerprint, array_to_string(efp, '') as edited_fingerprint,
   {_LIKE.format(a='fp', b='efp')} as near_edited, {_LIKE.format(a='fp', b='nfp')} as near_next from o
 """
+
+# CRC-32 of a number's digits: eight shifts after each digit
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: list_prepend(ascii(x)::bigint, [-1, -1, -1, -1, -1, -1, -1, -1]::bigint[])))), lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, (c & 1) * 3988292384) end), 4294967295)"
+
+TRIE = f"""
+with x as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+t as (select conv_id, turn, role, sha256(strlen(role) || ':' || role || text) as digest, strlen(text) as size from x),
+o as (select conv_id, digest, size, row_number() over (partition by conv_id order by turn nulls first, role, digest) - 1 as i from t),
+c as (select conv_id, {_CRC} % 9 as h from (select distinct conv_id from o)),
+b as (select c.conv_id, 0 as part, i, digest, size from c join o on o.conv_id = c.conv_id - c.conv_id % 5 and i < h
+  union all select c.conv_id, 1, i, digest, size from c join o on o.conv_id = c.conv_id and i >= h),
+p as (select conv_id, size, string_agg(digest, '') over w as path, row_number() over w as depth, count(*) over (partition by conv_id) as whole from b window w as (partition by conv_id order by part, i)),
+r as (select conv_id, depth, size, sha256(path) as node, coalesce(lag(sha256(path)) over (partition by conv_id order by depth), 'root') as parent, whole = depth as ends from p
+  union all select conv_id, 0, 0, 'root', null, conv_id not in (select conv_id from b) from c),
+n as (select node, any_value(depth) as depth, any_value(size) as size, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs,
+  coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '') as ends from r group by node),
+k as (select parent as node, count(*) as n_children from n where parent is not null group by parent),
+m as (select n.*, coalesce(n_children, 0) as n_children from n left join k using (node)),
+s as (select r.node, sum((m.n_children = 0)::int) as n_leaves, sum((m.n_convs - 1) * m.size) as saved from m join r on r.conv_id = m.conv_id and r.depth <= m.depth group by r.node)
+select m.conv_id, m.depth::bigint as depth, q.conv_id as parent_conv_id, m.n_convs::bigint as n_convs, m.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, sha256(m.ends) as ends_sha256
+from m join s using (node) left join m q on q.node = m.parent
+"""

@@ -7,9 +7,10 @@ from slatebed.llm.common import table
 from slatebed.llm.dac import op5_dac_tokens
 from slatebed.llm.imatch import op2_imatch
 from slatebed.llm.mixing import op9_entropy_mix
-from slatebed.llm.oracles import IMATCH, QUALITY
+from slatebed.llm.oracles import IMATCH, QUALITY, TRIE
 from slatebed.llm.periods import op13_periodic_runs
 from slatebed.llm.ppm import op7_ppm
+from slatebed.llm.prefix_trie import op11_prefix_trie
 from slatebed.llm.quality import op6_host_quality
 from slatebed.llm.rules import op12_rule_ensemble
 from slatebed.llm.simhash import op8_simhash
@@ -33,8 +34,9 @@ QUERIES = {
     "op8_simhash": _on("documents", op8_simhash),
     "op9_entropy_mix": _on("documents", op9_entropy_mix),
     "op10_url_templates": _on("pages", op10_url_templates),
+    "op11_prefix_trie": _on("conversations", op11_prefix_trie),
     "op12_rule_ensemble": lambda spark, sf_dir: op12_rule_ensemble(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op13_periodic_runs": _on("documents", op13_periodic_runs),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_imatch": IMATCH, "op6_host_quality": QUALITY}
+ORACLE_SQL: dict[str, str] = {"op2_imatch": IMATCH, "op6_host_quality": QUALITY, "op11_prefix_trie": TRIE}
