@@ -1,7 +1,8 @@
 """Union, deduplication, policy, ranking and credit of candidates.
 
-Input order matters in all of these, so candidates carry an ``ordinal``. Each
-operator is one window or one join by query and key.
+Input order matters in all of these, so candidates carry an ``ordinal``. A query
+may have most of the rows, so ranks are numbered over ranges of the order and
+best rows are aggregates; windows are left to groups of copies.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from slatebed.dims import CONTEXT_SAFE, OPEN, provider_dim
 from slatebed.functions.license import attribution, is_context_safe, license_rank
 from slatebed.functions.urls import normalize_url
 from slatebed.functions.values import looks_personal
+from slatebed.operators.totals import numbered
 
 POLICIES = ("open-only", "context-safe", "safe-only", "prefer-safe", "any")
 
@@ -57,12 +59,17 @@ def dedupe_url(df: DataFrame, best_copy: bool = False) -> DataFrame:
     return keyed.withColumn("_place", place).where("_place = 1").drop("_place", "_key")
 
 
-def _rank_keys(policy: str) -> list[Column]:
+def _ascending_keys() -> tuple[Column, ...]:
+    """License rank, confidence, pixels, filled fields and ordinal; the middle three count from the largest."""
     pixels = F.coalesce("width", F.lit(0)).cast("long") * F.coalesce("height", F.lit(0))
     filled = sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0) for c in ("author", "source_page_url", "title")), F.lit(0))
     confidence = F.coalesce("confidence", F.when(is_context_safe(F.col("license")), 0.5).otherwise(0.0))
-    rank = license_rank(F.col("license"))
-    keys = [rank, confidence.desc(), pixels.desc(), filled.desc(), F.col("ordinal")]
+    return license_rank(F.col("license")), confidence, pixels, filled, F.col("ordinal")
+
+
+def _rank_keys(policy: str) -> list[Column]:
+    rank, confidence, pixels, filled, ordinal = _ascending_keys()
+    keys = [rank, confidence.desc(), pixels.desc(), filled.desc(), ordinal]
     return [F.when(rank < 99, 0).otherwise(1), *keys] if policy == "prefer-safe" else keys
 
 
@@ -70,12 +77,23 @@ def rank_all(df: DataFrame, policy: str = "safe-only", width: int = 0, height: i
     """Filtered rows with ``position`` within the query and ``score`` 1 / position."""
     policy = resolve_policy(policy)
     kept = minimum_size(policy_filter(df, policy), width, height)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(*_rank_keys(policy)))
-    return kept.withColumn("position", place).withColumn("score", F.lit(1.0) / F.col("position"))
+    return numbered(kept, ["query"], _rank_keys(policy)).withColumn("score", F.lit(1.0) / F.col("position"))
 
 
-def pick_best(df: DataFrame, **how) -> DataFrame:
-    return rank_all(df, **how).where("position = 1")
+def _least(policy: str) -> Column:
+    """The rank keys as one struct whose least is the best row."""
+    keys = _rank_keys(policy)
+    split = len(keys) - 5  # prefer-safe has one more in front
+    rank, confidence, pixels, filled, ordinal = _ascending_keys()
+    return F.struct(*keys[:split], rank, (-confidence).alias("c"), (-pixels).alias("p"), (-filled).alias("f"), ordinal)
+
+
+def pick_best(df: DataFrame, policy: str = "safe-only", width: int = 0, height: int = 0) -> DataFrame:
+    """Each query's first-ranked row, by partial minima and no sort."""
+    policy = resolve_policy(policy)
+    kept = minimum_size(policy_filter(df, policy), width, height)
+    best = kept.groupBy("query").agg(F.min_by(F.struct(*kept.columns), _least(policy)).alias("_best"))
+    return best.select("_best.*", F.lit(1).cast("long").alias("position"), F.lit(1.0).alias("score"))
 
 
 def limit_per_source(df: DataFrame, most: int) -> DataFrame:
@@ -92,14 +110,20 @@ def enrich(df: DataFrame) -> DataFrame:
     return out.withColumn("attribution_line", F.coalesce(had, line)).drop("_name")
 
 
-def warnings_of(df: DataFrame, query: str, policy: str = "safe-only") -> DataFrame:
-    """One row with the warnings that a result calls for."""
-    found = F.array(
-        F.when(looks_personal(F.lit(query)), "query may contain personal data"),
-        F.when(F.coalesce(F.bool_or(F.col("source") == "browser"), F.lit(False)), "result has browser-sourced rows"),
-        F.when(F.lit(policy == "any"), "license policy is any"),
+def warnings_of(found: DataFrame, queries: DataFrame, policy: str = "safe-only", dry_run: bool = False) -> DataFrame:
+    """``query, warnings`` of each query asked, in the order that they are given.
+
+    A dry run says so, a query that seems to hold personal data is told apart,
+    rows that a browser has found are told of, and so is a policy without limits.
+    """
+    browsed = found.groupBy("query").agg(F.bool_or(F.col("source") == "browser").alias("_browsed"))
+    warnings = F.array(
+        F.when(F.lit(dry_run), "dry-run"),
+        F.when(looks_personal(F.col("query")), "pii"),
+        F.when(F.coalesce("_browsed", F.lit(False)), "browser"),
+        F.when(F.lit(policy == "any"), "any-policy"),
     )
-    return df.agg(F.filter(found, lambda w: w.isNotNull()).alias("warnings"))
+    return queries.join(browsed, "query", "left").select("query", F.filter(warnings, lambda w: w.isNotNull()).alias("warnings"))
 
 
 def new_since(current: DataFrame, seen: DataFrame) -> DataFrame:
@@ -115,8 +139,8 @@ def provider_report(df: DataFrame, requested: DataFrame) -> DataFrame:
 
 def batch_top(df: DataFrame, queries: DataFrame) -> DataFrame:
     """For each query its count and first-ranked URL; queries without rows stay."""
-    ranked = rank_all(df)
-    top = ranked.groupBy("query").agg(F.count("*").alias("n"), F.min_by("url", "position").alias("top_url"))
+    kept = policy_filter(df, "safe-only")
+    top = kept.groupBy("query").agg(F.count("*").alias("n"), F.min_by("url", _least("safe-only")).alias("top_url"))
     return queries.join(top, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n"), "top_url")
 
 
@@ -135,9 +159,14 @@ def overlaid(*layers: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in reversed(layers)))
 
 
-def best_of_bucket(df: DataFrame, bucket: str) -> DataFrame:
-    """Of each bucket and license rank the largest row, then the surest."""
+def best_copies(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each group of near copies the one to keep: largest, freest, surest, then smallest file.
+
+    ``groups`` has ``ordinal, group``; rows in no group stay. Nothing is sorted:
+    a group may have any number of copies.
+    """
     pixels = F.coalesce("width", F.lit(0)).cast("long") * F.coalesce("height", F.lit(0))
-    order = [pixels.desc(), F.coalesce("confidence", F.lit(0.0)).desc(), F.col("ordinal")]
-    place = F.row_number().over(Window.partitionBy(bucket, license_rank(F.col("license"))).orderBy(*order))
-    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+    order = F.struct((-pixels).alias("p"), license_rank(F.col("license")), (-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.coalesce("bytes", F.lit((1 << 63) - 1)), F.col("ordinal"))
+    grouped = df.join(groups, "ordinal", "left").withColumn("group", F.coalesce("group", F.col("ordinal").cast("string")))
+    best = grouped.groupBy("group").agg(F.min_by("ordinal", order).alias("ordinal"))
+    return df.join(best.select("ordinal"), "ordinal", "left_semi")

@@ -37,10 +37,9 @@ def markdown_image(title: Column, path: Column, line: Column) -> Column:
 
 
 def manifest(ranked: DataFrame) -> DataFrame:
-    """Numbered file names for each query's rows, in order of position."""
-    number = F.row_number().over(Window.partitionBy("query").orderBy("position"))
+    """File names for the rows of a ranking, numbered by position within the query."""
     ending = F.lower(F.coalesce(F.nullif(F.regexp_extract("url", r"\.([A-Za-z]{3,4})(?:[?#]|$)", 1), F.lit("")), F.lit("img")))
-    return ranked.withColumn("file", F.concat(F.format_string("%03d", number), F.lit("."), ending)).select("query", "file", "url", "license", "position")
+    return ranked.withColumn("file", F.concat(F.format_string("%03d", F.col("position")), F.lit("."), ending)).select("query", "file", "url", "license", "position")
 
 
 def latest_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

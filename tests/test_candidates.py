@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+import pytest
+
 from slatebed.dims import CANDIDATE
 from slatebed.operators import candidates as ops
 from slatebed.operators.hashes import greedy_dedupe, hamming_pairs
@@ -81,3 +83,65 @@ def test_greedy_dedupe_matches_sequential_rule(spark):
             kept.append((i, x))
     got = {r.ordinal for r in greedy_dedupe(df, 6, checkpoint=lambda d: d.persist()).collect()}
     assert got == {i for i, _ in kept} | {99}
+
+
+@pytest.mark.parametrize("most", [1, 5, 6])
+def test_pairs_of_every_radius_once_each(spark, monkeypatch, most):
+    from slatebed.operators import hashes as module
+
+    h = hashes(120, 10 + most) + ["ABCDEF0123456789", "short", None]
+    df = spark.createDataFrame([(x,) for x in h], "phash string")
+    low = {x.lower() for x in h if x and len(x) == 16}
+    want = sorted((a, b, n) for a in low for b in low if a < b and (n := (int(a, 16) ^ int(b, 16)).bit_count()) <= most)
+    assert sorted(map(tuple, hamming_pairs(df, most).collect())) == want
+    monkeypatch.setattr(module, "CROWDED", 0)  # every key is cut further
+    assert sorted(map(tuple, hamming_pairs(df, most).collect())) == want
+
+
+def test_meetings_dont_grow_with_the_square_of_the_hashes(spark):
+    from slatebed.operators import hashes as module
+
+    def joined(rows):  # rows that the joins make, by their own filters
+        df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in rows], "bits long")
+        return module._meetings(df, 5).count()
+
+    rng = random.Random(3)
+    assert joined(rng.getrandbits(64) for _ in range(2_000)) <= 2
+    assert joined(rng.getrandbits(64) for _ in range(20_000)) < 200  # a hundredth of the hashes
+    # a crowd that shares a half: the 48-bit keys tell nearly all of it apart
+    assert joined((0xABCD << 32) | rng.getrandbits(32) for _ in range(4_000)) < 3 * 4_000
+
+
+def test_pairs_beyond_the_radius_are_refused(spark):
+    with pytest.raises(ValueError):
+        hamming_pairs(spark.createDataFrame([], "phash string"), 8)
+
+
+def test_places_of_a_total_order(spark):
+    from pyspark.sql import functions as F
+
+    from slatebed.operators.totals import numbered, running_total
+
+    rng = random.Random(5)
+    data = [(rng.choice(["all"] * 30 + ["b", None]), rng.randrange(20), i, rng.randrange(5)) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, k int, ordinal long, v int").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = numbered(df, ["g"], [F.desc("k"), F.col("ordinal")]).collect()
+        totals = running_total(df, ["g"], [F.desc("k"), F.col("ordinal")], F.col("v"), "used").collect()
+        whole = numbered(df, [], [F.col("v"), F.col("ordinal")], "place").collect()
+        # no task holds a whole group
+        places = numbered(df.where("g = 'all'"), ["g"], [F.col("ordinal")])
+        assert "RANGE" in places._jdf.queryExecution().toString().upper() or places.count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    used = 0
+    for g in ("all", "b", None):
+        rows, used = sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2])), 0
+        assert [(r.ordinal, r.position) for r in sorted((r for r in got if r.g == g), key=lambda r: r.position)] == [(r[2], i + 1) for i, r in enumerate(rows)]
+        by_id = {r.ordinal: r.used for r in totals if r.g == g}
+        for r in rows:
+            used += r[3]
+            assert by_id[r[2]] == used
+    assert [r.ordinal for r in sorted(whole, key=lambda r: r.place)] == [r[2] for r in sorted(data, key=lambda r: (r[3], r[2]))]
+    assert numbered(df.limit(0), ["g"], [F.col("ordinal")]).collect() == []
