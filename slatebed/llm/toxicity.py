@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatebed.llm.common import text_or_empty
+from slatebed.llm.common import scratch, stored, text_or_empty
 
 #: Labelled documents to learn from, at most, of each label, and bytes of their
 #: texts. They are those with the least hashes of doc_id, so a sample is the
@@ -352,27 +352,30 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     Several labels of one doc_id count as toxic if any is; a null label is
     none. Different texts of one doc_id are documents of their own, equal ones
     are one. Of each label at most MOST_TOXIC or MOST_CLEAN come to the driver,
-    and no more whole texts than MOST_BYTES hold: the bound of the sample,
-    whatever the tables have. Without labelled documents the model is constant.
+    and no more whole texts than MOST_BYTES hold, texts that don't fit being
+    passed over: the bound of the sample, whatever the tables have. Without labelled documents the model is constant.
     """
+    spark = docs.sparkSession
     marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id"), folds) != 0)
-    every = docs.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
-    texts, label = [], []
-    for value, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
-        some = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        theirs = every.join(F.broadcast(some.select("doc_id")), "doc_id")  # so many rows at most
-        about = theirs.select("doc_id", "th", F.octet_length("text").alias("size")).distinct()
-        first = about.orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(most).collect()
-        chosen, left = [], MOST_BYTES
-        for row in first:
-            left -= row["size"]
-            if left < 0:
-                break
-            chosen.append((row["doc_id"], row["th"]))
-        wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, th long"))
-        found = theirs.join(wanted, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("text").alias("text")).toArrow()["text"].to_pylist()
-        texts += found
-        label += [value] * len(found)
+    kinds = ((1, MOST_TOXIC), (0, MOST_CLEAN))
+    least = [marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for value, most in kinds]
+    some = F.broadcast(least[0].union(least[1]))  # so many rows at most
+    with scratch(spark):
+        every = docs.select("doc_id", text_or_empty().alias("text")).join(some, "doc_id")
+        theirs = stored(every.withColumns({"th": F.xxhash64("text"), "size": F.octet_length("text")}), "labelled")
+        texts, label = [], []
+        for value, most in kinds:
+            mine = theirs.where(F.col("toxic") == value)
+            first = mine.select("doc_id", "th", "size").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(most).collect()
+            chosen, left = [], MOST_BYTES
+            for row in first:  # a text that doesn't fit is passed over, those behind it aren't
+                if row["size"] <= left:
+                    left -= row["size"]
+                    chosen.append((row["doc_id"], row["th"]))
+            wanted = F.broadcast(spark.createDataFrame(chosen, "doc_id long, th long"))
+            found = mine.join(wanted, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("text").alias("text")).toArrow()["text"].to_pylist()
+            texts += found
+            label += [value] * len(found)
     order = sorted(range(len(texts)), key=lambda i: (label[i], texts[i]))  # the same model whatever the order of rows
     return fit([texts[i] for i in order], [label[i] for i in order])
 
