@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from slatebed.llm.imatch import HASH_DIGITS, LEAST, MOST, NONE, SETS, SUBSETS
-from slatebed.llm.quality import DUP_LINE_SHARE, HOST_LIMIT, SYMBOLS_A_WORD
+from slatebed.llm.quality import BENEFIT, DUP_LINE_SHARE, HIGHEST, SPREADS, SYMBOLS_A_WORD, TIMES_MEAN
 
 _GAP = r"'[ \x09-\x0D]+'"
 
@@ -16,16 +16,18 @@ p as (select doc_id, count(distinct pos) as n_repeat_words from (select doc_id,
 c as (select w.doc_id, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, len(ls) as n_lines,
   coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join p on w.doc_id = p.doc_id),
-r as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-  n_words < 10 or 100 * n_repeat_words > 20 * n_words or n_symbols > {SYMBOLS_A_WORD} * n_words or n_dup_lines > {DUP_LINE_SHARE} * n_lines as failed from c),
-h as (select source, count(*)::double as n, sum(failed::int)::double as k from r group by source),
-a as (select sum(n) as n, sum(k) as k, count(*) as hosts, sum(n * n) as n2, sum(k) / sum(n) as mean from h),
-v as (select sum(h.n * pow(h.k / h.n - a.mean, 2)) as var from h, a),
-x as (select a.*, case when mean * (1 - mean) > 0 and n - n2 / n > 0 then (var - (hosts - 1) * mean * (1 - mean)) / ((n - n2 / n) * mean * (1 - mean)) else 0 end as extra from a, v),
-s as (select mean, greatest(1.0, least(n, case when extra > 0 then 1 / extra - 1 else n end)) as strength from x),
-o as (select source, (h.k + strength * mean) / (h.n + strength) as host_rate from h, s)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (failed or host_rate > {HOST_LIMIT}) as kept, round(host_rate, 6) as host_rate
-from r join o on r.source is not distinct from o.source
+r as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, n_symbols > {SYMBOLS_A_WORD} * n_words as symbols_failed, n_dup_lines > {DUP_LINE_SHARE} * n_lines as lines_failed from c),
+f as (select source, unnest(['base', 'symbols', 'lines']) as rule, unnest([base_failed, symbols_failed, lines_failed]) as failed from r),
+h as (select rule, source, count(*)::double as n, sum(failed::int)::double as k from f group by all),
+a as (select rule, sum(n) as n, count(*) as hosts, sum(n * n) as n2, sum(k) / sum(n) as mean from h group by rule),
+v as (select rule, any_value(a.n) as n, any_value(hosts) as hosts, any_value(n2) as n2, any_value(mean) as mean, sum(h.n * pow(h.k / h.n - mean, 2)) as spread from h join a using (rule) group by rule),
+x as (select *, mean * (1 - mean) as chance, case when mean * (1 - mean) > 0 and n - n2 / n > 0 then (spread - (hosts - 1) * mean * (1 - mean)) / ((n - n2 / n) * mean * (1 - mean)) else 0 end as extra from v),
+s as (select rule, mean, chance, greatest(1.0, least(n, case when extra > 0 then 1 / extra - 1 else n end)) as strength from x),
+l as (select rule, mean, strength, least({HIGHEST}, greatest({TIMES_MEAN} * mean, mean + {SPREADS} * sqrt(chance / (strength + 1)))) as most from s),
+o as (select rule, source, n + strength as weight, (k + strength * mean) / (n + strength) as rate, most from h join l using (rule)),
+w2 as (select source, bool_or(rate - {BENEFIT} * sqrt(rate * (1 - rate) / (weight + 1)) > most) as rejected, max(rate) filter (rule = 'base') as base_rate, max(rate) filter (rule = 'symbols') as symbols_rate, max(rate) filter (rule = 'lines') as lines_rate from o group by source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or rejected) as kept, round(base_rate, 6) as base_rate, round(symbols_rate, 6) as symbols_rate, round(lines_rate, 6) as lines_rate, rejected
+from r join w2 on r.source is not distinct from w2.source
 """
 
 _COUNT = "list_sum(list_transform(range(1, {n} + 1), lambda i: ({test})::int))".replace("{n}", str(SUBSETS))

@@ -1,10 +1,14 @@
 """Quality rules with verdicts by host.
 
-Rules are counted for each document, their failures are summed for each host,
-and a host's failure rate is shrunk towards that of all hosts by a beta prior
-whose two parameters come from the hosts' own rates (method of moments). A
-host whose shrunken rate is over ``HOST_LIMIT`` loses all of its documents; of
-other hosts only documents that fail a rule themselves go.
+Three rules are counted for each document. For each host and rule the share of
+documents that fail is shrunk towards that of all hosts by a beta prior, whose
+two parameters come from the hosts' own rates (method of moments). A host is
+rejected if some rule's rate is over that rule's limit even at the low end of
+its posterior. The limit follows from the prior: SPREADS of its standard
+deviations over its mean and TIMES_MEAN times the mean at least, but no more
+than HIGHEST. A document that fails the base rules goes by itself; of any other
+its host decides, and its own failures of the other rules are evidence for the
+host only.
 """
 
 from __future__ import annotations
@@ -14,8 +18,11 @@ from pyspark.sql import functions as F
 
 from slatebed.llm.common import small, stored, text_or_empty, unpacked, words
 
-#: A host's documents all go if more than this share is expected to fail.
-HOST_LIMIT = 0.6
+#: A rule's limit for a host: standard deviations of the prior over its mean,
+#: times the mean at least, and the share of failing documents that is too many anywhere.
+SPREADS, TIMES_MEAN, HIGHEST = 2.0, 2.0, 0.5
+#: Standard deviations of a host's posterior that its rate is lowered by before it is held against the limit.
+BENEFIT = 1.645
 #: The rule against symbols: so many of them to a word.
 SYMBOLS_A_WORD = 0.25
 #: The rule against repeated lines: so large a share of the lines with a word.
@@ -108,32 +115,40 @@ def document_rules(docs: DataFrame, host: str = "source", whole_rows: bool = Fal
     )
 
 
-def host_verdicts(judged: DataFrame) -> DataFrame:
-    """``judged(host, failed)`` to ``host, n_docs, n_failed, host_rate``.
+RULES = ("base", "symbols", "lines")
 
-    The prior's mean is the share of all documents that fail and its strength
-    follows from how much more the hosts' rates vary than chance alone makes
-    them. Hosts that vary no more than that get a prior as strong as all rows.
+
+def host_verdicts(judged: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """``judged(host, <rule>_failed)`` to ``host, n_docs, <rule>_rate, rejected``.
+
+    A rule's prior has the share of all documents that fail as its mean, and its
+    strength follows from how much more the hosts' rates vary than chance alone
+    makes them. Hosts that vary no more than that get a prior as strong as all
+    rows, and none of them is rejected.
     """
-    hosts = judged.groupBy("host").agg(
-        F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")
-    )
-    total = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("k"), F.count("*").alias("hosts"), F.sum(F.col("n_docs") * F.col("n_docs")).alias("n2"))
-    row = total.first()  # four numbers
-    n, k = row["n"] or 0, row["k"] or 0
-    if not n:
-        return hosts.withColumn("host_rate", F.lit(0.0))
-    mean = k / n
-    var = hosts.agg(F.sum(F.col("n_docs") * F.pow(F.col("n_failed") / F.col("n_docs") - F.lit(mean), F.lit(2.0))).alias("s")).first()["s"]
-    chance = mean * (1 - mean)
-    # E[s] = (hosts - 1) * chance + extra * (n - n2 / n) * chance, extra = 1 / (1 + strength) roughly
-    free = n - row["n2"] / n
-    extra = (var - (row["hosts"] - 1) * chance) / (free * chance) if chance and free > 0 else 0.0
-    strength = min(float(n), 1 / extra - 1 if extra > 0 else float(n))
-    strength = max(strength, 1.0)
-    return hosts.withColumn(
-        "host_rate", (F.col("n_failed") + F.lit(strength * mean)) / (F.col("n_docs") + F.lit(strength))
-    )
+    hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), *(F.sum(F.col(f"{r}_failed").cast("long")).alias(f"_{r}") for r in rules))
+    total = hosts.agg(
+        F.sum("n_docs").alias("n"), F.count("*").alias("hosts"), F.sum(F.col("n_docs") * F.col("n_docs")).alias("n2"), *(F.sum(f"_{r}").alias(r) for r in rules)
+    ).first()  # a few numbers
+    n = total["n"] or 0
+    means = {r: (total[r] or 0) / max(n, 1) for r in rules}
+    rate = lambda r: F.col(f"_{r}") / F.col("n_docs")
+    spread = hosts.agg(*(F.sum(F.col("n_docs") * F.pow(rate(r) - F.lit(means[r]), F.lit(2.0))).alias(r) for r in rules)).first()
+    rejected = F.lit(False)
+    for r in rules:
+        mean = means[r]
+        chance = mean * (1 - mean)
+        # E[spread] = (hosts - 1) * chance + extra * (n - n2 / n) * chance, extra = 1 / (1 + strength) roughly
+        free = n - (total["n2"] or 0) / max(n, 1)
+        extra = (spread[r] - (total["hosts"] - 1) * chance) / (free * chance) if chance > 0 and free > 0 else 0.0
+        strength = max(1.0, min(float(max(n, 1)), 1 / extra - 1 if extra > 0 else float(max(n, 1))))
+        limit = min(HIGHEST, max(TIMES_MEAN * mean, mean + SPREADS * (chance / (strength + 1)) ** 0.5))
+        weight = F.col("n_docs") + F.lit(strength)
+        shrunk = (F.col(f"_{r}") + F.lit(strength * mean)) / weight
+        low = shrunk - F.lit(BENEFIT) * F.sqrt(shrunk * (1 - shrunk) / (weight + 1))
+        hosts = hosts.withColumn(f"{r}_rate", shrunk)
+        rejected = rejected | (low > F.lit(limit))
+    return hosts.withColumn("rejected", rejected).select("host", "n_docs", *(f"{r}_rate" for r in rules), "rejected")
 
 
 def quality_verdicts(docs: DataFrame, host: str = "source", whole_rows: bool = False) -> DataFrame:
@@ -150,25 +165,24 @@ def quality_verdicts(docs: DataFrame, host: str = "source", whole_rows: bool = F
             "lines_failed": F.col("n_dup_lines") > DUP_LINE_SHARE * F.col("n_lines"),
         }
     )
-    rules = rules.withColumn("failed", F.col("base_failed") | F.col("symbols_failed") | F.col("lines_failed"))
     hosts = small(stored(host_verdicts(rules), "hosts"), FEW_HOSTS)
     return (
         rules.alias("r")
         .join(hosts.alias("h"), F.col("r.host").eqNullSafe(F.col("h.host")), "left")
-        .select("r.*", "h.n_docs", "h.n_failed", "h.host_rate")
-        .withColumn("kept", ~(F.col("failed") | (F.col("host_rate") > HOST_LIMIT)))
+        .select("r.*", "h.n_docs", *(f"h.{r}_rate" for r in RULES), "h.rejected")
+        .withColumn("kept", ~(F.col("base_failed") | F.col("rejected")))
     )
 
 
 def op6_host_quality(docs: DataFrame) -> DataFrame:
-    """The contract's columns and the host's expected rate of failures.
+    """The contract's columns, the host's expected rates of failures and whether it is rejected.
 
     Null texts have no words and fail; a null source is a host of its own; rows
     that repeat are judged each; other columns are ignored. An empty table
     gives no rows.
     """
     return quality_verdicts(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(F.round(f"{r}_rate", 6).alias(f"{r}_rate") for r in RULES), "rejected"
     )
 
 
