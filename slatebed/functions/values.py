@@ -29,8 +29,8 @@ def project_cost(plan: Column, units: Column, base_cents: Column, included: Colu
 
 
 def retention_days(plan: Column, override: Column) -> Column:
-    """Days by plan; only enterprise may override, with more than 0."""
-    usual = F.when(plan == "pro", 180).when(plan.isin("team", "enterprise"), 365).otherwise(90)
+    """Days by plan, 365 for one that isn't known; only enterprise may override, with more than 0."""
+    usual = F.when(plan == "free", 90).when(plan == "pro", 180).otherwise(365)
     return F.when((plan == "enterprise") & (override > 0), override).otherwise(usual).cast("int")
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from slatebed.functions.values import csv_cell
 
 # Events that may be sent, roles by what they may do, keys and tokens that are hidden.
-EVENTS = ("search", "download", "click", "view")
-MANAGERS, PAYERS, MAKERS = ("owner", "admin"), ("owner", "billing"), ("owner", "admin", "member")
+EVENTS = ("cli_invoked", "search_completed", "fetch_completed", "provider_error", "telemetry_enabled", "telemetry_disabled")
+MANAGERS, PAYERS, MAKERS = ("owner", "admin"), ("owner", "admin", "billing"), ("owner", "admin", "member")
 HIDDEN_KEY = "api[_-]?key|secret|token|password|passwd|pwd|bearer|authorization|session|cookie|ssn"
 BEARER = r"Bearer\s+[A-Za-z0-9._~+/=-]+"
 DEEPEST, LONGEST_META, LONGEST_TEXT = 6, 1024, 128

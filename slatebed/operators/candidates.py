@@ -16,6 +16,7 @@ from slatebed.dims import CONTEXT_SAFE, OPEN, provider_dim
 from slatebed.functions.license import attribution, is_context_safe, license_rank
 from slatebed.functions.urls import normalize_url
 from slatebed.functions.values import looks_personal
+from slatebed.operators.hashes import hamming_pairs
 from slatebed.operators.totals import numbered
 
 POLICIES = ("open-only", "context-safe", "safe-only", "prefer-safe", "any")
@@ -159,14 +160,30 @@ def overlaid(*layers: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in reversed(layers)))
 
 
-def best_copies(df: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of each group of near copies the one to keep: largest, freest, surest, then smallest file.
+def best_copies(df: DataFrame, most: int = 5, digits: int = 4) -> DataFrame:
+    """Rows of which no better near copy is in the same bucket: larger, freer, surer, then a smaller file.
 
-    ``groups`` has ``ordinal, group``; rows in no group stay. Nothing is sorted:
-    a group may have any number of copies.
+    Buckets are the first hexadecimal digits of the hash, copies are within
+    ``most`` bits. Equal hashes are one class, of which the best row stays;
+    pairs of classes come from the wide-key lookup, so a bucket may have any
+    number of rows. Rows without a hash stay.
     """
     pixels = F.coalesce("width", F.lit(0)).cast("long") * F.coalesce("height", F.lit(0))
-    order = F.struct((-pixels).alias("p"), license_rank(F.col("license")), (-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.coalesce("bytes", F.lit((1 << 63) - 1)), F.col("ordinal"))
-    grouped = df.join(groups, "ordinal", "left").withColumn("group", F.coalesce("group", F.col("ordinal").cast("string")))
-    best = grouped.groupBy("group").agg(F.min_by("ordinal", order).alias("ordinal"))
-    return df.join(best.select("ordinal"), "ordinal", "left_semi")
+    order = F.struct(
+        (-pixels).alias("pixels"), license_rank(F.col("license")).alias("rank"), (-F.coalesce("confidence", F.lit(0.0))).alias("confidence"),
+        F.coalesce("bytes", F.lit((1 << 63) - 1)).alias("bytes"), F.col("ordinal").alias("ordinal"),
+    )
+    classes = df.where("phash is not null").groupBy(F.lower("phash").alias("phash")).agg(F.min(order).alias("best"))
+    pairs = hamming_pairs(classes, most).where(F.substring("hash_a", 1, digits) == F.substring("hash_b", 1, digits))
+    a = classes.select(F.col("phash").alias("hash_a"), F.col("best").alias("best_a"))
+    b = classes.select(F.col("phash").alias("hash_b"), F.col("best").alias("best_b"))
+    lost = pairs.join(a, "hash_a").join(b, "hash_b").select(F.when(F.col("best_a") < F.col("best_b"), F.col("hash_b")).otherwise(F.col("hash_a")).alias("phash"))
+    kept = classes.join(lost, "phash", "left_anti").select("best.ordinal")
+    return df.where("phash is null").unionByName(df.where("phash is not null").join(kept, "ordinal", "left_semi").select(df.columns))
+
+
+def bucket_recall(df: DataFrame, most: int = 5, digits: int = 4) -> DataFrame:
+    """How many of the pairs of near hashes lie in one bucket."""
+    pairs = hamming_pairs(df, most)
+    found = F.count_if(F.substring("hash_a", 1, digits) == F.substring("hash_b", 1, digits))
+    return pairs.agg(F.count("*").alias("pairs"), found.alias("found"), (found / F.count("*")).alias("recall"))

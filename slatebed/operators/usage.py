@@ -73,14 +73,58 @@ def usage_by_window(df: DataFrame, unit: str) -> DataFrame:
     return df.groupBy("workspace_id", F.date_trunc(unit, "ts").alias("window_start")).agg(F.sum("units").alias("used"))
 
 
-def usage_snapshot(usage: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """Plan, units, overage and projected cost of every workspace, unused ones included."""
-    used = usage.groupBy("workspace_id").agg(F.sum("units").alias("used"))
+def usage_by_plan_window(usage: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Units by workspace and the window of its plan; ``unit`` is day or month. Usage of no known workspace counts as free."""
+    plans = workspaces.select("workspace_id", F.when(known_plan(F.col("plan")) == "free", "day").otherwise("month").alias("unit"))
+    known = usage.groupBy("workspace_id", F.date_trunc("day", "ts").alias("day")).agg(F.sum("units").alias("units"))
+    rows = known.join(plans, "workspace_id", "left").withColumn("unit", F.coalesce("unit", F.lit("day")))
+    start = F.when(F.col("unit") == "day", F.col("day")).otherwise(F.date_trunc("month", "day"))
+    return rows.groupBy("workspace_id", "unit", start.alias("window_start")).agg(F.sum("units").alias("used"))
+
+
+def rolling_compare(daily: DataFrame, n: int) -> DataFrame:
+    """Each day's last n days against the n before them, by place in the series; it has a row a day."""
+    order = Window.orderBy("day")
+    last = F.sum("fetches").over(order.rowsBetween(1 - n, 0))
+    before = F.coalesce(F.sum("fetches").over(order.rowsBetween(1 - 2 * n, -n)), F.lit(0))
+    rows = daily.select("day", last.alias("last"), before.alias("before"))
+    return rows.withColumn("delta_pct", F.round((F.col("last") - F.col("before")) / F.when(F.col("before") == 0, 1).otherwise(F.col("before")) * 100, 6))
+
+
+def last_time(rows: DataFrame) -> Column:
+    """The time of the last row, read once, as a literal."""
+    return F.lit(rows.agg(F.max("ts")).first()[0])
+
+
+def known_plan(plan: Column) -> Column:
+    """The plan itself, or free for one that isn't known."""
+    return F.when(plan.isin("pro", "team", "enterprise"), plan).otherwise("free")
+
+
+def plan_window(plan: Column, at: Column) -> tuple[Column, Column]:
+    """Start and end of the plan's window: the day for free, the month for others, in UTC."""
+    daily = known_plan(plan) == "free"
+    day, month = F.date_trunc("day", at).cast("timestamp_ntz"), F.date_trunc("month", at).cast("timestamp_ntz")
+    return F.when(daily, day).otherwise(month), F.when(daily, day + F.expr("interval 1 day")).otherwise(F.add_months(month, 1).cast("timestamp_ntz"))
+
+
+def usage_snapshot(usage: DataFrame, workspaces: DataFrame, now: Column) -> DataFrame:
+    """Plan, window, units used in it, overage and projected cost of every workspace, unused ones included.
+
+    Only usage of the month of ``now`` is read.
+    """
+    month, day = F.date_trunc("month", now).cast("timestamp_ntz"), F.date_trunc("day", now).cast("timestamp_ntz")
+    this = usage.where((F.col("ts") >= month) & (F.col("ts") < F.add_months(month, 1).cast("timestamp_ntz")))
+    today = (F.col("ts") >= day) & (F.col("ts") < day + F.expr("interval 1 day"))
+    used = this.groupBy("workspace_id").agg(F.sum("units").alias("_month"), F.sum(F.when(today, F.col("units"))).alias("_day"))
     plans = F.broadcast(plan_dim(usage.sparkSession))  # four rows
-    joined = workspaces.join(used, "workspace_id", "left").join(plans, "plan")
-    units = F.coalesce("used", F.lit(0)).cast("long")
+    known = workspaces.withColumn("plan", known_plan(F.col("plan")))
+    joined = known.join(used, "workspace_id", "left").join(plans, "plan")
+    units = F.coalesce(F.when(F.col("plan") == "free", F.col("_day")).otherwise(F.col("_month")), F.lit(0)).cast("long")
     cost = project_cost(F.col("plan"), units, F.col("base_cents"), F.col("included"), F.col("overage_millicents"))
-    return joined.select("workspace_id", "plan", units.alias("used"), "included", cost.alias("cost")).select("workspace_id", "plan", "used", "included", "cost.*")
+    start, end = plan_window(F.col("plan"), now)
+    found = joined.select("workspace_id", "plan", start.alias("window_start"), end.alias("window_end"), units.alias("used"), "included", cost.alias("cost"))
+    return found.select("workspace_id", "plan", "window_start", "window_end", "used", "included", F.greatest(F.col("used") - F.col("included"), F.lit(0)).cast("long").alias("overage"), "cost.*")
 
 
 def daily_series(df: DataFrame, cost_per_fetch: float = 0.012) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +9,12 @@ from slatebed.functions import license as lic
 from slatebed.functions import urls, values
 from slatebed.operators import audit, billing, extract, sinks, sites, usage
 from slatebed.operators import candidates as ops
+from slatebed.operators.totals import numbered
 from slatebed.plans.inputs import candidates, read
 from slatebed.plans.inputs import usage as usage_of
 from slatebed.plans.inputs import workspaces as workspaces_of
-from slatebed.plans.queries import _DAILY, _PLANS, ORDER, RANK, C, U, query
+from slatebed.plans.queries import _AVERAGE, _DAILY, _PLANS, _SNAPSHOT, NORMAL, ORDER, RANK, C, U, fn_ahash_bytes, query
+from slatebed.sources.shared import new_path
 from slatebed.streaming import usage as streams
 
 # -- filters
@@ -83,7 +82,7 @@ def flt_endpoint(spark, sf_dir):
 _ROLE = "(['owner', 'admin', 'member', 'billing', 'viewer'])[c_custkey % 5 + 1]"
 
 
-@query(f"select c_custkey, {_ROLE} in ('owner', 'admin') as members, {_ROLE} in ('owner', 'billing') as pays, {_ROLE} in ('owner', 'admin', 'member') as makes_keys from customer")
+@query(f"select c_custkey, {_ROLE} in ('owner', 'admin') as members, {_ROLE} in ('owner', 'admin', 'billing') as pays, {_ROLE} in ('owner', 'admin', 'member') as makes_keys from customer")
 def flt_rbac(spark, sf_dir):
     role = F.element_at(F.array(*map(F.lit, ("owner", "admin", "member", "billing", "viewer"))), (F.col("c_custkey") % 5 + 1).cast("int"))
     return read(spark, sf_dir, "customer").select("c_custkey", role.isin(*audit.MANAGERS).alias("members"), role.isin(*audit.PAYERS).alias("pays"), role.isin(*audit.MAKERS).alias("makes_keys"))
@@ -95,14 +94,24 @@ def flt_telemetry_scrub(spark, sf_dir):
     return d.select("doc_id", F.size(audit.telemetry_props(F.create_map(F.lit("text"), F.col("text")))).alias("kept"))
 
 
-@query("select event_id from events where event_type in ('search', 'download', 'click', 'view')")
+#: The events of the log under the names that may be sent; a sign-up has none.
+_SENT = "case event_type when 'click' then 'search_completed' when 'view' then 'cli_invoked' when 'purchase' then 'fetch_completed' when 'error' then 'provider_error' else event_type end"
+
+
+@query(f"select event_id, name from (select event_id, {_SENT} as name from events) where name in ('cli_invoked', 'search_completed', 'fetch_completed', 'provider_error', 'telemetry_enabled', 'telemetry_disabled')")
 def flt_event_allowlist(spark, sf_dir):
-    return read(spark, sf_dir, "events").where(F.col("event_type").isin(*audit.EVENTS)).select("event_id")
+    e = read(spark, sf_dir, "events").select("event_id", F.expr(_SENT).alias("name"))
+    return e.where(F.col("name").isin(*audit.EVENTS))
+
 
+_SAFE = "license in ('CC0', 'PUBLIC_DOMAIN', 'CC_BY', 'CC_BY_SA', 'EDITORIAL_LICENSED', 'PRESS_KIT_ALLOWLIST')"
 
-@query(f"{C} select ordinal, license from c where license in ('CC0', 'PUBLIC_DOMAIN', 'CC_BY', 'CC_BY_SA')")
+
+@query(f"{C}, p as (select unnest(['any', 'context-safe', 'open-only', 'prefer-safe', 'safe-only']) as policy) select policy, count(*) as kept, sum(ordinal)::bigint as ordinals from c, p where policy in ('any', 'prefer-safe') or (policy in ('context-safe', 'safe-only') and {_SAFE}) or license in ('CC0', 'PUBLIC_DOMAIN', 'CC_BY', 'CC_BY_SA') group by policy")
 def flt_policy(spark, sf_dir):
-    return ops.policy_filter(candidates(spark, sf_dir), "open-only").select("ordinal", "license")
+    """What each of the policies lets through."""
+    c = candidates(spark, sf_dir)
+    return ops.union_candidates([ops.policy_filter(c, p).agg(F.count("*").alias("kept"), F.sum("ordinal").alias("ordinals")).select(F.lit(p).alias("policy"), "kept", "ordinals") for p in ops.POLICIES])
 
 
 @query(f"{C} select ordinal, license from c")
@@ -151,10 +160,10 @@ def snk_usage_flush(spark, sf_dir):
 # -- numbers
 
 
-@query(f"{U}, {_PLANS}, s as (select w.workspace_id, w.plan, coalesce(sum(u.units), 0) as used from w left join u on u.workspace_id = w.workspace_id group by all) select workspace_id, case when included = 0 then 0.0 else used / included end::double as share, case when used >= included then 'over' when used >= 0.8 * included then 'near' else 'fine' end as level from s join p on s.plan = p.plan")
+@query(f"{U}, {_PLANS}, {_SNAPSHOT} select workspace_id, case when included = 0 then 0.0 else used / included end::double as share, case when used >= included then 'over' when used >= 0.8 * included then 'near' else 'fine' end as level from o")
 def agg_quota_pct(spark, sf_dir):
-    snapshot = usage.usage_snapshot(usage_of(spark, sf_dir), workspaces_of(spark, sf_dir))
-    return usage.quota_share(snapshot)
+    u = usage_of(spark, sf_dir)
+    return usage.quota_share(usage.usage_snapshot(u, workspaces_of(spark, sf_dir), usage.last_time(u)))
 
 
 @query(f"{U}, d as ({_DAILY}) select day, floor(cost_usd * 100 + 0.5)::bigint as cents from d")
@@ -199,12 +208,19 @@ _number("agg_avg_per_day", "select floor(sum(fetches) / greatest(count(*), 1) +
 _number("agg_peak_day", "select day as peak_day from d order by fetches desc, day limit 1", lambda n: F.date_format("peak_day", "yyyy-MM-dd").alias("peak_day"))
 _DELTA = ", b as (select *, row_number() over (order by day desc) as back from d), x as (select sum(fetches) filter (back <= 7) as last, coalesce(sum(fetches) filter (back between 8 and 14), 0) as before from b) select round((last - before) / (case when before = 0 then 1 else before end) * 100, 6) as delta_pct from x"
 _number("agg_delta7", _DELTA, lambda n: n.delta_pct)
-_number("win_rolling_cmp", _DELTA, lambda n: n.delta_pct)
 
 
-@query(f"{U} select workspace_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as window_start, sum(units)::bigint as used from u group by all")
+@query(f"{U}, d as ({_DAILY}), b as (select day, sum(fetches) over w as last, sum(fetches) over v as before from d window w as (order by day rows between 6 preceding and current row), v as (order by day rows between 13 preceding and 7 preceding)) select day, last::bigint as last, coalesce(before, 0)::bigint as before, round((last - coalesce(before, 0)) / (case when coalesce(before, 0) = 0 then 1 else before end) * 100, 6) as delta_pct from b")
+def win_rolling_cmp(spark, sf_dir):
+    """Seven days against the seven before, for every day of the series."""
+    return usage.rolling_compare(usage.daily_series(usage_of(spark, sf_dir)), 7).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query(f"{U}, k as (select u.*, case when w.plan in ('pro', 'team', 'enterprise') then 'month' else 'day' end as unit from u left join w on u.workspace_id = w.workspace_id) select workspace_id, unit, strftime(case unit when 'day' then date_trunc('day', ts) else date_trunc('month', ts) end, '%Y-%m-%d') as window_start, sum(units)::bigint as used from k group by all")
 def agg_usage_window(spark, sf_dir):
-    return usage.usage_by_window(usage_of(spark, sf_dir), "day").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    """Units by the window of the workspace's plan: days for free, months for others."""
+    found = usage.usage_by_plan_window(usage_of(spark, sf_dir), workspaces_of(spark, sf_dir))
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 # -- sorts and limits
@@ -228,9 +244,10 @@ def lim_display(spark, sf_dir):
     return ops.rank_all(candidates(spark, sf_dir)).where("position <= 20").select("query", "ordinal")
 
 
-@query(f"{C}, r as (select *, row_number() over (partition by query order by {ORDER}) as position from c where license <> 'UNKNOWN') select query, ordinal, position::int as position from r")
+@query(f"{C} select ordinal, row_number() over (order by {ORDER}) as place from c")
 def srt_multi_key(spark, sf_dir):
-    return ops.rank_all(candidates(spark, sf_dir)).select("query", "ordinal", "position")
+    """All candidates in one order of many keys; the places are numbered without one task for all."""
+    return numbered(candidates(spark, sf_dir), [], ops._rank_keys("any"), "place").select("ordinal", "place")
 
 
 @query(f"{U} select endpoint, count(*) as n from u group by endpoint order by n desc, endpoint limit 6")
@@ -254,16 +271,33 @@ def set_overlay_map(spark, sf_dir):
     return c.select("ordinal", ops.overlaid(F.lit("nobody"), F.col("title"), F.col("author")).alias("name"))
 
 
-@query(f"{C}, h as (select doc_id, substr(sha256(coalesce(text, '')), 1, 4) as bucket from documents), r as (select ordinal, row_number() over (partition by bucket, {RANK} order by coalesce(width, 0)::bigint * coalesce(height, 0) desc, coalesce(confidence, 0) desc, ordinal) as p from c join h on ordinal = doc_id) select ordinal from r where p = 1")
+def _hashed(spark, sf_dir):
+    h = fn_ahash_bytes(spark, sf_dir).select(F.col("doc_id").alias("ordinal"), "phash")
+    size = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    return candidates(spark, sf_dir).join(h, "ordinal").join(size, "ordinal")
+
+
+_NEAR = f"""{_AVERAGE}, x as (select doc_id, phash, ('0x' || substr(phash, 1, 8))::bigint as hi, ('0x' || substr(phash, 9, 8))::bigint as lo from h)"""
+
+
+@query(f"""{C}, {_NEAR}, k as (select x.*, row_number() over (order by coalesce(width, 0)::bigint * coalesce(height, 0) desc, {RANK}, coalesce(confidence, 0) desc, octet_length(encode(coalesce(text, ''))), c.ordinal) as better from c join x on c.ordinal = x.doc_id join documents t on t.doc_id = x.doc_id),
+e as (select phash, any_value(hi) as hi, any_value(lo) as lo, min(better) as better, arg_min(doc_id, better) as ordinal from k group by phash)
+select ordinal from e a where not exists (select 1 from e b where b.better < a.better and substr(a.phash, 1, 4) = substr(b.phash, 1, 4) and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 5)""")
 def dup_recipe(spark, sf_dir):
-    """The best copy of each bucket and license by size and confidence."""
-    h = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 4).alias("bucket"))
-    return ops.best_of_bucket(candidates(spark, sf_dir).join(h, "ordinal"), "bucket").select("ordinal")
+    """Of near copies in a bucket of the hash's top 16 bits the best, by size, license, confidence and bytes."""
+    return ops.best_copies(_hashed(spark, sf_dir)).select("ordinal")
 
 
-@query(f"{C}, r as (select *, row_number() over (partition by query, url order by ordinal) as p from c) select query, ordinal from r where p = 1")
+@query(f"with {_NEAR}, e as (select distinct phash, hi, lo from x), p as (select substr(a.phash, 1, 4) = substr(b.phash, 1, 4) as same from e a join e b on a.phash < b.phash and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 5) select count(*) as pairs, count(*) filter (same) as found, count(*) filter (same) / count(*) as recall from p")
+def dup_recall(spark, sf_dir):
+    """What the buckets of the recipe find of all near pairs."""
+    return ops.bucket_recall(fn_ahash_bytes(spark, sf_dir))
+
+
+@query(f"{C}, r as (select *, row_number() over (partition by query, {NORMAL} order by ordinal) as p from c) select query, ordinal from r where p = 1")
 def win_dedupe_first(spark, sf_dir):
-    return ops.first_by(candidates(spark, sf_dir), "query", "url").select("query", "ordinal")
+    """The first row of each normalised address."""
+    return ops.first_by(candidates(spark, sf_dir), "query", urls.normalize_url(F.col("url"))).select("query", "ordinal")
 
 
 # -- functions
@@ -351,10 +385,16 @@ def fn_units_for(spark, sf_dir):
     return usage_of(spark, sf_dir).select("request_id", values.units_for(F.col("endpoint")).alias("cost"))
 
 
-@query(f"{C} select 1 as one, count(*) filter (source = 'browser') > 0 as browser from c")
+_PII = r"\b\d{3}-\d{2}-\d{4}\b|\b\d{16}\b|@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]{2,}"
+
+
+@query(f"""with c as (select coalesce(text, '') as query, lang as source from documents), q as (select query, bool_or(coalesce(source = 'fr', false)) as browsed from c group by query)
+select sha256(query) as query, array_to_string(list_filter(['dry-run', case when regexp_matches(query, '{_PII}') then 'pii' end, case when browsed then 'browser' end, 'any-policy'], lambda x: x is not null), ',') as warnings from q""")
 def prj_warnings(spark, sf_dir):
-    told = ops.warnings_of(candidates(spark, sf_dir), "cats")
-    return told.select(F.lit(1).alias("one"), F.exists("warnings", lambda w: w.contains("browser")).alias("browser"))
+    """Texts as queries; what was found in French counts as found by a browser."""
+    c = read(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("query"), F.when(F.col("lang") == "fr", "browser").otherwise(F.col("lang")).alias("source"))
+    told = ops.warnings_of(c, c.select("query").distinct(), "any", dry_run=True)
+    return told.select(F.sha2("query", 256).alias("query"), F.array_join("warnings", ",").alias("warnings"))
 
 
 # -- pages
@@ -383,8 +423,7 @@ def fn_reconcile_license(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slatebed-")
-    return f"{root.rstrip('/')}/slatebed/more-{uuid.uuid4().hex}"
+    return new_path(spark, "more")
 
 
 @query("select doc_id % 97 as batch, 'https://r.example/' || doc_id || '.jpg' as url, 'UNKNOWN' as license from documents")

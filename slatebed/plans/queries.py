@@ -23,6 +23,7 @@ from slatebed.plans.inputs import usage as usage_of
 from slatebed.plans.inputs import workspaces as workspaces_of
 from slatebed.plans.samples import PAYLOADS
 from slatebed.sources import providers
+from slatebed.sources.shared import new_path, written
 from slatebed.streaming import usage as streams
 
 QUERIES: dict = {}
@@ -41,17 +42,6 @@ def query(sql: str | None = None):
     return register
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder, so that a loop's rounds are not computed again."""
-    import tempfile
-    import uuid
-
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slatebed-")
-    path = f"{root.rstrip('/')}/slatebed/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _tags(tags: list[str]) -> str:
     return ", ".join(f"'{t}'" for t in tags)
 
@@ -92,12 +82,12 @@ def flt_min_dims(spark, sf_dir):
     return ops.minimum_size(candidates(spark, sf_dir), 800, 300).select("ordinal", "width", "height")
 
 
-@query(f"{C}, r as (select *, row_number() over (partition by query order by {ORDER}) as position from c where license <> 'UNKNOWN') select query, ordinal, cast(position as int) as position, 1.0::double / position as score from r")
+@query(f"{C}, r as (select *, row_number() over (partition by query order by {ORDER}) as position from c where license <> 'UNKNOWN') select query, ordinal, position, 1.0::double / position as score from r")
 def win_rank_all(spark, sf_dir):
     return ops.rank_all(candidates(spark, sf_dir)).select("query", "ordinal", "position", "score")
 
 
-@query(f"{C}, r as (select *, row_number() over (partition by query order by case when license = 'UNKNOWN' then 1 else 0 end, {ORDER}) as position from c) select query, ordinal, cast(position as int) as position from r")
+@query(f"{C}, r as (select *, row_number() over (partition by query order by case when license = 'UNKNOWN' then 1 else 0 end, {ORDER}) as position from c) select query, ordinal, position from r")
 def win_rank_prefer_safe(spark, sf_dir):
     return ops.rank_all(candidates(spark, sf_dir), "prefer-safe").select("query", "ordinal", "position")
 
@@ -246,12 +236,21 @@ def fn_ahash_bytes(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", values.average_hash(F.coalesce("text", F.lit("")).cast("binary")).alias("phash"))
 
 
-@query()
+#: The rule as it is told: one hash after another, against those that are kept.
+_GREEDY = f"""with recursive {_AVERAGE}, f as (select phash, min(doc_id) as ordinal from h group by phash),
+o as (select row_number() over (order by ordinal) as i, ordinal, phash, ('0x' || substr(phash, 1, 8))::bigint as hi, ('0x' || substr(phash, 9, 8))::bigint as lo from f),
+g as (select 0::bigint as i, [{{'hi': -1::bigint, 'lo': -1::bigint}}][2:] as kept, true as own union all
+  select i, case when own then list_append(kept, {{'hi': hi, 'lo': lo}}) else kept end, own
+  from (select o.i, kept, hi, lo, len(list_filter(kept, lambda k: bit_count(xor(k.hi, hi)) + bit_count(xor(k.lo, lo)) <= 6)) = 0 as own from g join o on o.i = g.i + 1))
+select ordinal, phash from o join g using (i) where own"""
+
+
+@query(_GREEDY)
 def set_dedupe_hash(spark, sf_dir):
     from slatebed.operators.hashes import greedy_dedupe
 
     rows = fn_ahash_bytes(spark, sf_dir).withColumnRenamed("doc_id", "ordinal")
-    return greedy_dedupe(rows, 6, checkpoint=lambda d: _written(d, "dedupe")).select("ordinal", "phash")
+    return greedy_dedupe(rows, 6, checkpoint=lambda d: written(d, "dedupe")).select("ordinal", "phash")
 
 
 @query("with h as (select sha256(text) as sha256, doc_id from documents) select sha256, min(doc_id) as first_seen, max(doc_id) as last_hit, count(*) as hit_count from h group by sha256")
@@ -301,13 +300,19 @@ def agg_usage_window_monthly(spark, sf_dir):
 
 
 _PLANS = "p as (select * from (values ('free', 0, 100, 0), ('pro', 1900, 10000, 1500), ('team', 7900, 50000, 1000), ('enterprise', 0, 1000000, 0)) t(plan, base_cents, included, mc))"
-_SNAPSHOT = f"""s as (select w.workspace_id, w.plan, coalesce(sum(u.units), 0)::bigint as used from w left join u on u.workspace_id = w.workspace_id group by all),
+_SNAPSHOT = f"""n as (select max(ts) as now from u),
+d as (select w.workspace_id, coalesce(p.plan, 'free') as plan, case when p.plan in ('pro', 'team', 'enterprise') then date_trunc('month', now) else date_trunc('day', now) end as window_start,
+  case when p.plan in ('pro', 'team', 'enterprise') then date_trunc('month', now) + interval 1 month else date_trunc('day', now) + interval 1 day end as window_end from w left join p on w.plan = p.plan, n),
+s as (select d.workspace_id, d.plan, d.window_start, d.window_end, coalesce(sum(u.units), 0)::bigint as used from d left join u on u.workspace_id = d.workspace_id and u.ts >= window_start and u.ts < window_end group by all),
 o as (select s.*, p.base_cents::bigint as base_cents, p.included::bigint as included, mc, case when s.plan in ('pro', 'team') then greatest(used - p.included, 0) else 0 end::bigint as overage_units from s join p on s.plan = p.plan)"""
 
 
-@query(f"{U}, {_PLANS}, {_SNAPSHOT} select workspace_id, plan, used, included, base_cents, overage_units, floor((overage_units * mc + 500) / 1000)::bigint as overage_cents, base_cents + floor((overage_units * mc + 500) / 1000)::bigint as total_cents from o")
+@query(f"{U}, {_PLANS}, {_SNAPSHOT} select workspace_id, plan, strftime(window_start, '%Y-%m-%d') as window_start, strftime(window_end, '%Y-%m-%d') as window_end, used, included, greatest(used - included, 0)::bigint as overage, base_cents, overage_units, floor((overage_units * mc + 500) / 1000)::bigint as overage_cents, base_cents + floor((overage_units * mc + 500) / 1000)::bigint as total_cents from o")
 def agg_usage_snapshot(spark, sf_dir):
-    return usage.usage_snapshot(usage_of(spark, sf_dir), workspaces_of(spark, sf_dir))
+    """Every workspace in its plan's window as of the log's last request."""
+    u = usage_of(spark, sf_dir)
+    s = usage.usage_snapshot(u, workspaces_of(spark, sf_dir), usage.last_time(u))
+    return s.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("window_start", "window_end")})
 
 
 @query("select c_custkey, case when seg in ('pro', 'team') then greatest(u - inc, 0) else 0 end::bigint as overage_units, floor((case when seg in ('pro', 'team') then greatest(u - inc, 0) else 0 end * mc + 500) / 1000)::bigint as overage_cents from (select c_custkey, c_custkey * 37 as u, (['free', 'pro', 'team', 'enterprise'])[c_custkey % 4 + 1] as seg, ([100, 10000, 50000, 1000000])[c_custkey % 4 + 1] as inc, ([0, 1500, 1000, 0])[c_custkey % 4 + 1] as mc from customer)")
@@ -335,16 +340,17 @@ def agg_dashboard(spark, sf_dir):
     return usage.dashboard_numbers(usage.daily_series(usage_of(spark, sf_dir))).withColumn("peak_day", F.date_format("peak_day", "yyyy-MM-dd"))
 
 
-@query(f"{U}, k as (select workspace_id, case when plan = 'enterprise' and audit_retention_days > 0 then audit_retention_days when plan = 'pro' then 180 when plan in ('team', 'enterprise') then 365 else 90 end as keep_days from w) select request_id, u.workspace_id from u join k on u.workspace_id = k.workspace_id where u.ts < timestamp '2024-04-20' - to_days(keep_days::int)")
+@query(f"{U}, k as (select workspace_id, case when plan = 'enterprise' and audit_retention_days > 0 then audit_retention_days when plan = 'pro' then 180 when plan = 'free' then 90 else 365 end as keep_days from w) select request_id, u.workspace_id from u join k on u.workspace_id = k.workspace_id where u.ts < timestamp '2024-04-20' - to_days(keep_days::int)")
 def jn_retention(spark, sf_dir):
     now = F.lit("2024-04-20 00:00:00").cast("timestamp_ntz")
     return usage.expired(usage_of(spark, sf_dir), workspaces_of(spark, sf_dir), now).select("request_id", "workspace_id")
 
 
-@query("select c_custkey, case when plan = 'enterprise' and over > 0 then over when plan = 'pro' then 180 when plan in ('team', 'enterprise') then 365 else 90 end::int as days from (select c_custkey, (['free', 'pro', 'team', 'enterprise'])[c_custkey % 4 + 1] as plan, case when c_custkey % 3 = 0 then 30 end as over from customer)")
+@query("select c_custkey, case when plan = 'enterprise' and over > 0 then over when plan = 'free' then 90 when plan = 'pro' then 180 else 365 end::int as days from (select c_custkey, (['free', 'pro', 'team', 'enterprise', 'trial', null])[c_custkey % 6 + 1] as plan, case when c_acctbal > 0 then floor(c_acctbal / 100)::int - 20 end as over from customer)")
 def fn_retention_days(spark, sf_dir):
-    plan = F.element_at(F.array(*map(F.lit, ("free", "pro", "team", "enterprise"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "customer").select("c_custkey", values.retention_days(plan, F.when(F.col("c_custkey") % 3 == 0, 30)).alias("days"))
+    plan = F.element_at(F.array(*map(F.lit, ("free", "pro", "team", "enterprise", "trial", None))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    own = F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") / 100).cast("int") - 20)
+    return read(spark, sf_dir, "customer").select("c_custkey", values.retention_days(plan, own).alias("days"))
 
 
 @query("select event_id, (n * case u when 's' then 1000 when 'm' then 60000 when 'h' then 3600000 when 'd' then 86400000 end)::bigint as ms from (select event_id, event_id % 90 as n, (['s', 'm', 'h', 'd', 'x'])[event_id % 5 + 1] as u from events)")
@@ -520,17 +526,13 @@ def fn_watch_key(spark, sf_dir):
 
 def _replayed(spark: SparkSession, sf_dir: str, make, mode: str) -> DataFrame:
     """Runs a stream over the events table to its end and returns what it has written."""
-    import tempfile
-    import uuid
-
     folder = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(folder).schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     kind = F.col("event_type")
     rows = raw.select(F.col("event_id").alias("request_id"), "ts", F.concat(F.lit("/v1/"), kind).alias("endpoint"), F.when(kind == "purchase", 2).when(kind == "view", 3).otherwise(1).alias("units"))
     out = make(rows)
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slatebed-")
-    path = f"{root.rstrip('/')}/slatebed/replay-{uuid.uuid4().hex}"
+    path = new_path(spark, "replay")
     written = []
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -608,7 +610,7 @@ def flt_robots(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", usage.robots_allow(text, path, "reader/1.0").alias("allowed"))
 
 
-@query(f"{C}, r as (select *, row_number() over (partition by query order by {ORDER}) as position from c where license <> 'UNKNOWN') select query, lpad(position::varchar, greatest(3, length(position::varchar))::int, '0') || '.jpg' as file, position::int as position from r")
+@query(f"{C}, r as (select *, row_number() over (partition by query order by {ORDER}) as position from c where license <> 'UNKNOWN') select query, lpad(position::varchar, greatest(3, length(position::varchar))::int, '0') || '.jpg' as file, position from r")
 def snk_manifest(spark, sf_dir):
     return sinks.manifest(ops.rank_all(candidates(spark, sf_dir))).select("query", "file", "position")
 
