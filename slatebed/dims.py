@@ -51,6 +51,9 @@ PLANS = [
     ("team", 7900, 50_000, "monthly", 1000, 300, 5, 365),
     ("enterprise", 0, 1_000_000, "monthly", 0, 1000, 100, 365),
 ]
+# Endpoints that cost units; the free plan has all but the last.
+ENDPOINTS = ("/v1/search", "/v1/artist", "/v1/album", "/v1/download", "/v1/probe", "/v1/license", "/v1/similar")
+FREE_ENDPOINTS = ENDPOINTS[:-1]
 OPEN = [row[0] for row in LICENSES if row[2]]
 CONTEXT_SAFE = [row[0] for row in LICENSES if row[3]]
 

@@ -284,11 +284,6 @@ def win_daily_cap(spark, sf_dir):
     return usage.admitted(u, ["workspace_id"], F.date_trunc("day", "ts"), 3).select("request_id", "admitted")
 
 
-@query()
-def st_quota_gate(spark, sf_dir):
-    return usage.quota_gate(usage_of(spark, sf_dir), 5).select("request_id", "allowed", "used")
-
-
 @query(f"{U} select workspace_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as window_start, sum(units)::bigint as used from u group by all")
 def agg_usage_window_daily(spark, sf_dir):
     return usage.usage_by_window(usage_of(spark, sf_dir), "day").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
@@ -524,14 +519,22 @@ def fn_watch_key(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 16).alias("watch_key"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of its files."""
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+
+
 def _replayed(spark: SparkSession, sf_dir: str, make, mode: str) -> DataFrame:
     """Runs a stream over the events table to its end and returns what it has written."""
-    folder = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(folder).schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     kind = F.col("event_type")
-    rows = raw.select(F.col("event_id").alias("request_id"), "ts", F.concat(F.lit("/v1/"), kind).alias("endpoint"), F.when(kind == "purchase", 2).when(kind == "view", 3).otherwise(1).alias("units"))
-    out = make(rows)
+    rows = event_stream(spark, sf_dir).select(F.col("event_id").alias("request_id"), "ts", F.concat(F.lit("/v1/"), kind).alias("endpoint"), F.when(kind == "purchase", 2).when(kind == "view", 3).otherwise(1).alias("units"))
+    return finished(make(rows), mode)
+
+
+def finished(out: DataFrame, mode: str) -> DataFrame:
+    """What a stream writes until its source has no more."""
+    spark = out.sparkSession
     path = new_path(spark, "replay")
     written = []
 
@@ -626,4 +629,4 @@ def snk_upsert_subscription(spark, sf_dir):
     return sinks.latest_by(usage_of(spark, sf_dir), "api_key", ["ts", "request_id"]).select("api_key", "request_id")
 
 
-from slatebed.plans import more  # noqa: E402, F401  the queries of the audit, billing and page operators
+from slatebed.plans import more, state  # noqa: E402, F401  further queries
