@@ -625,7 +625,7 @@ def snk_markdown(spark, sf_dir):
 
 
 @query(f"{U} select api_key, arg_max(request_id, struct_pack(ts := ts, id := request_id)) as request_id from u group by api_key")
-def snk_upsert_subscription(spark, sf_dir):
+def snk_latest_by_key(spark, sf_dir):
     return sinks.latest_by(usage_of(spark, sf_dir), "api_key", ["ts", "request_id"]).select("api_key", "request_id")
 
 
