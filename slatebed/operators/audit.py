@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,37 +43,57 @@ def append_audit(rows: DataFrame, meta: Column, path: str) -> None:
     rows.withColumn("meta", F.substring(meta, 1, LONGEST_META)).write.mode("append").parquet(path)
 
 
+def _members(value: Column) -> Column:
+    """``array<struct<key, value>>`` of a VARIANT: an object's members, an array's with null keys, null for a scalar."""
+    members = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    return F.coalesce(members, items)
+
+
+def _kind(value: Column) -> Column:
+    """The name of a VARIANT's type, without what is inside."""
+    return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
+
+
+def _text_json(text: Column) -> Column:
+    return F.to_json(text.cast("variant"))
+
+
 def telemetry_props(props: Column) -> Column:
-    """A map of strings without long ones and those that hold an address or a path."""
-    return F.map_filter(props, lambda k, v: (F.length(v) <= LONGEST_TEXT) & ~v.rlike(r"@|[/\\]"))
+    """The JSON of an object's numbers, booleans and strings, without long strings and those that hold an address or a path."""
+    entries = F.map_entries(F.try_variant_get(F.try_parse_json(props), "$", "map<string,variant>"))
+
+    def kept(e: Column) -> Column:
+        text = F.try_variant_get(e["value"], "$", "string")
+        fine = (F.length(text) <= LONGEST_TEXT) & ~text.rlike(r"@|[/\\]")
+        return F.when(_kind(e["value"]) == "STRING", fine).otherwise(_kind(e["value"]).isin("BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"))
+
+    shown = F.transform(F.filter(entries, kept), lambda e: F.concat(_text_json(e["key"]), F.lit(":"), F.to_json(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}"))
 
 
-def _scrubbed(value, depth: int = 0):
+def _scrubbed(value: Column, depth: int) -> Column:
+    """JSON of a VARIANT and, one expression inside the other, of what is in it down to DEEPEST."""
     if depth > DEEPEST:
-        return "[TRUNCATED]"
-    if isinstance(value, str):
-        return re.sub(BEARER, "Bearer [REDACTED]", value, flags=re.I)
-    if isinstance(value, list):
-        return [_scrubbed(v, depth + 1) for v in value]
-    if isinstance(value, dict):
-        return {k: "[REDACTED]" if re.search(HIDDEN_KEY, k, re.I) else _scrubbed(v, depth + 1) for k, v in value.items()}
-    return value
+        return F.lit('"[TRUNCATED]"')
+    text = F.regexp_replace(F.try_variant_get(value, "$", "string"), f"(?i){BEARER}", "Bearer [REDACTED]")
+    scalar = F.when(_kind(value) == "STRING", _text_json(text)).otherwise(F.coalesce(F.to_json(value), F.lit("null")))
 
+    def member(m: Column) -> Column:
+        inner = F.when(m["key"].rlike(f"(?i){HIDDEN_KEY}"), '"[REDACTED]"').otherwise(_scrubbed(m["value"], depth + 1))
+        return F.concat(F.coalesce(F.concat(_text_json(m["key"]), F.lit(":")), F.lit("")), inner)
 
-def scrub_json(text: Column) -> Column:
-    """JSON with values of sensitive keys and bearer tokens hidden, cut seven levels down; null if it is none."""
+    inside = F.array_join(F.transform(_members(value), member), ",")
+    return F.when(_kind(value) == "OBJECT", F.concat(F.lit("{"), inside, F.lit("}"))).when(_kind(value) == "ARRAY", F.concat(F.lit("["), inside, F.lit("]"))).otherwise(scalar)
 
-    def one(t):
-        try:
-            return json.dumps(_scrubbed(json.loads(t)), separators=(",", ":"))
-        except (TypeError, ValueError):
-            return None
 
-    @F.pandas_udf("string")
-    def scrubbed(column: pd.Series) -> pd.Series:
-        return pd.Series([one(t) for t in column], dtype=object)
+def scrub_json(text: Column) -> Column:
+    """JSON with values of sensitive keys and bearer tokens hidden, cut below the sixth level; null if it is none.
 
-    return scrubbed(text)
+    Keys come back in alphabetical order.
+    """
+    parsed = F.try_parse_json(text)
+    return F.when(parsed.isNotNull(), _scrubbed(parsed, 0))
 
 
 def captcha_kind(html: Column) -> Column:

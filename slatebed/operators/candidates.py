@@ -111,20 +111,25 @@ def enrich(df: DataFrame) -> DataFrame:
     return out.withColumn("attribution_line", F.coalesce(had, line)).drop("_name")
 
 
-def warnings_of(found: DataFrame, queries: DataFrame, policy: str = "safe-only", dry_run: bool = False) -> DataFrame:
-    """``query, warnings`` of each query asked, in the order that they are given.
+def warnings_of(found: DataFrame, queries: DataFrame, policy: str = "safe-only") -> DataFrame:
+    """``query, warnings`` of each of ``queries(query, dry_run)``.
 
-    A dry run says so, a query that seems to hold personal data is told apart,
-    rows that a browser has found are told of, and so is a policy without limits.
+    A blank query is told so and nothing else. A dry run finds nothing, so only
+    what the query itself calls for is said after it: that it seems to hold
+    personal data. Else rows that a browser has found are told of, and a policy
+    without limits.
     """
     browsed = found.groupBy("query").agg(F.bool_or(F.col("source") == "browser").alias("_browsed"))
+    dry = F.coalesce("dry_run", F.lit(False))
     warnings = F.array(
-        F.when(F.lit(dry_run), "dry-run"),
+        F.when(dry, "dry-run"),
         F.when(looks_personal(F.col("query")), "pii"),
-        F.when(F.coalesce("_browsed", F.lit(False)), "browser"),
-        F.when(F.lit(policy == "any"), "any-policy"),
+        F.when(~dry & F.coalesce("_browsed", F.lit(False)), "browser"),
+        F.when(~dry & F.lit(policy == "any"), "any-policy"),
     )
-    return queries.join(browsed, "query", "left").select("query", F.filter(warnings, lambda w: w.isNotNull()).alias("warnings"))
+    blank = F.trim(F.coalesce("query", F.lit(""))) == ""
+    told = F.when(blank, F.array(F.lit("empty"))).otherwise(F.filter(warnings, lambda w: w.isNotNull()))
+    return queries.join(browsed, "query", "left").select("query", told.alias("warnings"))
 
 
 def new_since(current: DataFrame, seen: DataFrame) -> DataFrame:

@@ -26,12 +26,6 @@ def flt_blank_query(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(F.coalesce("text", F.lit("")).rlike(r"[^ \n\t\r]")).select("doc_id")
 
 
-@query(r"with h as (select page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) as host from pages) select page_id from h where not (host = 'example.org' or host like '%.example.org' or host = 'com' or host like '%.com')")
-def flt_host_blocklist(spark, sf_dir):
-    blocked = urls.host_blocked(F.col("url"), ("example.org", "com"))
-    return read(spark, sf_dir, "pages").where(~blocked).select("page_id")
-
-
 @query("select doc_id, case when lang not in ('en', 'fr') then 'bad-type' when octet_length(encode(coalesce(text, ''))) > 2000 then 'too-large' end as error_kind from documents")
 def flt_content_type(spark, sf_dir):
     mime = F.when(F.col("lang").isin("en", "fr"), F.concat(F.lit("image/"), F.col("lang"), F.lit("; q=1"))).otherwise("text/html")
@@ -88,12 +82,6 @@ def flt_rbac(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", role.isin(*audit.MANAGERS).alias("members"), role.isin(*audit.PAYERS).alias("pays"), role.isin(*audit.MAKERS).alias("makes_keys"))
 
 
-@query(r"select doc_id, (length(text) <= 128 and not regexp_matches(text, '@|[/\\]'))::int as kept from documents where text is not null")
-def flt_telemetry_scrub(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", F.size(audit.telemetry_props(F.create_map(F.lit("text"), F.col("text")))).alias("kept"))
-
-
 #: The events of the log under the names that may be sent; a sign-up has none.
 _SENT = "case event_type when 'click' then 'search_completed' when 'view' then 'cli_invoked' when 'purchase' then 'fetch_completed' when 'error' then 'provider_error' else event_type end"
 
@@ -315,12 +303,6 @@ def fn_mime_ext(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", values.file_ending(F.lit(None).cast("string"), F.concat("url", ending)).alias("ext"))
 
 
-@query("select event_id, '{\"api_key\":\"[REDACTED]\",\"note\":\"Bearer [REDACTED] x\",\"value\":' || event_id || '}' as clean from events")
-def fn_scrub_value(spark, sf_dir):
-    raw = F.format_string('{"api_key": "k%s", "note": "bearer abc.%s x", "value": %s}', *(F.col("event_id").cast("string"),) * 3)
-    return read(spark, sf_dir, "events").select("event_id", audit.scrub_json(raw).alias("clean"))
-
-
 @query("select page_id, (['turnstile', 'recaptcha-v2', 'recaptcha-v3', 'hcaptcha', null])[page_id % 5 + 1] as kind from pages")
 def fn_detect_captcha(spark, sf_dir):
     shown = ['<div class="cf-turnstile" data-sitekey="a">', "<div class='x g-recaptcha' data-sitekey='b'>", '<script src="recaptcha/api.js?render=c">', '<div class="h-captcha" data-sitekey="d">', ""]
@@ -388,12 +370,13 @@ def fn_units_for(spark, sf_dir):
 _PII = r"\b\d{3}-\d{2}-\d{4}\b|\b\d{16}\b|@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]{2,}"
 
 
-@query(f"""with c as (select coalesce(text, '') as query, lang as source from documents), q as (select query, bool_or(coalesce(source = 'fr', false)) as browsed from c group by query)
-select sha256(query) as query, array_to_string(list_filter(['dry-run', case when regexp_matches(query, '{_PII}') then 'pii' end, case when browsed then 'browser' end, 'any-policy'], lambda x: x is not null), ',') as warnings from q""")
+@query(f"""with c as (select coalesce(text, '') as query, lang as source from documents), q as (select query, bool_or(coalesce(source = 'fr', false)) as browsed, bool_or(coalesce(source = 'es', false)) as dry from c group by query)
+select sha256(query) as query, case when trim(query, ' ') = '' then 'empty' else array_to_string(list_filter([case when dry then 'dry-run' end, case when regexp_matches(query, '{_PII}') then 'pii' end, case when browsed and not dry then 'browser' end, case when not dry then 'any-policy' end], lambda x: x is not null), ',') end as warnings from q""")
 def prj_warnings(spark, sf_dir):
-    """Texts as queries; what was found in French counts as found by a browser."""
+    """Texts as queries: what was found in French counts as found by a browser, what is in Spanish is asked for dry."""
     c = read(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("query"), F.when(F.col("lang") == "fr", "browser").otherwise(F.col("lang")).alias("source"))
-    told = ops.warnings_of(c, c.select("query").distinct(), "any", dry_run=True)
+    asked = c.groupBy("query").agg(F.bool_or(F.coalesce(F.col("source") == "es", F.lit(False))).alias("dry_run"))
+    told = ops.warnings_of(c, asked, "any")
     return told.select(F.sha2("query", 256).alias("query"), F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -458,11 +441,6 @@ def src_cache_read(spark, sf_dir):
     return sinks.get_blobs(spark, store, wanted).select("sha256", F.octet_length("content").alias("size"))
 
 
-@query(f"{U} select request_id, endpoint || ',' || units || ',' || '\"' || replace(props, '\"', '\"\"') || '\"' as line from u")
-def snk_csv_usage(spark, sf_dir):
-    return usage_of(spark, sf_dir).select("request_id", audit.audit_line(F.col("endpoint"), F.col("units"), F.col("props")).alias("line"))
-
-
 @query(f"{U} select request_id, endpoint || ',' || api_key || ',' || '\"' || replace(props, '\"', '\"\"') || '\"' as line from u where endpoint = '/v1/search'")
 def snk_csv_audit_ui(spark, sf_dir):
     u = usage_of(spark, sf_dir).where("endpoint = '/v1/search'")

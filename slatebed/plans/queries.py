@@ -369,12 +369,6 @@ def agg_count_status(spark, sf_dir):
     return usage_of(spark, sf_dir).agg(F.count_if(F.col("units") == 1).alias("single"), F.count_if(F.col("units") > 1).alias("heavy"))
 
 
-@query(f"""{U} select request_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((extract('millisecond' from ts)::int % 1000)::varchar, 3, '0') || 'Z' || ',' || api_key || ',' || endpoint || ',' || '"' || replace(props, '"', '""') || '"' as line from u""")
-def snk_csv_audit(spark, sf_dir):
-    cells = [F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.col("api_key"), F.col("endpoint"), F.col("props")]
-    return usage_of(spark, sf_dir).select("request_id", F.concat_ws(",", *(values.csv_cell(c, also_cr=True) for c in cells)).alias("line"))
-
-
 # -- joins over keys
 
 
@@ -629,4 +623,4 @@ def snk_latest_by_key(spark, sf_dir):
     return sinks.latest_by(usage_of(spark, sf_dir), "api_key", ["ts", "request_id"]).select("api_key", "request_id")
 
 
-from slatebed.plans import more, state  # noqa: E402, F401  further queries
+from slatebed.plans import more, search, state  # noqa: E402, F401  further queries
