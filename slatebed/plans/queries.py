@@ -11,6 +11,7 @@ from slatebed.functions import urls, values
 from slatebed.operators import candidates as ops
 from slatebed.operators import extract, hashes, sinks, sites, usage
 from slatebed.operators.metadata import embedded_metadata
+from slatebed.plans import landing
 from slatebed.plans.inputs import (
     CANDIDATES_SQL,
     USAGE_SQL,
@@ -21,7 +22,6 @@ from slatebed.plans.inputs import (
 )
 from slatebed.plans.inputs import usage as usage_of
 from slatebed.plans.inputs import workspaces as workspaces_of
-from slatebed.plans.samples import PAYLOADS
 from slatebed.sources import providers
 from slatebed.sources.shared import new_path, written
 from slatebed.streaming import usage as streams
@@ -418,30 +418,33 @@ def lim_ring(spark, sf_dir):
     return read(spark, sf_dir, "conversations").withColumn("p", place).where("p <= 2").select("conv_id", "turn", "text")
 
 
-def _responses(spark: SparkSession) -> DataFrame:
-    """Sample payloads of all sources, landed as they would come."""
-    return spark.createDataFrame([("cats", name, body) for name, body in PAYLOADS.items()], "query string, source string, body string")
-
-
 def _source(name: str):
     def run(spark, sf_dir):
-        return providers.candidates_of(_responses(spark), name).select("ordinal", "url", "license", "confidence", "author", "title")
+        found = providers.candidates_of(landing.responses(spark, sf_dir, name), name)
+        return found.select("query", "ordinal", "url", "license", "confidence", "author", "title")
 
+    run.__name__ = f"src_{name.replace('-', '_')}"
     return run
 
 
-for _name in (n for n in providers.SPECS if n in PAYLOADS):
-    QUERIES[f"src_{_name.replace('-', '_')}"] = _source(_name)
+for _name in landing.LANDED:
+    query(landing.expected(_name))(_source(_name))
 
 
-@query("select 0::bigint as ordinal, 'https://m.example/11.jpg' as url, 'CC0' as license")
+@query(f"""with c as ({landing._PAGED}), p as (select *, row_number() over (partition by page order by ordinal) - 1 as place from c)
+select page::varchar as query, place::bigint as ordinal, url, 'CC0' as license, title, author from p where license in ('CC0', 'PUBLIC_DOMAIN') and coalesce(width, 0) % 5 <> 0""")
 def src_met_museum(spark, sf_dir):
-    searches = spark.createDataFrame([("cats", '{"total": 2, "objectIDs": [11, 12]}')], "query string, body string")
-    details = spark.createDataFrame(
-        [('{"objectID": 11, "isPublicDomain": true, "primaryImage": "https://m.example/11.jpg"}',), ('{"objectID": 12, "isPublicDomain": false, "primaryImage": "x"}',)],
-        "body string",
+    """Pages of ids, and each document as the object of its id."""
+    c = candidates(spark, sf_dir).withColumn("page", F.floor(F.col("ordinal") / landing.PAGE).cast("string"))
+    searches = c.groupBy(F.col("page").alias("query")).agg(F.to_json(F.struct(F.count("*").alias("total"), F.array_sort(F.collect_list("ordinal")).alias("objectIDs"))).alias("body"))
+    details = c.select(
+        F.to_json(
+            F.struct(
+                F.col("ordinal").alias("objectID"), F.col("license").isin("CC0", "PUBLIC_DOMAIN").alias("isPublicDomain"), F.when(F.coalesce("width", F.lit(0)) % 5 == 0, "").otherwise(F.col("url")).alias("primaryImage"), "title", F.col("author").alias("artistDisplayName")
+            )
+        ).alias("body")
     )
-    return providers.museum_candidates(searches, details).select("ordinal", "url", "license")
+    return providers.museum_candidates(searches, details).select("query", "ordinal", "url", "license", "title", "author")
 
 
 @query("select 'https://i.ytimg.com/vi/abcdefghij' || (user_id % 10)::varchar || '/' || n || '.jpg' as url, count(*) as n from events, (values ('maxresdefault'), ('sddefault'), ('hqdefault')) v(n) group by 1")
@@ -450,11 +453,18 @@ def src_youtube_thumb(spark, sf_dir):
     return providers.video_thumbnails(q).groupBy("url").agg(F.count("*").alias("n"))
 
 
-@query("select source from (values " + ", ".join(f"('{row[0]}')" for row in PROVIDERS if row[2]) + ") t(source)")
+_ALL = ", ".join(f"('{row[0]}', {str(row[2]).lower()})" for row in PROVIDERS)
+
+
+@query(f"""with p as (select * from (values {_ALL}) t(source, is_default)), i as (select source, row_number() over (order by source) - 1 as i from p), n as (select doc_id % {len(PROVIDERS)} as i, count(*) as n from documents where lang <> 'es' group by 1)
+select p.source, coalesce(n, 0) as n from p join i using (source) left join n on n.i = i.i where is_default""")
 def src_registry(spark, sf_dir):
+    """The sources asked when none is named, each with what was found of it, none included."""
     from slatebed.dims import provider_dim
 
-    return provider_dim(spark).where("is_default").select("source")
+    names = F.array(*(F.lit(x) for x in sorted(row[0] for row in PROVIDERS)))
+    found = read(spark, sf_dir, "documents").where("lang <> 'es'").groupBy(F.element_at(names, (F.col("doc_id") % len(PROVIDERS) + 1).cast("int")).alias("source")).agg(F.count("*").alias("n"))
+    return provider_dim(spark).where("is_default").join(found, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _marked(spark: SparkSession, sf_dir: str, snippet: str) -> DataFrame:
