@@ -81,7 +81,9 @@ def file_parts(data: bytes) -> dict[str, str | None]:
     return out
 
 
-def _parts(content: Column) -> Column:
+def file_fields(content: Column) -> Column:
+    """The strings of FIELDS of each file."""
+
     @F.pandas_udf(", ".join(f"{f} string" for f in FIELDS))
     def read(column: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([dict.fromkeys(FIELDS) if b is None else file_parts(bytes(b)) for b in column], columns=FIELDS)
@@ -103,7 +105,7 @@ def embedded_metadata(blobs: DataFrame) -> DataFrame:
 
     The first of EXIF, IPTC and XMP that has an artist or a copyright gives it.
     """
-    p = blobs.select("id", _parts(F.col("content")).alias("p")).select("id", "p.*")
+    p = blobs.select("id", file_fields(F.col("content")).alias("p")).select("id", "p.*")
     xml = F.col("xmp")
     x = p.select(
         "*",

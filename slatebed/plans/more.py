@@ -297,19 +297,6 @@ def fn_attribution_ide(spark, sf_dir):
     return c.select("ordinal", lic.short_attribution(F.col("license"), F.col("author"), F.col("source"), F.col("source_page_url"), F.col("title")).alias("line"))
 
 
-@query("select page_id, case when lower(regexp_extract(p, '\\.([A-Za-z]+)$', 1)) in ('jpg', 'jpeg') then '.jpg' when lower(regexp_extract(p, '\\.([A-Za-z]+)$', 1)) in ('png', 'webp', 'gif', 'avif', 'svg') then '.' || lower(regexp_extract(p, '\\.([A-Za-z]+)$', 1)) else '.img' end as ext from (select page_id, regexp_extract(url || (['.JPG', '.jpeg', '.png', '', '.html'])[page_id % 5 + 1], '^[^?#]*', 0) as p from pages)")
-def fn_mime_ext(spark, sf_dir):
-    ending = F.element_at(F.array(*map(F.lit, (".JPG", ".jpeg", ".png", "", ".html"))), (F.col("page_id") % 5 + 1).cast("int"))
-    return read(spark, sf_dir, "pages").select("page_id", values.file_ending(F.lit(None).cast("string"), F.concat("url", ending)).alias("ext"))
-
-
-@query("select page_id, (['turnstile', 'recaptcha-v2', 'recaptcha-v3', 'hcaptcha', null])[page_id % 5 + 1] as kind from pages")
-def fn_detect_captcha(spark, sf_dir):
-    shown = ['<div class="cf-turnstile" data-sitekey="a">', "<div class='x g-recaptcha' data-sitekey='b'>", '<script src="recaptcha/api.js?render=c">', '<div class="h-captcha" data-sitekey="d">', ""]
-    mark = F.element_at(F.array(*map(F.lit, shown)), (F.col("page_id") % 5 + 1).cast("int"))
-    return read(spark, sf_dir, "pages").select("page_id", audit.captcha_kind(F.concat("html", mark)).alias("kind"))
-
-
 @query("select event_id, json_extract_string(props, '$.k') as k from events")
 def fn_parse_meta(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", audit.meta_field(F.col("props"), "k").alias("k"))
@@ -383,25 +370,6 @@ def prj_warnings(spark, sf_dir):
 # -- pages
 
 
-_MARKED = "concat('<a href=\"https://src.example/', page_id, '\"><img alt=\"A', page_id, '\" src=\"https://cdn.example/', page_id % 3, '.png?w=9\"></a><img src=\"https://cdn.example/favicon.png\"><img src=\"/rel.png\">')"
-
-
-@query(r"select page_id, 'https://cdn.example/' || page_id % 3 || '.png?w=9' as url, 'https://src.example/' || page_id as source_page_url, 'A' || page_id as title from pages")
-def ext_managed_browser(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.expr(_MARKED)))
-    return sites.result_page_images(p, "google").select("page_id", "url", "source_page_url", "title")
-
-
-@query("select doc_id, case when doc_id % 3 = 0 then 'CC_BY' else 'CC0' end as license, case when doc_id % 3 = 0 then 0.9 else 0.8 end::double as confidence, case when doc_id % 2 = 0 then 'page' || doc_id else 'file' || doc_id end as author from documents")
-def fn_reconcile_license(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    word = lambda w: F.concat(F.lit(w), F.col("id").cast("string"))
-    page = d.select("id", F.lit("CC0").alias("license"), F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("license_url"), F.when(F.col("id") % 2 == 0, word("page")).alias("author"))
-    sure = F.when(F.col("id") % 3 == 0, 0.9).otherwise(0.7)
-    told = d.select("id", F.lit("CC_BY").alias("license"), sure.alias("license_confidence"), F.lit(None).cast("string").alias("license_url"), word("file").alias("artist"), F.lit(None).cast("string").alias("copyright"))
-    return extract.reconciled(page, told).select(F.col("id").alias("doc_id"), "license", "confidence", "author")
-
-
 # -- sources and sinks
 
 
@@ -409,28 +377,6 @@ def _folder(spark) -> str:
     return new_path(spark, "more")
 
 
-@query("select doc_id % 97 as batch, 'https://r.example/' || doc_id || '.jpg' as url, 'UNKNOWN' as license from documents")
-def src_similar(spark, sf_dir):
-    """Reverse lookups: one landed response a document."""
-    from slatebed.sources import providers
-
-    body = F.format_string('{"image_results": [{"link": "https://p.example/%s", "thumbnail": "https://r.example/%s.jpg", "title": "t"}]}', *(F.col("doc_id").cast("string"),) * 2)
-    d = read(spark, sf_dir, "documents").select((F.col("doc_id") % 97).cast("string").alias("query"), F.lit("serpapi").alias("source"), body.alias("body"))
-    found = providers.candidates_of(d.withColumn("source", F.lit("similar")), "similar")
-    return found.select(F.col("query").cast("long").alias("batch"), "url", "license")
-
-
-@query(r"select doc_id, trim(split_part(line, chr(9), 1), ' ') as query, len(list_filter(list_transform(string_split(split_part(line, chr(9), 2), ','), lambda x: trim(x, ' ')), lambda x: x <> ''))::int as n_providers from (select doc_id, case when doc_id % 5 = 0 then '# note' when doc_id % 5 = 1 then '  ' when doc_id % 5 = 2 then 'q' || doc_id || chr(9) || 'nasa, ,pexels' else ' q' || doc_id || ' ' end as line from documents) where trim(line, ' ') <> '' and not starts_with(trim(line, ' '), '#')")
-def src_batch_lines(spark, sf_dir):
-    from slatebed.sources.lines import batch_entries
-
-    n = F.col("doc_id") % 5
-    word = F.concat(F.lit("q"), F.col("doc_id").cast("string"))
-    line = F.when(n == 0, "# note").when(n == 1, "  ").when(n == 2, F.concat(word, F.lit("\tnasa, ,pexels"))).otherwise(F.concat(F.lit(" "), word, F.lit(" ")))
-    d = read(spark, sf_dir, "documents").select("doc_id", line.alias("value"))
-    return batch_entries(d).select("doc_id", "query", F.coalesce(F.size("providers"), F.lit(0)).alias("n_providers"))
-
-
 @query("select sha256(coalesce(text, '')) as sha256, any_value(octet_length(encode(coalesce(text, ''))))::int as size from documents group by 1")
 def src_cache_read(spark, sf_dir):
     """Blobs put into the store and read back by their hashes."""

@@ -9,8 +9,7 @@ from slatebed.dims import CONTEXT_SAFE, OPEN, PROVIDERS
 from slatebed.functions import license as lic
 from slatebed.functions import urls, values
 from slatebed.operators import candidates as ops
-from slatebed.operators import extract, hashes, sinks, sites, usage
-from slatebed.operators.metadata import embedded_metadata
+from slatebed.operators import extract, hashes, sinks, usage
 from slatebed.plans import landing
 from slatebed.plans.inputs import (
     CANDIDATES_SQL,
@@ -168,31 +167,6 @@ def fn_coerce_license(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", lic.coerce_license(F.col("text")).alias("license"))
 
 
-_HOSTS = ["commons.wikimedia.org", "live.staticflickr.com", "images.unsplash.com", "www.pexels.com", "cdn.pixabay.com", "api.openverse.org", "ia800.us.archive.org", "i.scdn.co", "i.ytimg.com", "example.org"]
-_HOST_LIST = ", ".join(f"'{h}'" for h in _HOSTS)
-
-
-@query(f"""with h as (select doc_id, ([{_HOST_LIST}])[(doc_id % 10) + 1] as host from documents)
-select doc_id, case when host like '%commons.wikimedia.org' then 'CC_BY_SA' when host like '%flickr.com' then 'UNKNOWN' when host like '%unsplash.com' or host like '%pexels.com' or host like '%pixabay.com' then 'CC0'
- when host like '%openverse.org' then 'CC_BY' when host like '%archive.org' or host like '%scdn.co' or host like '%ytimg.com' then 'EDITORIAL_LICENSED' else 'UNKNOWN' end as license,
- case when host like '%commons.wikimedia.org' then 0.4 when host like '%flickr.com' then 0.1 when host like '%unsplash.com' or host like '%pexels.com' or host like '%pixabay.com' then 0.8
- when host like '%openverse.org' then 0.4 when host like '%archive.org' then 0.6 when host like '%scdn.co' then 0.7 when host like '%ytimg.com' then 0.5 else 0.0 end::double as confidence from h""")
-def fn_license_from_url(spark, sf_dir):
-    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("doc_id") % 10 + 1).cast("int"))
-    guess = lic.license_from_url(F.concat(F.lit("https://"), host, F.lit("/x.jpg")))
-    return read(spark, sf_dir, "documents").select("doc_id", guess["license"].alias("license"), guess["confidence"].alias("confidence"))
-
-
-_ADDRESSES = ["http://10.0.0.1/x", "https://example.org/a", "ftp://example.org/a", "http://localhost:8080/", "https://8.8.8.8/", "http://172.20.1.1/", "http://fcorp.example/", "https://a.internal/", "no url", "http://224.0.0.1/"]
-_ADDRESS_LIST = ", ".join(f"'{h}'" for h in _ADDRESSES)
-
-
-@query(f"select page_id, ([false, true, false, false, true, false, false, false, false, false])[(page_id % 10) + 1] as is_public from pages")
-def flt_public_url(spark, sf_dir):
-    address = F.element_at(F.array(*map(F.lit, _ADDRESSES)), (F.col("page_id") % 10 + 1).cast("int"))
-    return read(spark, sf_dir, "pages").select("page_id", urls.is_public_url(address).alias("is_public"))
-
-
 @query(r"select doc_id, regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b|\b\d{16}\b|@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]{2,}') as personal from documents")
 def flt_pii(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", values.looks_personal(F.col("text")).alias("personal"))
@@ -467,36 +441,6 @@ def src_registry(spark, sf_dir):
     return provider_dim(spark).where("is_default").join(found, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _marked(spark: SparkSession, sf_dir: str, snippet: str) -> DataFrame:
-    """All pages, each with a piece of HTML in front that its number makes its own."""
-    pages = read(spark, sf_dir, "pages")
-    return pages.select("page_id", F.lit("https://site.example/a/b.html").alias("url"), F.concat(F.expr(snippet), "html").alias("html"))
-
-
-_PROBED = """concat('<meta content="/i/', page_id % 7, '.png" property="og:image"><img title="no" data-src="https://cdn.example/', page_id, '.gif" alt="T', page_id, '" width="40px">')"""
-
-
-@query("select page_id, -1 as ordinal, 'https://site.example/i/' || page_id % 7 || '.png' as url, 'og:image' as title, null::int as width from pages union all select page_id, 0, 'https://cdn.example/' || page_id || '.gif', 'T' || page_id, 40 from pages")
-def ext_probe_page(spark, sf_dir):
-    return extract.probe_images(_marked(spark, sf_dir, _PROBED)).select("page_id", F.col("ordinal").cast("int").alias("ordinal"), "url", "title", "width")
-
-
-_STATED = """concat('<link href="https://x.example/licenses/', element_at(array('by-sa', 'by', 'zero', 'odd'), cast(page_id % 4 + 1 as int)), '/4.0" rel="license"><meta name="dc.rights" content="Public domain"><meta property="article:author" content="N', page_id, '">')"""
-
-
-@query("select page_id, (['CC_BY_SA', 'CC_BY', 'UNKNOWN', 'UNKNOWN'])[page_id % 4 + 1] as license, (case when page_id % 4 < 2 then 0.7 else 0.0 end)::double as confidence, 'N' || page_id as author from pages")
-def fn_html_license(spark, sf_dir):
-    return extract.page_license(_marked(spark, sf_dir, _STATED)).select("page_id", "license", "confidence", "author")
-
-
-_TRIPLES = """concat('x=[["https://full.example/', page_id, '.jpg",', page_id % 900 + 1, ',600],["https://full.example/b.png",640,480],["https://full.example/', page_id, '.jpg",1,1],["https://t.gstatic.com/c.jpg",9,9]]')"""
-
-
-@query("select page_id, 'https://full.example/' || page_id || '.jpg' as url, (page_id % 900 + 1)::int as width, 600 as height from pages union all select page_id, 'https://full.example/b.png', 640, 480 from pages")
-def ext_google_images(spark, sf_dir):
-    return extract.serp_triples(_marked(spark, sf_dir, _TRIPLES)).select("page_id", "url", "width", "height")
-
-
 @query()
 def fn_dct_phash(spark, sf_dir):
     wide = F.flatten(F.array_repeat("embedding", 16))
@@ -567,56 +511,11 @@ def st_dedupe_request(spark, sf_dir):
 # -- extractors, buckets and sinks that came later
 
 
-_GENERIC = """concat('<meta content="/h', page_id % 7, '.jpg" property="og:image"><img class="x" data-src="https://cdn.example/', page_id, '.jpg"><img src="data:x"><a href="big.PNG?x">')"""
-
-
-@query("select page_id, 0 as branch, 'https://site.example/h' || page_id % 7 || '.jpg' as url, 'og:image' as title from pages union all select page_id, 3, 'https://cdn.example/' || page_id || '.jpg', null from pages union all select page_id, 4, 'https://site.example/a/big.PNG?x', 'linked' from pages")
-def ext_generic_page(spark, sf_dir):
-    return sites.site_images(_marked(spark, sf_dir, _GENERIC), sites.GENERIC).select("page_id", "branch", "url", "title")
-
-
-_PINS = """concat('"https://i.pinimg.com/', page_id % 500, 'x/a/', page_id, '.jpg" "https://i.pinimg.com/564x/a/', page_id, '.jpg" "https://i.pinimg.com/orig/b.png"')"""
-
-
-@query("select page_id, 'https://i.pinimg.com/originals/a/' || page_id || '.jpg' as url from pages union all select page_id, 'https://i.pinimg.com/orig/b.png' from pages")
-def ext_pinterest(spark, sf_dir):
-    return sites.site_images(_marked(spark, sf_dir, _PINS), sites.PINS).select("page_id", "url")
-
-
-_POSTS = """concat('"https://pbs.twimg.com/media/A', page_id, '?format=jpg&amp;name=small" "https://pbs.twimg.com/media/B', page_id, '" "https://pbs.twimg.com/other/C"')"""
-
-
-@query("select page_id, 'https://pbs.twimg.com/media/A' || page_id || '?format=jpg&name=orig' as url from pages union all select page_id, 'https://pbs.twimg.com/media/B' || page_id || '?name=orig' from pages")
-def ext_twitter(spark, sf_dir):
-    return sites.site_images(_marked(spark, sf_dir, _POSTS), sites.POSTS).select("page_id", "url")
-
-
-@query("select page_id, (['google-images', 'pinterest', 'twitter', 'generic-page', 'twitter'])[page_id % 5 + 1] as extractor from pages")
-def ext_dispatch(spark, sf_dir):
-    host = F.element_at(F.array(*map(F.lit, ("www.google.com", "www.pinterest.de", "x.com", "fox.com", "mobile.twitter.com"))), (F.col("page_id") % 5 + 1).cast("int"))
-    url = F.concat(F.lit("https://"), host, urls._part(F.col("url"), 3))
-    return read(spark, sf_dir, "pages").select("page_id", sites.extractor_of(F.coalesce(url, F.concat(F.lit("https://"), host))).alias("extractor"))
-
-
-@query("select 'Eve' as artist, 0.7::double as artist_confidence, 'UNKNOWN' as license")
-def ext_exif(spark, sf_dir):
-    data = b"II*\0\x08\0\0\0\x01\0\x3b\x01\x02\0\x04\0\0\0Eve\0\0\0\0\0"
-    blobs = spark.createDataFrame([("a", data)], "id string, content binary")
-    return embedded_metadata(blobs).select("artist", "artist_confidence", "license")
-
-
 @query()
 def fn_token_bucket(spark, sf_dir):
     return usage.token_bucket(usage_of(spark, sf_dir), 2.0, 1 / 86400).select("request_id", "allowed")
 
 
-@query("select page_id, page_id % 3 <> 0 as allowed from pages")
-def flt_robots(spark, sf_dir):
-    text = F.lit("User-agent: *\nDisallow: /private # all\n\nUser-agent: other\nDisallow: /")
-    path = F.when(F.col("page_id") % 3 == 0, "/private/x").otherwise("/open")
-    return read(spark, sf_dir, "pages").select("page_id", usage.robots_allow(text, path, "reader/1.0").alias("allowed"))
-
-
 @query(f"{C}, r as (select *, row_number() over (partition by query order by {ORDER}) as position from c where license <> 'UNKNOWN') select query, lpad(position::varchar, greatest(3, length(position::varchar))::int, '0') || '.jpg' as file, position from r")
 def snk_manifest(spark, sf_dir):
     return sinks.manifest(ops.rank_all(candidates(spark, sf_dir))).select("query", "file", "position")
@@ -633,4 +532,4 @@ def snk_latest_by_key(spark, sf_dir):
     return sinks.latest_by(usage_of(spark, sf_dir), "api_key", ["ts", "request_id"]).select("api_key", "request_id")
 
 
-from slatebed.plans import more, search, state  # noqa: E402, F401  further queries
+from slatebed.plans import more, pages, search, state  # noqa: E402, F401  further queries
