@@ -14,7 +14,9 @@ shingles, the ring is laid over the shingles themselves: their hashes fall
 into segments, the differences of all segments together are bounded by the
 similarity, so some segment of texts that are alike enough has no difference
 at all, but for rare luck. Equal segments are keys, candidates are checked by
-the distance of the fingerprints and then by their shingles.
+the distance of the fingerprints and then by their shingles. Texts of few
+shingles have few segments and would need luck; their keys are the least
+hashes of which two such texts have one in common for certain.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ SHINGLE_WORDS, SEED = 3, 42
 CROWDED = 48
 #: Stage of near copies: words of a shingle, shared part of all shingles of two texts.
 NEAR_WORDS, NEAR = 5, 0.8
-#: Bits in which texts of that similarity may differ: the expected 9.7 and four standard deviations.
-NEAR_BITS = 21
+#: Bits in which longer texts of that similarity may differ: the expected 9.7 and five standard deviations.
+NEAR_BITS = 24
+#: Texts of so many shingles are short: they are keyed without luck, and their bits aren't looked at.
+SHORT = 64
 #: Shingles of a segment of the ring, about, and segments of a text that serve as keys.
 SEGMENT_SHINGLES, RING = 3, 64
 #: Losers up to which they are broadcast; beyond, rows and losers are joined by a shuffle.
@@ -187,25 +191,39 @@ def ring_segments(shingles: np.ndarray) -> np.ndarray:
 
     The number of segments is a power of two near the number of shingles over
     SEGMENT_SHINGLES. Texts of similar size may fall on both sides of a power,
-    so those near one have the keys of both.
+    so those near one have the keys of both. At a similarity of NEAR a segment
+    is equal in three of ten cases at least, so texts of over SHORT shingles
+    have none in common with a probability under 0.7 ** 32.
     """
     n = len(shingles)
-    mixed = shingles * _ODD
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= _ODD
-    keys = []
-    for bits in sorted({max(0, int(m / SEGMENT_SHINGLES)).bit_length() for m in (n, n / NEAR)}):
-        edge = n if bits == 0 or (1 << bits) <= RING else int(np.searchsorted(shingles, np.uint64(RING << (64 - bits))))
-        if not edge:
-            continue
-        segment = shingles[:edge] >> np.uint64(64 - bits) if bits else np.zeros(edge, np.uint64)
-        first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        size = np.diff(np.append(first, edge))
-        name = (segment[first] + np.uint64(bits << 32)) * _ODD
-        keys.append((np.add.reduceat(mixed[:edge], first) ^ name)[(size > 1) | (n < 3)])
+    keys = [_least_hashes(shingles)] if n <= SHORT / NEAR else []
+    if n > SHORT:
+        mixed = shingles * _ODD
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _ODD
+        for bits in sorted({max(0, int(m / SEGMENT_SHINGLES)).bit_length() for m in (n, n / NEAR)}):
+            edge = n if (1 << bits) <= RING else int(np.searchsorted(shingles, np.uint64(RING << (64 - bits))))
+            if not edge:
+                continue
+            segment = shingles[:edge] >> np.uint64(64 - bits)
+            first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+            size = np.diff(np.append(first, edge))
+            name = (segment[first] + np.uint64(bits << 32)) * _ODD
+            keys.append((np.add.reduceat(mixed[:edge], first) ^ name)[size > 1])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def _least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """Of sorted distinct hashes so many that a text which shares NEAR of them has one among its own.
+
+    A text shares at least ``ceil(NEAR * n)`` of its n shingles with any that is
+    so similar, so it can miss the others only; the least shared one is then
+    among the first of both.
+    """
+    n = len(shingles)
+    return (shingles[: n - -(-4 * n // 5) + 1] ^ _ODD) * _ODD if n else shingles
+
+
 def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprint, digest and number of the distinct shingles, and ring keys of each text."""
     for batch in batches:
@@ -268,7 +286,8 @@ def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
         near_candidates(classes)
         .join(about.select(F.col("uid").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na")), "a")
         .join(about.select(F.col("uid").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb")), "b")
-        .where((F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR_BITS) & (F.least("na", "nb") >= NEAR * F.greatest("na", "nb")))
+        .where((F.least("na", "nb") <= SHORT) | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR_BITS))
+        .where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
     )
     pairs = stored(pairs.select("a", "b", "na", "nb"), "pairs")
     wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
@@ -278,7 +297,7 @@ def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
         shingles.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b"
     )
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= NEAR * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    return both.where(5 * shared >= 4 * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
