@@ -75,21 +75,28 @@ def _looked_up(rows: DataFrame, nodes: DataFrame, keys: list[str], spread: str,
 def path_templates(urls: DataFrame) -> DataFrame:
     """``urls(host, path, n, labelled, blocked)`` with the column ``template`` added.
 
-    The tree is grown a level at a time, as deep as the longest path. Each
-    level is two aggregations by host and node; paths that have ended are laid
-    aside and not read again.
+    The tree is grown from fork to fork: each round settles the children of all
+    nodes that have been reached, by two aggregations over host and node, and
+    goes on to where the paths below them part. What paths have in common from
+    there on, all of it for a path of its own, is taken over in the same round,
+    so rounds are as many as forks on one path and not as many as segments.
+    Paths that have ended are laid aside and not read again.
     """
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     named = F.transform(parts, lambda s: F.when(s.rlike(_IDENTIFIER), F.lit("*")).otherwise(s))
-    rows = stored(urls.withColumn("parts", named).withColumn("template", F.lit("/")), "urls")
-    ended, level = [], 0
+    rows = stored(urls.withColumn("rest", named).withColumn("template", F.lit("/")), "urls")
+    done = [*urls.columns, "template"]
+    ended = []
     while True:
-        ended.append(rows.where(F.size("parts") <= level).select(*urls.columns, "template"))
-        here = rows.where(F.size("parts") > level).withColumn("child", F.get("parts", F.lit(level)))
-        if here.isEmpty():
+        ended.append(rows.where(F.size("rest") == 0).select(done))
+        open_rows = rows.where(F.size("rest") > 0)
+        here = open_rows.select(*done, F.get("rest", F.lit(0)).alias("child"), F.slice("rest", F.lit(2), F.size("rest")).alias("below"))
+        if open_rows.isEmpty():
             return reduce(DataFrame.unionByName, ended)
         children = stored(
-            here.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")),
+            here.groupBy("host", "template", "child").agg(
+                F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.min("below").alias("low"), F.max("below").alias("high")
+            ),
             "children",
         )
         nodes = children.groupBy("host", "template").agg(
@@ -99,16 +106,31 @@ def path_templates(urls: DataFrame) -> DataFrame:
         apart = F.abs(F.col("blocked") - F.col("labelled") * rate) / F.sqrt(rate * (1 - rate) * F.greatest(F.col("labelled"), F.lit(1)))
         variable = (F.col("kinds") > MANY_CHILDREN) & (F.col("all_n") / F.col("kinds") < FEW_PAGES)
         alike = (F.col("kinds") > 1) & (F.col("labelled") >= FEWEST_LABELS) & (apart <= SIMILAR)
-        names = _looked_up(children, nodes, ["host", "template"], "child").select(
-            "host", "template", "child", F.when(variable, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("child")).alias("as")
+        named_children = _looked_up(children, nodes, ["host", "template"], "child").select(
+            "host", "template", "child", F.when(variable, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("child")).alias("as"), "low", "high"
         )
-        longer = _looked_up(here, names.where(F.col("as") != F.col("child")), ["host", "template", "child"], "path", "left").select(
-            *urls.columns, "parts", F.concat("template", F.coalesce("as", "child"), F.lit("/")).alias("template")
+        # what all paths below a branch begin with is what its first and its last path in order do
+        branches = named_children.groupBy("host", "template", "as").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        common = branches.select("host", "template", "as", _common("low", "high").alias("common"))
+        names = _looked_up(named_children.drop("low", "high"), common, ["host", "template", "as"], "child")
+        names = names.where((F.col("as") != F.col("child")) | (F.col("common") > 0))
+        found = _looked_up(here, names, ["host", "template", "child"], "path", "left")
+        taken = F.concat(F.array(F.coalesce("as", "child")), F.slice("below", F.lit(1), F.coalesce("common", F.lit(0))))
+        longer = found.select(
+            *urls.columns, F.slice("below", F.coalesce("common", F.lit(0)) + 1, F.size("below")).alias("rest"), F.concat("template", F.array_join(taken, "/"), F.lit("/")).alias("template")
         )
-        rows, level = stored(longer, "urls"), level + 1
+        rows = stored(longer, "urls")
         forget(urls.sparkSession, children)
 
 
+def _common(low: str, high: str) -> Column:
+    """How many segments two paths begin with alike."""
+    size = F.least(F.size(low), F.size(high))
+    same = F.zip_with(F.slice(low, F.lit(1), size), F.slice(high, F.lit(1), size), lambda a, b: a == b)
+    first = F.array_position(same, False).cast("int")
+    return F.when(first == 0, size).otherwise(first - 1)
+
+
 def template_purity(rows: DataFrame) -> DataFrame:
     """``host, template, purity``: the smoothed share of blocked labels."""
     leaves = stored(rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "leaves")
@@ -158,6 +180,6 @@ def op10_url_templates(pages: DataFrame) -> DataFrame:
     """The contract's columns, the template and its smoothed share of blocked labels; see :func:`url_verdicts`.
 
     Rows that repeat are rows of their own; other columns are ignored; an empty
-    table gives no rows. Paths may have any number of segments.
+    table gives no rows. Paths may have any number of segments, and as many as one has cost no round each.
     """
     return url_verdicts(pages)
