@@ -37,6 +37,8 @@ CROWDED = 24
 RANGE = 8
 #: Bytes of a text that are cut into segments at a time, and of texts for suffix arrays.
 PIECE, BLOCK = 1 << 20, 1 << 20
+#: Bytes of texts whose suffix arrays are built in lockstep; a step costs as much for few as for many.
+LOCKSTEP = 1 << 21
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -133,8 +135,8 @@ def repeated_strings(groups: list[list[bytes]]) -> list[list[np.ndarray]]:
     at = 0
     while at < len(order):
         # groups of similar length go in lockstep
-        some, size, limit = [], 0, 1.5 * sum(map(len, groups[order[at]])) + WINDOW
-        while at < len(order) and (not some or (size < BLOCK // 2 and sum(map(len, groups[order[at]])) <= limit)):
+        some, size, limit = [], 0, 2 * sum(map(len, groups[order[at]])) + WINDOW
+        while at < len(order) and (not some or (size < LOCKSTEP and sum(map(len, groups[order[at]])) <= limit)):
             some.append(order[at])
             size += sum(map(len, groups[order[at]]))
             at += 1
@@ -219,7 +221,7 @@ def _array_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if groups and groups[-1][0][0] == row[0]:
                 groups[-1].append(row)
             else:
-                if size >= 2 * BLOCK:
+                if size >= 2 * LOCKSTEP:
                     yield from spans(groups)
                     groups, size = [], 0
                 groups.append([row])
