@@ -107,6 +107,28 @@ def slug(text: Column) -> Column:
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("image"))
 
 
+def format_bytes(n: Column) -> Column:
+    """A size for people: one digit after the point below ten of a unit, none for bytes."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    out = F.lit("0 B")
+    for i, unit in enumerate(units):
+        v = n / float(1024**i)
+        shown = F.when((v < 10) & F.lit(i > 0), F.format_string("%.1f", v)).otherwise(F.format_string("%.0f", v))
+        out = F.when(n >= 1024**i, F.concat(shown, F.lit(f" {unit}"))).otherwise(out)
+    return F.when(n > 0, out).otherwise("0 B")
+
+
+def format_relative(ms: Column, now: Column) -> Column:
+    """How long ago a time is, in its largest whole unit."""
+    s = F.floor((now - ms) / 1000)
+    m, h = F.floor(s / 60), F.floor(s / 3600)
+    d = F.floor(h / 24)
+    mo = F.floor(d / 30)
+    shown = lambda x, unit: F.concat(x.cast("string"), F.lit(f"{unit} ago"))
+    ladder = F.when(s < 60, shown(s, "s")).when(m < 60, shown(m, "m")).when(h < 24, shown(h, "h")).when(d < 30, shown(d, "d")).when(mo < 12, shown(mo, "mo")).otherwise(shown(F.floor(mo / 12), "y"))
+    return F.when(F.coalesce(ms, F.lit(0)) == 0, "never").when(now < ms, "in the future").otherwise(ladder)
+
+
 # -- hashes
 
 

@@ -102,11 +102,16 @@ def limit_per_source(df: DataFrame, most: int) -> DataFrame:
     return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
+def with_source_names(df: DataFrame, source: str, name: str) -> DataFrame:
+    """Rows with the display name of their source; one that isn't known keeps its id."""
+    names = F.broadcast(provider_dim(df.sparkSession).select(F.col("source").alias(source), F.col("pretty").alias("_pretty")))  # 25 rows
+    return df.join(names, source, "left").withColumn(name, F.coalesce("_pretty", source)).drop("_pretty")
+
+
 def enrich(df: DataFrame) -> DataFrame:
     """Fills in the line of credit where there is none."""
-    names = F.broadcast(provider_dim(df.sparkSession).select("source", F.col("pretty").alias("_name")))  # 25 rows
-    line = attribution(F.col("license"), F.col("author"), F.coalesce("_name", "source"), F.col("source_page_url"), F.col("title"))
-    out = df.join(names, "source", "left")
+    out = with_source_names(df, "source", "_name")
+    line = attribution(F.col("license"), F.col("author"), F.col("_name"), F.col("source_page_url"), F.col("title"))
     had = F.col("attribution_line") if "attribution_line" in df.columns else F.lit(None).cast("string")
     return out.withColumn("attribution_line", F.coalesce(had, line)).drop("_name")
 

@@ -16,7 +16,14 @@ _TRIPLE = r'\[\s*"([^"\[\]]+)"\s*,\s*(\d+)\s*,\s*(\d+)\s*\]'
 
 
 def resolve_url(src: Column, base: Column) -> Column:
-    """Absolute address of a link, null where there is none."""
+    """Absolute address of a link, null where there is none.
+
+    Whole addresses and paths from the root, which most links are, are put
+    together by expressions; only the others are given to Python.
+    """
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    whole = src.rlike(r"^https?://[^/?#\s]+(/[^?#\s]*[^?#\s/.]|/[A-Za-z0-9_-]+)$")
+    rooted = src.rlike(r"^/[A-Za-z0-9_~-][A-Za-z0-9_~-]*(/[A-Za-z0-9_~-]+)*(\.[A-Za-z0-9]+)?$") & base.rlike("^https?://[^/?#]+")
 
     def one(s, b):
         try:
@@ -27,9 +34,13 @@ def resolve_url(src: Column, base: Column) -> Column:
 
     @F.pandas_udf("string")
     def resolved(links: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([one(s, b) for s, b in zip(links, bases)], dtype=object)
+        out = pd.Series([None] * len(links), dtype=object)
+        for i in links.index[links.notna()]:
+            out[i] = one(links[i], bases[i])
+        return out
 
-    return resolved(src, base)
+    odd = F.when(~F.coalesce(whole | rooted, F.lit(False)), src)
+    return F.when(whole, src).when(rooted, F.concat(origin, src)).otherwise(resolved(odd, base))
 
 
 def probe_images(pages: DataFrame) -> DataFrame:

@@ -24,12 +24,28 @@ def archive_and_rest(rows: DataFrame, old: Column, run_date: str, folder: str) -
     return rows.where(~F.coalesce(old, F.lit(False)))
 
 
-def xmp_sidecar(author: Column, line: Column, license_url: Column, page: Column) -> Column:
-    """XML with what is known of a credit; null if nothing is."""
-    part = lambda tag, c: F.coalesce(F.concat(F.lit(f"<{tag}>"), xml_escape(c), F.lit(f"</{tag}>")), F.lit(""))
-    body = F.concat(part("dc:creator", author), part("dc:rights", line), part("cc:license", license_url), part("xmpRights:WebStatement", page))
-    head = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description>'
-    return F.when(body != "", F.concat(F.lit(head), body, F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>")))
+def xmp_sidecar(creator: Column, rights: Column, license_url: Column, license_tag: Column, page: Column, title: Column, tool: str = "sidecar") -> Column:
+    """An XMP packet with what is known of a picture's credit; null if there is neither maker, line, license nor page."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    line = lambda text, body: F.coalesce(F.concat(F.lit("    "), body(xml_escape(some(text))), F.lit("\n")), F.lit(""))
+    plain = lambda tag: lambda v: F.concat(F.lit(f"<{tag}>"), v, F.lit(f"</{tag}>"))
+
+    def listed(tag: str, kind: str, attributes: str = "") -> object:
+        return lambda v: F.concat(F.lit(f"<{tag}><rdf:{kind}><rdf:li{attributes}>"), v, F.lit(f"</rdf:li></rdf:{kind}></{tag}>"))
+
+    spoken = lambda tag: listed(tag, "Alt", ' xml:lang="x-default"')
+    stated = F.coalesce(page, license_url)
+    body = F.concat(
+        line(creator, listed("dc:creator", "Seq")), line(rights, spoken("dc:rights")), line(title, spoken("dc:title")), line(page, listed("dc:source", "Bag")),
+        line(F.coalesce(license_url, license_tag), plain("cc:license")), line(rights, spoken("xmpRights:UsageTerms")), line(stated, plain("xmpRights:WebStatement")),
+    )
+    head = (
+        f'<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/" x:xmptk="{tool}">\n  <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n'
+        '    <rdf:Description rdf:about=""\n        xmlns:dc="http://purl.org/dc/elements/1.1/"\n        xmlns:cc="http://creativecommons.org/ns#"\n        xmlns:xmpRights="http://ns.adobe.com/xap/1.0/rights/">\n'
+    )
+    foot = '    </rdf:Description>\n  </rdf:RDF>\n</x:xmpmeta>\n<?xpacket end="w"?>\n'
+    known = F.coalesce(some(creator), some(rights), some(license_tag), some(stated)).isNotNull()
+    return F.when(known, F.concat(F.lit(head), body, F.lit(foot)))
 
 
 def markdown_image(title: Column, path: Column, line: Column) -> Column:

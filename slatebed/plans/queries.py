@@ -532,4 +532,4 @@ def snk_latest_by_key(spark, sf_dir):
     return sinks.latest_by(usage_of(spark, sf_dir), "api_key", ["ts", "request_id"]).select("api_key", "request_id")
 
 
-from slatebed.plans import more, pages, search, state  # noqa: E402, F401  further queries
+from slatebed.plans import more, pages, search, small, state  # noqa: E402, F401  further queries

@@ -80,7 +80,7 @@ def test_sinks(spark, tmp_path):
     rest = sinks.archive_and_rest(logs, F.col("ts") < 5, "2024-01-01", str(tmp_path / "archive"))
     assert [r.ts for r in rest.collect()] == [9]
     assert '"note":null' in "".join(p.read_text() for p in (tmp_path / "archive").rglob("part-*"))
-    side = spark.range(1).select(sinks.xmp_sidecar(F.lit("A&B"), F.lit(None), F.lit(None), F.lit(None)).alias("x"), sinks.xmp_sidecar(*[F.lit(None)] * 4).alias("y")).first()
-    assert "<dc:creator>A&amp;B</dc:creator>" in side.x and side.y is None
+    side = spark.range(1).select(sinks.xmp_sidecar(F.lit("A&B"), *[F.lit(None).cast("string")] * 5).alias("x"), sinks.xmp_sidecar(*[F.lit(None).cast("string")] * 5, F.lit("title")).alias("y")).first()
+    assert "<dc:creator><rdf:Seq><rdf:li>A&amp;B</rdf:li></rdf:Seq></dc:creator>" in side.x and side.y is None
     ups = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "b")], "k string, t long, v string")
     assert {r.v for r in sinks.latest_by(ups, "k", ["t"]).collect()} == {"new", "b"}
