@@ -193,7 +193,7 @@ def best_copies(df: DataFrame, most: int = 5, digits: int = 4) -> DataFrame:
 
 
 def bucket_recall(df: DataFrame, most: int = 5, digits: int = 4) -> DataFrame:
-    """How many of the pairs of near hashes lie in one bucket."""
+    """How many of the pairs of near hashes lie in one bucket; no pairs, no recall."""
     pairs = hamming_pairs(df, most)
     found = F.count_if(F.substring("hash_a", 1, digits) == F.substring("hash_b", 1, digits))
-    return pairs.agg(F.count("*").alias("pairs"), found.alias("found"), (found / F.count("*")).alias("recall"))
+    return pairs.agg(F.count("*").alias("pairs"), found.alias("found"), F.try_divide(found, F.count("*")).alias("recall"))

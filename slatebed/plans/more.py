@@ -276,7 +276,7 @@ def dup_recipe(spark, sf_dir):
     return ops.best_copies(_hashed(spark, sf_dir)).select("ordinal")
 
 
-@query(f"with {_NEAR}, e as (select distinct phash, hi, lo from x), p as (select substr(a.phash, 1, 4) = substr(b.phash, 1, 4) as same from e a join e b on a.phash < b.phash and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 5) select count(*) as pairs, count(*) filter (same) as found, count(*) filter (same) / count(*) as recall from p")
+@query(f"with {_NEAR}, e as (select distinct phash, hi, lo from x), p as (select substr(a.phash, 1, 4) = substr(b.phash, 1, 4) as same from e a join e b on a.phash < b.phash and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 5) select count(*) as pairs, count(*) filter (same) as found, count(*) filter (same) / nullif(count(*), 0) as recall from p")
 def dup_recall(spark, sf_dir):
     """What the buckets of the recipe find of all near pairs."""
     return ops.bucket_recall(fn_ahash_bytes(spark, sf_dir))
