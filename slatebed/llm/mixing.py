@@ -212,7 +212,12 @@ def op9_entropy_mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows as often as the mix takes each, columns as they came."""
+    """The rows as often as the mix takes each, columns as they came.
+
+    Null and blank texts have no size and come once; a null source is the last
+    of the sources; rows that repeat are each taken for themselves, and of equal
+    sizes those first that :func:`mix` ranks first, the same ones on every run.
+    """
     sizes = document_sizes(docs, docs.columns)
     copies = mix(sizes).where("copies > 0").select("uid", "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("time")

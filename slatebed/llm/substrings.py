@@ -405,7 +405,12 @@ def op3_suffix_dedup(docs: DataFrame) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with what is left of their texts, columns as they came; those left empty go."""
+    """The documents with what is left of their texts, columns as they came; those left empty go.
+
+    Null and empty texts stay as they are. Rows that repeat a text of 200 bytes
+    or more are occurrences of each other and lose all of it, whichever doc_id
+    they have; n_chars follows a text that was cut.
+    """
     done = without_repeats(docs, docs.columns)
     text = F.coalesce("kept_text", "row.text")
     changed = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long"))} if "n_chars" in docs.columns else {"text": text}
