@@ -2,10 +2,13 @@
 
 A term is found wherever a text holds it, so it is found in a document if some
 word of the document holds it, terms and words being free of space. The index
-is the postings of words by document, with the places they have there, and the
-short pieces (up to three characters) of each distinct word. A table of queries
-is answered by joins: terms to words by their first piece, words to postings,
-postings summed by query and document. Documents aren't read again.
+is the postings of words by document, with the places they have there; the
+pieces of three characters of each distinct word; and the lower-cased texts. A
+table of queries is answered by joins: long terms to words by their first piece
+and words to postings. Short terms are held by very many words and most
+documents, so postings would be longer than the texts: all short terms of all
+queries are looked for in one pass over these. Hits are summed by query and
+document; no query has a pass of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of the longest piece that words are looked up by.
+#: Characters of the pieces that words are looked up by, and of the longest term that is short.
 PIECE = 3
 #: Points for a term in the title, in a heading, anywhere; results of a query.
 TITLE, HEADING, ANYWHERE, MOST = 10, 5, 1, 12
@@ -37,22 +40,27 @@ def postings(docs: DataFrame) -> DataFrame:
     title, body = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.concat_ws("\n", "title", "body"))
     read = docs.select("doc_id", _terms(title).alias("t"), _terms(F.array_join(headings(body), " ")).alias("h"), _terms(body).alias("b"))
     places = F.concat(
-        F.transform("t", lambda w: F.struct(w.alias("word"), F.lit(True).alias("in_title"), F.lit(False).alias("in_heading"))),
-        F.transform("h", lambda w: F.struct(w.alias("word"), F.lit(False).alias("in_title"), F.lit(True).alias("in_heading"))),
+        F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("word"), F.lit(True).alias("in_title"), F.lit(False).alias("in_heading"))),
+        F.transform(F.array_distinct("h"), lambda w: F.struct(w.alias("word"), F.lit(False).alias("in_title"), F.lit(True).alias("in_heading"))),
         F.transform(F.array_distinct("b"), lambda w: F.struct(w.alias("word"), F.lit(False).alias("in_title"), F.lit(False).alias("in_heading"))),
     )
-    return read.select("doc_id", F.inline(F.array_distinct(places))).groupBy("word", "doc_id").agg(F.bool_or("in_title").alias("in_title"), F.bool_or("in_heading").alias("in_heading"))
+    return read.select("doc_id", F.inline(places)).groupBy("word", "doc_id").agg(F.bool_or("in_title").alias("in_title"), F.bool_or("in_heading").alias("in_heading"))
 
 
 def pieces(index: DataFrame) -> DataFrame:
-    """``piece, word``: what a term can begin with, for every word that holds it there."""
-    words = index.select("word").distinct()
-    starts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - (n - 1), F.lit(1))), lambda i: F.substr(F.col("word"), i, F.lit(n)))
-    every = F.array_distinct(F.concat(*(starts(n) for n in range(1, PIECE + 1))))
-    return words.select(F.explode(every).alias("piece"), "word")
+    """``piece, word``: the pieces of PIECE characters of every word."""
+    starts = F.sequence(F.lit(1), F.length("word") - (PIECE - 1))
+    every = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(PIECE))))
+    return index.select("word").distinct().where(F.length("word") >= PIECE).select(F.explode(every).alias("piece"), "word")
 
 
-def search(queries: DataFrame, index: DataFrame, word_pieces: DataFrame, most: int = MOST) -> DataFrame:
+def texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, title, heading, body`` of ``docs(doc_id, title, body)`` in small letters, the body with the title before it."""
+    title, body = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.concat_ws("\n", "title", "body"))
+    return docs.select("doc_id", title.alias("title"), F.array_join(headings(body), " ").alias("heading"), body.alias("body"))
+
+
+def search(queries: DataFrame, index: DataFrame, word_pieces: DataFrame, whole_texts: DataFrame, most: int = MOST) -> DataFrame:
     """``query_id, doc_id, score``: for each of ``queries(query_id, text)`` the best documents that have all of its terms.
 
     A term that a query repeats counts as often; equal scores go by doc_id;
@@ -60,12 +68,17 @@ def search(queries: DataFrame, index: DataFrame, word_pieces: DataFrame, most: i
     """
     asked = queries.select("query_id", F.explode(_terms(F.lower("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
-    terms = asked.select("term").distinct().withColumn("piece", F.substring("term", 1, PIECE))
-    words = terms.join(word_pieces, "piece").where(F.col("word").contains(F.col("term"))).select("term", "word")
-    found = words.join(index, "word").groupBy("term", "doc_id").agg(F.bool_or("in_title").alias("in_title"), F.bool_or("in_heading").alias("in_heading"))
+    terms = asked.select("term").distinct()
+    long = terms.where(F.length("term") > PIECE).withColumn("piece", F.substring("term", 1, PIECE))
+    words = long.join(word_pieces, "piece").where(F.col("word").contains(F.col("term"))).select("term", "word")
+    hits = words.join(index, "word").select("term", "doc_id", "in_title", "in_heading")
+    # one row: the different short terms that are asked
+    brief = F.broadcast(terms.where(F.length("term") <= PIECE).agg(F.collect_set("term").alias("brief")))
+    held = whole_texts.crossJoin(brief).select("doc_id", "title", "heading", F.explode(F.filter("brief", lambda t: F.col("body").contains(t))).alias("term"))
+    hits = hits.union(held.select("term", "doc_id", F.col("title").contains(F.col("term")), F.col("heading").contains(F.col("term"))))
+    found = hits.groupBy("term", "doc_id").agg(F.bool_or("in_title").alias("in_title"), F.bool_or("in_heading").alias("in_heading"))
     points = F.when(F.col("in_title"), TITLE).otherwise(0) + F.when(F.col("in_heading"), HEADING).otherwise(0) + ANYWHERE
-    hits = asked.join(found.select("term", "doc_id", points.alias("points")), "term")
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("points") * F.col("times")).alias("score"), F.count("*").alias("matched"))
+    scores = asked.join(found.select("term", "doc_id", points.alias("points")), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("points") * F.col("times")).alias("score"), F.count("*").alias("matched"))
     whole = scores.join(needed, "query_id").where("matched = needed")
     # a place up to a bound, so that each task hands on no more than that of a query
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))

@@ -30,7 +30,7 @@ def topk_doc_search(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.substring(text, 1, 60).alias("title"), body.alias("body"))
     index = written(docsearch.postings(docs), "postings")
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("text"))
-    return docsearch.search(asked, index, docsearch.pieces(index))
+    return docsearch.search(asked, index, docsearch.pieces(index), docsearch.texts(docs))
 
 
 # -- health

@@ -24,13 +24,13 @@ def test_each_query_finds_what_a_scan_finds(spark):
     texts = ["ab", "a b", "abc e", "Cab AB", "bb bb a", "nothingatall", "", None, "é", "dead", "e d c b a"]
     asked = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
     got: dict = {}
-    for r in docsearch.search(asked, index, docsearch.pieces(index)).collect():
+    for r in docsearch.search(asked, index, docsearch.pieces(index), docsearch.texts(docs)).collect():
         got.setdefault(r.query_id, []).append((r.place, r.doc_id, r.score))
     for i, text in enumerate(texts):
         want = [(k + 1, r.doc_id, r.score) for k, r in enumerate(extract.doc_scores(docs, text or "").collect())]
         assert sorted(got.get(i, [])) == want, text
     none = docsearch.postings(docs.limit(0))
-    assert docsearch.search(asked, none, docsearch.pieces(none)).collect() == []
+    assert docsearch.search(asked, none, docsearch.pieces(none), docsearch.texts(docs.limit(0))).collect() == []
 
 
 def test_merged_sketches_stay_within_their_bound(spark):
