@@ -112,6 +112,27 @@ def test_meetings_dont_grow_with_the_square_of_the_hashes(spark):
     assert joined((0xABCD << 32) | rng.getrandbits(32) for _ in range(4_000)) < 4_000**2 / 2 / 200
 
 
+@pytest.mark.parametrize(("most", "keys"), [(0, 10), (5, 21), (6, 28), (7, 36)])
+def test_keys_of_a_hash_are_few(spark, most, keys):
+    from slatebed.operators import hashes as module
+
+    count = module._count(most)
+    df = spark.createDataFrame([(-1,), (5,)], "bits long")
+    got = df.select(module.F.array_distinct(module._keys(module.F.col("bits"), 64 // count, count)).alias("k")).collect()
+    assert [len(r.k) for r in got] == [keys, keys]
+
+
+@pytest.mark.parametrize("most", [0, 2, 3, 6, 7])
+def test_pairs_in_crowds_match_brute_force(spark, most):
+    rng = random.Random(most)
+    # 1300 hashes with the first and last 16 bits in common, some near each other
+    h = [0xABCD << 48 | rng.getrandbits(32) << 16 | 0x1234 for _ in range(1000)]
+    h += [x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, most + 3))) for x in h[:300]]
+    want = {(f"{a:016x}", f"{b:016x}", n) for a in h for b in h if a < b and (n := (a ^ b).bit_count()) <= most}
+    got = sorted(map(tuple, hamming_pairs(spark.createDataFrame([(f"{x:016X}",) for x in h], "phash string"), most).collect()))
+    assert got == sorted(want)
+
+
 def test_pairs_beyond_the_radius_are_refused(spark):
     with pytest.raises(ValueError):
         hamming_pairs(spark.createDataFrame([], "phash string"), 8)
