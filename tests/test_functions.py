@@ -58,3 +58,12 @@ def test_csv_and_markup(spark):
     assert one(spark, values.csv_cell(F.lit(None).cast("string"))) == ""
     assert one(spark, values.xml_escape(F.lit("<a&'\">"))) == "&lt;a&amp;&apos;&quot;&gt;"
     assert one(spark, values.slug(F.lit("Hello, World!"))) == "hello-world"
+
+
+def test_minute_bucket_rounds_to_milliseconds_first(spark, tmp_path):
+    from slatebed.plans.more import fn_minute_bucket
+
+    times = ["2024-01-01 00:00:59.999499", "2024-01-01 00:00:59.9995", "1969-12-31 23:58:59.9995", "1969-12-31 23:58:59.999501", "1969-12-31 23:59:59.9999", None]
+    spark.createDataFrame(list(enumerate(times)), "event_id long, at string").selectExpr("event_id", "cast(at as timestamp_ntz) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = [r.minute for r in fn_minute_bucket(spark, str(tmp_path)).orderBy("event_id").collect()]
+    assert got == [28401120, 28401121, -2, -1, 0, None]
