@@ -17,7 +17,12 @@ IPTC_SETS = {80: "artist", 116: "copyright", 118: "contact"}
 FIELDS = ["exif_artist", "exif_copyright", "exif_description", "iptc_artist", "iptc_copyright", "xmp"]
 
 
-def tiff_strings(data: bytes) -> dict[str, str]:
+def _text(data: bytes, trim: bool) -> str:
+    text = data.decode("utf-8", "replace")
+    return text.strip() if trim else text
+
+
+def tiff_strings(data: bytes, trim: bool = True) -> dict[str, str]:
     """The ASCII tags of the first directory; nothing for bytes that are no TIFF."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     found: dict[str, str] = {}
@@ -34,27 +39,30 @@ def tiff_strings(data: bytes) -> dict[str, str]:
         tag, kind, count = struct.unpack_from(order + "HHI", data, where)
         if tag in TIFF_TAGS and kind == 2:
             start = where + 8 if count <= 4 else struct.unpack_from(order + "I", data, where + 8)[0]
-            text = data[start : start + count].split(b"\0")[0].decode("utf-8", "replace").strip()
+            text = _text(data[start : start + count].split(b"\0")[0], trim)
             if text:
                 found.setdefault(TIFF_TAGS[tag], text)
     return found
 
 
-def iptc_strings(data: bytes) -> dict[str, str]:
+def iptc_strings(data: bytes, trim: bool = True) -> dict[str, str]:
     """Data sets of record 2, wherever they are in a block."""
     found: dict[str, str] = {}
     at = 0
     while (at := data.find(b"\x1c\x02", at)) >= 0 and at + 5 <= len(data):
         kind, size = data[at + 2], int.from_bytes(data[at + 3 : at + 5], "big")
-        text = data[at + 5 : at + 5 + size].decode("utf-8", "replace").strip()
+        text = _text(data[at + 5 : at + 5 + size], trim)
         if kind in IPTC_SETS and text:
             found.setdefault(IPTC_SETS[kind], text)
         at += 5 + size
     return found
 
 
-def file_parts(data: bytes) -> dict[str, str | None]:
-    """EXIF and IPTC strings and the XMP packet of a file; broken files give what could be read."""
+def file_parts(data: bytes, trim: bool = True) -> dict[str, str | None]:
+    """EXIF and IPTC strings and the XMP packet of a file; broken files give what could be read.
+
+    ``trim`` takes blanks off the ends of EXIF and IPTC strings.
+    """
     out: dict[str, str | None] = dict.fromkeys(FIELDS)
 
     def put(prefix: str, found: dict[str, str]) -> None:
@@ -68,25 +76,25 @@ def file_parts(data: bytes) -> dict[str, str | None]:
             size = int.from_bytes(data[at + 2 : at + 4], "big")
             body, marker = data[at + 4 : at + 2 + size], data[at + 1]
             if marker == 0xE1 and body.startswith(b"Exif\0\0"):
-                put("exif", tiff_strings(body[6:]))
+                put("exif", tiff_strings(body[6:], trim))
             elif marker == 0xE1 and b"<" in body and out["xmp"] is None and b"xmp" in body[:64].lower() + body[-400:].lower():
                 out["xmp"] = body[body.index(b"<") :].decode("utf-8", "replace")
             elif marker == 0xED:
-                put("iptc", iptc_strings(body))
+                put("iptc", iptc_strings(body, trim))
             at += 2 + max(size, 2)
     else:
-        put("exif", tiff_strings(data))
+        put("exif", tiff_strings(data, trim))
         if packet := re.search(rb"<x:xmpmeta.*?</x:xmpmeta>", data, re.S):
             out["xmp"] = packet[0].decode("utf-8", "replace")
     return out
 
 
-def file_fields(content: Column) -> Column:
-    """The strings of FIELDS of each file."""
+def file_fields(content: Column, trim: bool = True) -> Column:
+    """The strings of FIELDS of each file; see :func:`file_parts`."""
 
     @F.pandas_udf(", ".join(f"{f} string" for f in FIELDS))
     def read(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([dict.fromkeys(FIELDS) if b is None else file_parts(bytes(b)) for b in column], columns=FIELDS)
+        return pd.DataFrame([dict.fromkeys(FIELDS) if b is None else file_parts(bytes(b), trim) for b in column], columns=FIELDS)
 
     return read(content)
 
@@ -100,12 +108,13 @@ def _resource(xml: Column, tag: str) -> Column:
     return F.nullif(F.regexp_extract(xml, rf"""(?i)<{tag}\b[^>]*?rdf:resource=["']([^"']+)["']""", 1), F.lit(""))
 
 
-def embedded_metadata(blobs: DataFrame) -> DataFrame:
+def embedded_metadata(blobs: DataFrame, trim: bool = True) -> DataFrame:
     """``blobs(id, content)`` to artist, copyright, description, license and how sure each is.
 
-    The first of EXIF, IPTC and XMP that has an artist or a copyright gives it.
+    The first of EXIF, IPTC and XMP that has an artist or a copyright gives it;
+    without ``trim`` EXIF and IPTC give it as it stands in the file.
     """
-    p = blobs.select("id", file_fields(F.col("content")).alias("p")).select("id", "p.*")
+    p = blobs.select("id", file_fields(F.col("content"), trim).alias("p")).select("id", "p.*")
     xml = F.col("xmp")
     x = p.select(
         "*",

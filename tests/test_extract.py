@@ -84,3 +84,23 @@ def test_sinks(spark, tmp_path):
     assert "<dc:creator><rdf:Seq><rdf:li>A&amp;B</rdf:li></rdf:Seq></dc:creator>" in side.x and side.y is None
     ups = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "b")], "k string, t long, v string")
     assert {r.v for r in sinks.latest_by(ups, "k", ["t"]).collect()} == {"new", "b"}
+
+
+def _letterless(spark, tmp_path):
+    rows = [(0, "123 456", "en", "web", 7), (1, None, "fr", "web", 2), (2, "Word", "de", "web", 4), (3, "7" * 9, "en", "web ", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_exif_of_texts_without_letters(spark, tmp_path):
+    from slatebed.plans.pages import ext_exif
+
+    got = ext_exif(spark, _letterless(spark, tmp_path)).orderBy("doc_id").collect()
+    assert [r.artist for r in got] == ["Word ", "Word ", "Word Word", "Word "]
+
+
+def test_tiff_with_a_long_text(spark, tmp_path):
+    from slatebed.plans.pages import ext_exif
+
+    spark.createDataFrame([(0, "x" * 70_000, "en", "web", 70_000)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert ext_exif(spark, str(tmp_path)).first().artist == "Word " + "x" * 70_000
