@@ -18,6 +18,7 @@ from slatebed.functions.urls import normalize_url
 from slatebed.functions.values import looks_personal
 from slatebed.operators.hashes import hamming_pairs
 from slatebed.operators.totals import numbered
+from slatebed.sources.shared import written
 
 POLICIES = ("open-only", "context-safe", "safe-only", "prefer-safe", "any")
 
@@ -183,7 +184,7 @@ def best_copies(df: DataFrame, most: int = 5, digits: int = 4) -> DataFrame:
         (-pixels).alias("pixels"), license_rank(F.col("license")).alias("rank"), (-F.coalesce("confidence", F.lit(0.0))).alias("confidence"),
         F.coalesce("bytes", F.lit((1 << 63) - 1)).alias("bytes"), F.col("ordinal").alias("ordinal"),
     )
-    classes = df.where("phash is not null").groupBy(F.lower("phash").alias("phash")).agg(F.min(order).alias("best"))
+    classes = written(df.where("phash is not null").groupBy(F.lower("phash").alias("phash")).agg(F.min(order).alias("best")), "classes")
     pairs = hamming_pairs(classes, most).where(F.substring("hash_a", 1, digits) == F.substring("hash_b", 1, digits))
     a = classes.select(F.col("phash").alias("hash_a"), F.col("best").alias("best_a"))
     b = classes.select(F.col("phash").alias("hash_b"), F.col("best").alias("best_b"))
