@@ -107,3 +107,19 @@ def test_paths_and_keys(spark):
     got = one.select(*(checks.bearer_token(F.lit(t).cast("string"), "k_").alias(str(i)) for i, t in enumerate(tokens))).first()
     assert list(got) == [good, good, None, None, None, None, None]
     assert one.select(checks.heading_id(F.lit(" What's new -- in 2_0? ")).alias("x")).first().x == "whats-new-in-2_0"
+
+
+def test_short_terms_of_all_queries_are_found_in_one_pass_of_batches(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7, 8, 9], "title": ["ab", "", ""], "heading": ["", "été", ""], "body": ["ab cab", "x été ab", ""], "brief": ["ab ét zz"] * 3})
+    got = [r for b in docsearch._held_batches([batch, batch.slice(0, 0)]) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in got] == [("ab", 7, True, False), ("ab", 8, False, False), ("ét", 8, False, True)]
+
+
+def test_a_word_is_posted_once_with_its_places(spark):
+    docs = spark.createDataFrame([(1, "Red fox", "red x.\n## Blue red\nfox Fox")], "doc_id long, title string, body string")
+    got = sorted(map(tuple, docsearch.postings(docs).collect()))
+    assert got == [("##", 1, False, False), ("blue", 1, False, True), ("fox", 1, True, False), ("red", 1, True, True), ("x.", 1, False, False)]
+    plan = docsearch.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # the words of a document are put together where it is
