@@ -28,23 +28,25 @@ class QuotaGate(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["ts", "request_id"], kind="stable")
         totals: dict[int, int] = {}
         ends: dict[int, int] = {}
-        out = []
-        for r in batch.itertuples(index=False):
-            start = int(r.start_ms)
+        columns = [batch[c].tolist() for c in ("request_id", "start_ms", "end_ms", "plan", "included", "units", "forbidden")]
+        allows, reasons, before, over = [], [], [], []
+        for _, start, end, plan, included, units, forbidden in zip(*columns):
             if start not in totals:
                 totals[start] = int(self.used.getValue((start,))[0]) if self.used.containsKey((start,)) else 0
-                ends[start] = int(r.end_ms) + BUFFER_MS
+                ends[start] = end + BUFFER_MS
                 self.handle.registerTimer(ends[start])
             used = totals[start]
-            fits = r.plan != "free" or used + r.units <= r.included
-            allow = bool(fits and not r.forbidden)
-            reason = "plan_endpoint_forbidden" if r.forbidden else None if fits else "quota_exceeded_free"
-            out.append((int(r.request_id), key[0], allow, reason, 0 if r.forbidden else used, max(0, used + int(r.units) - int(r.included)) if allow else 0))
+            fits = plan != "free" or used + units <= included
+            allow = fits and not forbidden
+            allows.append(allow)
+            reasons.append("plan_endpoint_forbidden" if forbidden else None if fits else "quota_exceeded_free")
+            before.append(0 if forbidden else used)
+            over.append(max(0, used + units - included) if allow else 0)
             if allow:
-                totals[start] = used + int(r.units)
+                totals[start] = used + units
         for start, used in totals.items():
             self.used.updateValue((start,), (used, ends[start]))
-        yield pd.DataFrame(out, columns=["request_id", "workspace_id", "allow", "reason", "used", "overage"])
+        yield pd.DataFrame({"request_id": columns[0], "workspace_id": key[0], "allow": allows, "reason": reasons, "used": before, "overage": over})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
