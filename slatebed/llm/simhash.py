@@ -45,6 +45,10 @@ NEAR_BITS = 24
 SHORT = 64
 #: Shingles of a segment of the ring, about, and segments of a text that serve as keys.
 SEGMENT_SHINGLES, RING = 3, 64
+#: Rounds of stars among the members of crowded keys; in the last one what is left is compared whole.
+ROUNDS = 4
+#: Blocks in which the pairs of a crowded key are made.
+BLOCKS = 32
 #: Losers up to which they are broadcast; beyond, rows and losers are joined by a shuffle.
 FEW_ROWS = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -251,53 +255,144 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([some.column(0), lists], ["uid", "shingles"])
 
 
-def near_candidates(classes: DataFrame) -> DataFrame:
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """``key, uid, n`` of the keys that n classes have, n over one."""
+    keyed = classes.select("uid", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return stored(keyed.join(sizes, "key").select("key", "uid", "n"), "shared")
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """``x, y``: each member y of a crowded key and the one that shares its segments with most others."""
+    crowd = shared.where(F.col("n") > CROWDED)
+    known = crowd.join(shared.groupBy("uid").agg(F.sum("n").alias("known")), "uid")
+    centres = known.groupBy("key").agg(F.max(F.struct("known", -F.col("uid"))).alias("c")).select("key", (-F.col("c.col2")).alias("x"))
+    return crowd.join(centres, "key").where("uid <> x").select("x", F.col("uid").alias("y")).distinct()
+
+
+def near_candidates(classes: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """``classes(uid, fp, keys)`` to candidate pairs ``a < b`` of uids.
 
     They come from fingerprints within two bits and from equal segments of the
     ring. Within an ordinary key every pair is one. The members of a crowded key
     are paired with the one that shares its segments with most others, which in
-    a crowd of copies is the text that they were made from.
+    a crowd of copies is the text that they were made from; what is not
+    connected by then is left to :func:`crowd_links`.
     """
+    shared = shared or _shared_keys(classes)
     by_fp = stored(classes.groupBy("fp").agg(F.min("uid").alias("rep")), "fps")
     found = links(by_fp.select("fp"))
     a, b = by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
     close = found.join(a, "a").join(b, "b").select("x", "y")
     same = classes.join(by_fp, "fp").where("uid <> rep").select(F.col("rep").alias("x"), F.col("uid").alias("y"))
-    keyed = classes.select("uid", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(keyed.join(sizes, "key"), "shared")
     few = shared.where(F.col("n") <= CROWDED)
     ring = few.alias("p").join(few.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.uid") < F.col("q.uid"))).select(
         F.col("p.uid").alias("x"), F.col("q.uid").alias("y")
     )
-    crowd = shared.where(F.col("n") > CROWDED)
-    known = crowd.join(shared.groupBy("uid").agg(F.sum("n").alias("known")), "uid")
-    centres = known.groupBy("key").agg(F.max(F.struct("known", -F.col("uid"))).alias("c")).select("key", (-F.col("c.col2")).alias("x"))
-    stars = crowd.join(centres, "key").where("uid <> x").select("x", F.col("uid").alias("y"))
-    every = close.union(same).union(ring).union(stars)
+    every = close.union(same).union(ring).union(_stars(shared))
     return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _alike(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that share at least NEAR of all their shingles."""
+    both = pairs.select("a", "b").join(shingles.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        shingles.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(5 * shared >= 4 * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def _differences(stars: DataFrame, shingles: DataFrame, groups: DataFrame) -> DataFrame:
+    """``x, y, n, component, linked, diff`` of the stars whose members aren't all connected yet.
+
+    diff has the shingles that only one of x and y has, n is the number of y's.
+    """
+    part = lambda uid, name: groups.select(F.col("node").alias(uid), F.col("component").alias(name))
+    named = stars.join(part("y", "cy"), "y", "left").join(part("x", "cx"), "x", "left")
+    named = named.select("x", "y", F.coalesce("cy", "y").alias("component"), F.coalesce("cx", "x").alias("cx"))
+    # a star is read again by its centre, so what is known of its members is written down
+    named = stored(named, "stars")
+    open_stars = named.where("component <> cx").select("x").distinct()
+    both = (
+        named.join(open_stars, "x", "left_semi")
+        .join(shingles.select(F.col("uid").alias("y"), F.col("shingles").alias("sy")), "y")
+        .join(shingles.select(F.col("uid").alias("x"), F.col("shingles").alias("sx")), "x")
+        .withColumns({"own": F.array_except("sy", "sx"), "gone": F.array_except("sx", "sy")})
+    )
+    same, every = F.size("sy") - F.size("own"), F.size("sx") + F.size("own")
+    return both.select("x", "y", F.size("sy").alias("n"), "component", (5 * same >= 4 * every).alias("linked"), F.concat("own", "gone").alias("diff"))
+
+
+def crowd_links(stars: DataFrame, shingles: DataFrame, links: DataFrame) -> DataFrame:
+    """``links(a, b)`` and what is missing among them between the members of each star.
+
+    Let x be the centre of a star and D(y) the shingles that only one of x and
+    y has. Two members with nothing in common in their D have at most the
+    likeness of each to x: what both have, x has, and what x or one of them has,
+    one of both has. So two that are alike are both linked to x, or their D
+    have a shingle in common. As texts y and z that are alike differ by at most
+    n(y) / 4 shingles, it is among the first n(y) / 4 + 1 of D(y), in any order
+    that is the same for all of a star, and likewise for z. The rare ones come
+    first; those are keys. Keys that would make too many pairs between parts
+    that aren't connected yet are stars of the next round; in the last round
+    all their pairs are made, a block at a time.
+    """
+    for last in (*[False] * (ROUNDS - 1), True):
+        told = stored(_differences(stars, shingles, connected_components(links)), "differences")
+        entries = told.select("x", "y", "n", "component", "linked", F.explode("diff").alias("e"))
+        weights = entries.groupBy("x", "e").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("open"))
+        first = F.slice(F.sort_array(F.collect_list(F.struct("open", "m", "e"))), F.lit(1), F.floor(F.col("n") / 4).cast("int") + 1)
+        prefixes = entries.join(weights, ["x", "e"]).groupBy("x", "y", "n", "component", "linked").agg(first.alias("first"))
+        keyed = prefixes.select("x", "y", "n", "component", "linked", F.explode(F.filter("first", lambda f: f.open)).alias("f"))
+        keyed = stored(keyed.select("x", "y", "n", "component", "linked", F.col("f.e").alias("e")), "keyed")
+        parts = keyed.groupBy("x", "e", "component").agg(F.count("*").alias("k"))
+        sizes = parts.groupBy("x", "e").agg(F.sum("k").alias("t"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
+        dealt = stored(keyed.join(sizes.where("pairs > 0"), ["x", "e"]).withColumn("many", F.col("pairs") > CROWDED * F.col("t")), "dealt")
+        pairs = _between(dealt.where("not many"), 1)
+        many = dealt.where("many")
+        if last:
+            pairs = pairs.union(_between(many, BLOCKS))
+        alike = _alike(stored(pairs.distinct(), "crowd_pairs"), shingles)
+        links = stored(links.union(told.where("linked").select("x", "y")).union(alike), "near")
+        if last or many.isEmpty():
+            return links
+        known = many.join(many.groupBy("y").agg(F.sum("t").alias("known")), "y")
+        # one that the last centre is not linked to
+        centres = known.groupBy("x", "e").agg(F.max(F.struct(~F.col("linked"), "known", -F.col("y"))).alias("c"))
+        centres = centres.select("x", "e", (-F.col("c.col3")).alias("centre"))
+        stars = stored(many.join(centres, ["x", "e"]).where("y <> centre").select(F.col("centre").alias("x"), "y").distinct(), "next_stars")
+
+
+def _between(keyed: DataFrame, blocks: int) -> DataFrame:
+    """Pairs ``a < b`` of like sizes in different components that have a key ``x, e`` in common."""
+    p = keyed.withColumn("block", F.pmod(F.xxhash64("y"), F.lit(blocks)).cast("int")).alias("p")
+    q = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("q")
+    same = (F.col("p.x") == F.col("q.x")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.block") == F.col("q.block"))
+    fit = 5 * F.least("p.n", "q.n") >= 4 * F.greatest("p.n", "q.n")
+    apart = (F.col("p.y") < F.col("q.y")) & (F.col("p.component") != F.col("q.component"))
+    return p.join(q, same & apart & fit).select(F.col("p.y").alias("a"), F.col("q.y").alias("b"))
+
+
 def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes ``a, b`` whose texts share at least NEAR of all their shingles."""
+    """Pairs of classes ``a, b`` that connect all whose texts share at least NEAR of all their shingles."""
     about = classes.select("uid", "fp", "n")
+    shared = _shared_keys(classes)
+    stars = stored(_stars(shared), "stars")
     pairs = (
-        near_candidates(classes)
+        near_candidates(classes, shared)
         .join(about.select(F.col("uid").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na")), "a")
         .join(about.select(F.col("uid").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb")), "b")
         .where((F.least("na", "nb") <= SHORT) | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= NEAR_BITS))
         .where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
     )
-    pairs = stored(pairs.select("a", "b", "na", "nb"), "pairs")
-    wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    pairs = stored(pairs.select("a", "b"), "pairs")
+    ends = [pairs.select(F.col("a").alias("uid")), pairs.select(F.col("b").alias("uid"))]
+    ends += [stars.select(F.col("x").alias("uid")), stars.select(F.col("y").alias("uid"))]
+    wanted = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).distinct()
     texts = rows.join(small(stored(wanted, "wanted"), FEW_ROWS), "uid", "left_semi").select("uid", F.coalesce("row.text", F.lit("")).alias("text"))
     shingles = stored(texts.mapInArrow(_shingle_batches, "uid long, shingles array<long>"), "shingles")
-    both = pairs.join(shingles.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        shingles.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(5 * shared >= 4 * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    found = stored(_alike(pairs, shingles), "alike")
+    return found if stars.isEmpty() else crowd_links(stars, shingles, found)
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -327,7 +422,7 @@ def _kept_rows(rows: DataFrame) -> DataFrame:
     best = of_row.groupBy("digest").agg(F.min("first").alias("first"))
     with scratch(rows.sparkSession) as stay:
         classes = stored(each.join(best.select(F.col("first.uid").alias("uid")), "uid", "left_semi").select("uid", "fp", "n", "keys"), "classes")
-        links = stored(near_links(rows, classes), "near")
+        links = near_links(rows, classes)
         stay.append(links)
     groups = connected_components(links)
     # the least row of each group of classes

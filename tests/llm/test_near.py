@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from slatebed.llm import simhash
 from slatebed.llm.common import stored
@@ -101,3 +102,31 @@ def test_recall_of_links_in_a_crowd(spark):
     outside = {(i, j) for i, j in true if i > 300}
     assert len(outside) >= 40 and outside <= candidates
     assert len(candidates) < 40 * len(rows)  # far from all pairs
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_links_whose_only_key_is_crowded_are_found(spark, monkeypatch, rounds):
+    """Texts put together from the same passages and near copies of some, under one key; the centre is like few of them."""
+    rng = random.Random(23)
+    slots = [[[f"w{rng.randrange(10**6)}" for _ in range(27)] for _ in range(2)] for _ in range(6)]
+    mixed = [[w for k, slot in enumerate(slots) for w in slot[i >> k & 1]] for i in range(64)]
+    texts = mixed + [edited(rng, mixed[i], rng.randrange(1, 4)) for i in rng.sample(range(64), 30)]
+    words = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles(t) for _, t in words]
+    monkeypatch.setattr(simhash, "CROWDED", 3)
+    monkeypatch.setattr(simhash, "ROUNDS", rounds, raising=False)
+    rows = spark.createDataFrame([(i, (t,)) for i, t in words], "uid long, row struct<text string>")
+    # fingerprints that are far from each other, one key for all
+    far = spark.createDataFrame([(i, i * 0x0101010101010101 % 2**62, len(sets[i]), [1]) for i, _ in words], "uid long, fp long, n long, keys array<long>")
+    found = [(r.a, r.b) for r in simhash.near_links(rows, stored(far, "far")).collect()]
+    assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in found)
+    parent = list(range(len(words)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in found:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert sorted({root(i) for i in parent}) == brute_kept(words)
