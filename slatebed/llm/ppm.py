@@ -56,6 +56,8 @@ START, END = 0xFE, 0xFF
 SYMBOLS = 257
 #: Codes scored at a time, and rows of a batch.
 STEP, SLICE = 1 << 18, 1000
+#: Ranges of codes of a chunk that are counted one after the other.
+RANGES = 4
 #: Packed rows that are handed to Spark at a time.
 ROWS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -98,10 +100,26 @@ def _turned(codes: np.ndarray) -> np.ndarray:
 
 
 def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Turned codes in order, each once, and how often each came; the argument is sorted in place."""
+    """Turned codes in order, each once, and how often each came, as 32 bits.
+
+    The argument is sorted in place and overwritten by its distinct codes, a
+    stretch at a time, so nothing else of its length is held beside it.
+    """
     codes.sort()
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[first], np.diff(np.append(first, len(codes)))
+    kept, firsts = 0, [np.zeros(0, np.int32)]
+    before = None
+    for at in range(0, len(codes), STEP):
+        some = codes[at : at + STEP]
+        new = np.empty(len(some), bool)
+        new[0] = before is None or some[0] != before
+        np.not_equal(some[1:], some[:-1], out=new[1:])
+        before = some[-1]
+        found = some[new]
+        codes[kept : kept + len(found)] = found
+        kept += len(found)
+        firsts.append(np.flatnonzero(new).astype(np.int32) + np.int32(at))
+    first = np.concatenate([*firsts, np.array([len(codes)], np.int32)])
+    return codes[:kept].copy(), np.diff(first)
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,20 +298,27 @@ class _Chunk:
         codes, starts = _codes(texts, self.row["heads"][at:end], self.row["last"][at:end])
         return _turned(codes), starts
 
-    def all_codes(self) -> np.ndarray:
-        """Those of all texts, made a stretch at a time."""
-        out = np.empty(len(self.data) + sum(self.row["last"]), np.uint64)
-        low = 0
-        for at, end in self.stretches(STEP):
-            codes, _ = self.codes(at, end)
-            out[low : low + len(codes)] = codes
-            low += len(codes)
-        return out
-
-    def distinct_codes(self) -> np.ndarray:
-        """In order, each once; sorted a stretch at a time, then together."""
-        held = [_distinct(self.codes(at, end)[0])[0] for at, end in self.stretches(16 * STEP)]
-        return _distinct(np.concatenate(held))[0] if held else np.zeros(0, np.uint64)
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct codes in order and how often each came, as 32 bits.
+
+        They are counted a range of codes at a time; each time the codes are
+        made anew, which takes less memory than to hold all of them.
+        """
+        found = []
+        for low, high in zip(bounds := self._bounds(), bounds[1:]):
+            held = []
+            for at, end in self.stretches(STEP):
+                codes, _ = self.codes(at, end)
+                held.append(codes[(codes >= low) & (codes < high)])
+            found.append(_distinct(np.concatenate(held) if held else np.zeros(0, np.uint64)))
+        return tuple(np.concatenate([pair[i] for pair in found]) for i in (0, 1))
+
+    def _bounds(self) -> list[np.uint64]:
+        """Ends of ranges that have about as many codes each, by those of the first texts."""
+        at, end = next(self.stretches(STEP), (0, 0))
+        some = np.sort(self.codes(at, end)[0])
+        inner = [some[len(some) * k // RANGES] for k in range(1, RANGES)] if len(some) else []
+        return [np.uint64(0), *inner, np.uint64(1 << 63)]  # codes have ORDER + 1 bytes
 
     def words(self, at: int, end: int) -> pa.ListArray:
         """Words of each text, with an empty one where white space starts or ends it."""
@@ -306,9 +331,9 @@ def _ask_batches(bits: int):
 
     def asked(chunk: _Chunk) -> Iterator[tuple]:
         row = chunk.row
-        codes, times = _distinct(chunk.all_codes())
+        codes, times = chunk.counted()
         for part, at in _parts(codes, bits):
-            yield part, row["chunk"], row["wanted"], _pack_sorted(codes[at]), _pack(times[at]) if row["learn"] else None, None, None
+            yield part, row["chunk"], row["wanted"], _pack_sorted(codes[at]), _pack(times[at].astype(np.int64)) if row["learn"] else None, None, None
 
     def counted(held: list[pa.Table]) -> pa.Table:
         return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
@@ -324,6 +349,7 @@ def _ask_batches(bits: int):
         for row in _rows(batches):
             chunk = _Chunk(row)
             yield from _batches(asked(chunk), _ASKED)
+            pa.default_memory_pool().release_unused()
             if not row["learn"]:
                 continue
             for at, end in chunk.stretches(16 * STEP):
@@ -506,12 +532,13 @@ def _answer_batches(name: str, shipped: Broadcast):
     return run
 
 
-def _chunk_scores(chunk: _Chunk, logs: list[np.ndarray], bits: int) -> np.ndarray:
-    """log10 of the chance of each text of a chunk, from the answers to its codes by part."""
+def _chunk_scores(chunk: _Chunk, logs: list[bytes], bits: int) -> np.ndarray:
+    """log10 of the chance of each text of a chunk, from the packed answers to its codes by part."""
     n = len(chunk.row["ids"])
-    every = chunk.distinct_codes()
+    every, _ = chunk.counted()
     answers = np.empty(len(every))
-    answers[np.argsort(_part(every, bits), kind="stable")] = np.concatenate(logs)
+    for (_, at), packed in zip(_parts(every, bits), logs, strict=True):
+        answers[at] = _unpack(packed, np.int64) * -UNIT
     scores = np.zeros(n)
     for at in range(0, n, 256):  # a text's number has a byte beside its code, so both are sorted at once
         end = min(at + 256, n)
@@ -558,10 +585,10 @@ def _score_batches(bits: int, shipped: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, times = shipped.value
         of_hot = np.append(np.log10(times + 1), 0.0)
-        logs: list[np.ndarray] = []
+        logs: list[bytes] = []
         for row in _rows(batches):
             if row["texts"] is None:
-                logs.append(_unpack(row["logs"], np.int64) * -UNIT)
+                logs.append(row["logs"])
                 continue
             chunk = _Chunk(row)
             scores = _chunk_scores(chunk, logs, bits)

@@ -6,10 +6,12 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -424,3 +426,24 @@ def test_url_rules_and_templates(spark):
     assert got[300].template == "/de/*/"
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.op10_url_templates(none).count() == 0
+
+
+def test_codes_of_a_chunk_are_counted_in_little_memory():
+    """A chunk has a code of eight bytes for each of its bytes; asking never holds all of them."""
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(2, 9, 2000)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 2000, 300)) for _ in range(2500)]
+    body = b"".join(texts)
+    row = {"chunk": 3, "learn": True, "wanted": True, "uids": [0] * len(texts), "ids": [0] * len(texts), "sizes": [len(t) for t in texts]}
+    row |= {"heads": [ppm._HEAD] * len(texts), "last": [True] * len(texts), "texts": len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)}
+    batch = pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in ppm._LAID], schema=ppm._LAID)
+    tracemalloc.start()
+    asked = [r for b in ppm._ask_batches(4)(iter([batch])) for r in b.to_pylist() if r["codes"] is not None]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counted = {}
+    for r in asked:
+        counted |= dict(zip(ppm._unpack_sorted(r["codes"]).tolist(), ppm._unpack(r["times"], np.int64).tolist()))
+    codes, times = np.unique(ppm._turned(ppm._codes(texts)[0]), return_counts=True)
+    assert counted == dict(zip(codes.tolist(), times.tolist()))
+    assert most < 18 * len(body)  # 23 when all were held
