@@ -51,7 +51,6 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     while len(end):
         start = start_of[end]
         members = sa[_ranges(start, end)]
-        here = group[members]
         going = members
         while len(going):
             to = prev[going]
@@ -86,7 +85,6 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             group[found] = np.repeat(sub, sub_size)
         more = start > low
         low, end = low[more], start[more]
-        del here
 
     out = np.full(n, -1, np.int64)
     front = np.arange(n)

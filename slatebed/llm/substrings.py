@@ -38,7 +38,10 @@ RANGE = 8
 #: Bytes of a text that are cut into segments at a time, and of texts for suffix arrays.
 PIECE, BLOCK = 1 << 20, 1 << 20
 #: Bytes of texts whose suffix arrays are built in lockstep; a step costs as much for few as for many.
-LOCKSTEP = 1 << 21
+LOCKSTEP = 1 << 20
+#: Stretches round an anchor of which every string covers one, and the bytes by which they differ.
+STEPS = 8
+STEP = (WINDOW - GRAM) // STEPS
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -55,7 +58,8 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+        x = x ^ (x >> np.uint64(33))
+        x *= np.uint64(factor)
     return x ^ (x >> np.uint64(33))
 
 
@@ -69,16 +73,22 @@ class _Hashes:
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
+    def grams(self) -> np.ndarray:
+        """The hashes of all substrings of GRAM bytes."""
+        found = self.sums[GRAM:] - self.sums[:-GRAM]
+        found *= self.down[: len(found)]
+        return _mixed(found)
+
 
 def segments(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(anchor hash, segment hash, first string, last string) of the segments of a text."""
     for at in range(0, len(data) - WINDOW + 1, PIECE - WINDOW):
         part = data[at : at + PIECE - 1]
         hashes = _Hashes(part)
-        grams = np.arange(len(part) - GRAM + 1)
-        gram = hashes(grams, grams + GRAM)
+        gram = hashes.grams()
         # the least hash, the leftmost of equal ones
-        ranked = (gram & ~np.uint64(PIECE - 1)) | grams.astype(np.uint64)
+        ranked = gram & ~np.uint64(PIECE - 1)
+        ranked |= np.arange(len(gram), dtype=np.uint64)
         width, n = WINDOW - GRAM + 1, len(part) - WINDOW + 1
         rows = np.concatenate((ranked, np.full(-len(ranked) % width, 2**64 - 1, np.uint64))).reshape(-1, width)
         before = np.minimum.accumulate(rows, axis=1).ravel()
@@ -134,9 +144,9 @@ def repeated_strings(groups: list[list[bytes]]) -> list[list[np.ndarray]]:
     order = sorted(range(len(groups)), key=lambda g: sum(map(len, groups[g])))
     at = 0
     while at < len(order):
-        # groups of similar length go in lockstep
-        some, size, limit = [], 0, 2 * sum(map(len, groups[order[at]])) + WINDOW
-        while at < len(order) and (not some or (size < LOCKSTEP and sum(map(len, groups[order[at]])) <= limit)):
+        # groups that are done leave the lockstep, so lengths may differ
+        some, size = [], 0
+        while at < len(order) and (not some or size < LOCKSTEP):
             some.append(order[at])
             size += sum(map(len, groups[order[at]]))
             at += 1
@@ -200,6 +210,66 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate(([0], gaps + 1))], starts[np.append(gaps, len(starts) - 1)]
 
 
+def _with_partners(rows: list[tuple]) -> list[list[tuple]]:
+    """Segments in groups with those of the same anchor that may share a string with them.
+
+    A string has its anchor at most WINDOW - GRAM bytes after its start, so it
+    covers one of STEPS stretches round the anchor that have all but a
+    STEPS-th of those bytes. Two segments with an equal string have that
+    stretch in common; segments connected by stretches are a group, and one
+    whose stretches are all its own has no string of another. What lies beyond
+    the strings around common stretches is cut off.
+    """
+    found = np.zeros((len(rows), STEPS), np.uint64)
+    there = np.zeros((len(rows), STEPS), bool)
+    anchors = np.zeros(len(rows), np.int64)
+    at = 0
+    while at < len(rows):
+        end, size = at, 0
+        while end < len(rows) and (end == at or size + len(rows[end][5]) <= PIECE):
+            size += len(rows[end][5])
+            end += 1
+        sizes = np.array([len(r[5]) for r in rows[at:end]])
+        stops = np.cumsum(sizes)
+        begins = stops - sizes
+        hashes = _Hashes(np.frombuffer(b"".join(r[5] for r in rows[at:end]), np.uint8))
+        grams = hashes.grams()
+        keys = np.repeat(np.array([r[0] for r in rows[at:end]], np.int64), sizes)[: len(grams)]
+        hit = np.flatnonzero(grams.view(np.int64) == keys)
+        anchor = hit[np.searchsorted(hit, begins)]  # the first one in each segment
+        anchors[at:end] = anchor - begins
+        for k in range(STEPS):
+            low = anchor - k * STEP
+            high = anchor + GRAM + (STEPS - 1 - k) * STEP
+            inside = np.flatnonzero((low >= begins) & (high <= stops))
+            there[at + inside, k] = True
+            found[at + inside, k] = _mixed(hashes(low[inside], high[inside]) + np.uint64(k))
+        at = end
+    values, of, times = np.unique(found[there], return_inverse=True, return_counts=True)
+    common = times[of] > 1
+    row, step = (x[common] for x in np.nonzero(there))
+    of = of[common]
+    group = np.arange(len(rows))  # the first segment that each is connected to
+    while True:
+        least = np.full(len(values), len(rows))
+        np.minimum.at(least, of, group[row])
+        new = group.copy()
+        np.minimum.at(new, row, least[of])
+        if (new == group).all():
+            break
+        group = new
+    # a string with its anchor after o bytes covers stretch o // STEP, or the last
+    first, last = np.full(len(rows), WINDOW), np.zeros(len(rows), np.int64)
+    np.maximum.at(last, row, np.where(step == STEPS - 1, WINDOW - GRAM, (step + 1) * STEP - 1))
+    np.minimum.at(first, row, step * STEP)
+    low, high = np.maximum(0, anchors - last).tolist(), (anchors - first + WINDOW).tolist()
+    cut = lambda i: (*rows[i][:4], rows[i][4] + low[i], rows[i][5][low[i] : high[i]])
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.diff(group[order])) + 1
+    parts = [part.tolist() for part in np.split(order, edges) if len(part) > 1]
+    return [[cut(i) for i in part] for part in parts if any(rows[i][1] for i in part)]
+
+
 def _array_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of repeated strings from rows that come sorted by key."""
 
@@ -215,17 +285,20 @@ def _array_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "th", "low", "high"])
 
     groups: list[list[tuple]] = []
-    size = 0
+    rows: list[tuple] = []
+    size = held = 0
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if groups and groups[-1][0][0] == row[0]:
-                groups[-1].append(row)
-            else:
-                if size >= 2 * LOCKSTEP:
+            if size >= PIECE and rows[-1][0] != row[0]:  # all of an anchor are looked at together
+                some = _with_partners(rows)
+                groups, held, rows, size = groups + some, held + sum(len(r[5]) for g in some for r in g), [], 0
+                if held >= 2 * LOCKSTEP:
                     yield from spans(groups)
-                    groups, size = [], 0
-                groups.append([row])
+                    groups, held = [], 0
+            rows.append(row)
             size += len(row[5])
+    if rows:
+        groups += _with_partners(rows)
     if groups:
         yield from spans(groups)
 
@@ -243,8 +316,7 @@ def _range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         parts, strings, lengths = [], [], []
         for key, single, doc_id, th, low, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
             hashes = _Hashes(np.frombuffer(data, np.uint8))
-            grams = np.arange(len(data) - GRAM + 1)
-            anchor = int(np.flatnonzero(hashes(grams, grams + GRAM).view(np.int64) == key)[0])
+            anchor = int(np.flatnonzero(hashes.grams().view(np.int64) == key)[0])
             starts = np.arange(len(data) - WINDOW + 1)
             place = (anchor - starts) // RANGE
             first = np.flatnonzero(np.concatenate(([True], np.diff(place) != 0)))
@@ -344,7 +416,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     )
     columns = ["key", "single", "doc_id", "th", "low", "data"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = cut.where("not crowded").select(columns).repartition(4 * parts, "key").sortWithinPartitions("key")
+    sorted_rows = cut.where("not crowded").select(columns).repartition(parts, "key").sortWithinPartitions("key")
     arrays = sorted_rows.mapInArrow(_array_batches, "doc_id long, th long, low int, high int")
     counted = crowded_spans(cut.where("crowded").select(columns))
     spans = whole.union(arrays).union(counted)

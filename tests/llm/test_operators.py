@@ -428,6 +428,32 @@ def test_url_rules_and_templates(spark):
     assert urls.op10_url_templates(none).count() == 0
 
 
+def test_segments_meet_only_those_that_may_share_a_string():
+    """Texts with the same 64 bytes, of which few share 200, lose the same strings as if all were compared."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: bytes(rng.integers(97, 101, n, dtype=np.uint8))
+    gram = letters(64)
+    key = int(substrings._Hashes(np.frombuffer(gram, np.uint8)).grams().view(np.int64)[0])
+    lefts, rights = [letters(136) for _ in range(6)], [letters(136) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        a, b = int(rng.integers(20, 137)), int(rng.integers(20, 137))
+        left, right = lefts[rng.integers(6)], rights[rng.integers(6)]
+        cut, stop = int(rng.integers(0, 137)), int(rng.integers(0, 137))
+        text = (letters(cut) + left[cut:])[136 - a :] + gram + (right[:stop] + letters(136 - stop))[:b]
+        if len(text) >= 200:
+            rows.append((key, i % 3 > 0, i, 0, 1000, text))
+    assert len(rows) > 40
+
+    def strings(groups):
+        found = substrings.repeated_strings([[r[5] for r in group] for group in groups])
+        return {(r[2], r[4] + int(s)) for group, starts in zip(groups, found) for r, of in zip(group, starts) if r[1] for s in of}
+
+    met = substrings._with_partners(rows)
+    assert strings(met) == strings([rows]) and strings(met)
+    assert sum(len(r[5]) for group in met for r in group) < sum(len(r[5]) for r in rows)
+
+
 def test_codes_of_a_chunk_are_counted_in_little_memory():
     """A chunk has a code of eight bytes for each of its bytes; asking never holds all of them."""
     rng = np.random.default_rng(6)
