@@ -37,6 +37,9 @@ SHINGLE_WORDS, SEED = 3, 42
 #: Fingerprints that share one key beyond this count are linked through their
 #: common neighbours at distance one instead of pair by pair; no link is lost.
 CROWDED = 48
+#: Texts that share one key of the stage of near copies beyond this count are each paired with a centre only. It is
+#: small, so that what is done for a text hardly depends on how many are like it.
+STARRED = 4
 #: Stage of near copies: words of a shingle, shared part of all shingles of two texts.
 NEAR_WORDS, NEAR = 5, 0.8
 #: Bits in which longer texts of that similarity may differ: the expected 9.7 and five standard deviations.
@@ -264,7 +267,7 @@ def _shared_keys(classes: DataFrame) -> DataFrame:
 
 def _stars(shared: DataFrame) -> DataFrame:
     """``x, y``: each member y of a crowded key and the one that shares its segments with most others."""
-    crowd = shared.where(F.col("n") > CROWDED)
+    crowd = shared.where(F.col("n") > STARRED)
     known = crowd.join(shared.groupBy("uid").agg(F.sum("n").alias("known")), "uid")
     centres = known.groupBy("key").agg(F.max(F.struct("known", -F.col("uid"))).alias("c")).select("key", (-F.col("c.col2")).alias("x"))
     return crowd.join(centres, "key").where("uid <> x").select("x", F.col("uid").alias("y")).distinct()
@@ -285,7 +288,7 @@ def near_candidates(classes: DataFrame, shared: DataFrame | None = None) -> Data
     a, b = by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("x")), by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
     close = found.join(a, "a").join(b, "b").select("x", "y")
     same = classes.join(by_fp, "fp").where("uid <> rep").select(F.col("rep").alias("x"), F.col("uid").alias("y"))
-    few = shared.where(F.col("n") <= CROWDED)
+    few = shared.where(F.col("n") <= STARRED)
     ring = few.alias("p").join(few.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.uid") < F.col("q.uid"))).select(
         F.col("p.uid").alias("x"), F.col("q.uid").alias("y")
     )
@@ -303,9 +306,9 @@ def _alike(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def _differences(stars: DataFrame, shingles: DataFrame, groups: DataFrame) -> DataFrame:
-    """``x, y, n, component, linked, diff`` of the stars whose members aren't all connected yet.
+    """``x, y, n, component, linked, d, diff`` of the stars whose members aren't all connected yet.
 
-    diff has the shingles that only one of x and y has, n is the number of y's.
+    diff has the d shingles that only one of x and y has, n is the number of y's.
     """
     part = lambda uid, name: groups.select(F.col("node").alias(uid), F.col("component").alias(name))
     named = stars.join(part("y", "cy"), "y", "left").join(part("x", "cx"), "x", "left")
@@ -320,7 +323,9 @@ def _differences(stars: DataFrame, shingles: DataFrame, groups: DataFrame) -> Da
         .withColumns({"own": F.array_except("sy", "sx"), "gone": F.array_except("sx", "sy")})
     )
     same, every = F.size("sy") - F.size("own"), F.size("sx") + F.size("own")
-    return both.select("x", "y", F.size("sy").alias("n"), "component", (5 * same >= 4 * every).alias("linked"), F.concat("own", "gone").alias("diff"))
+    diff = F.concat("own", "gone")
+    linked = (5 * same >= 4 * every).alias("linked")
+    return both.select("x", "y", F.size("sy").alias("n"), "component", linked, F.size(diff).alias("d"), diff.alias("diff"))
 
 
 def crowd_links(stars: DataFrame, shingles: DataFrame, links: DataFrame) -> DataFrame:
@@ -333,18 +338,24 @@ def crowd_links(stars: DataFrame, shingles: DataFrame, links: DataFrame) -> Data
     have a shingle in common. As texts y and z that are alike differ by at most
     n(y) / 4 shingles, it is among the first n(y) / 4 + 1 of D(y), in any order
     that is the same for all of a star, and likewise for z. The rare ones come
-    first; those are keys. Keys that would make too many pairs between parts
-    that aren't connected yet are stars of the next round; in the last round
-    all their pairs are made, a block at a time.
+    first; those are keys. All of D that comes before the first common one are
+    differences, so one at place i is of use only if some text has it at a place
+    up to n(y) / 4 - i. Keys that would make too many pairs between parts that
+    aren't connected yet are stars of the next round; in the last round all
+    their pairs are made, a block at a time.
     """
     for last in (*[False] * (ROUNDS - 1), True):
         told = stored(_differences(stars, shingles, connected_components(links)), "differences")
-        entries = told.select("x", "y", "n", "component", "linked", F.explode("diff").alias("e"))
+        told_by = ["x", "y", "n", "component", "linked", "d"]
+        entries = told.select(*told_by, F.explode("diff").alias("e"))
         weights = entries.groupBy("x", "e").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("open"))
         first = F.slice(F.sort_array(F.collect_list(F.struct("open", "m", "e"))), F.lit(1), F.floor(F.col("n") / 4).cast("int") + 1)
-        prefixes = entries.join(weights, ["x", "e"]).groupBy("x", "y", "n", "component", "linked").agg(first.alias("first"))
-        keyed = prefixes.select("x", "y", "n", "component", "linked", F.explode(F.filter("first", lambda f: f.open)).alias("f"))
-        keyed = stored(keyed.select("x", "y", "n", "component", "linked", F.col("f.e").alias("e")), "keyed")
+        prefixes = entries.join(weights, ["x", "e"]).groupBy(*told_by).agg(first.alias("first"))
+        placed = F.transform("first", lambda f, i: F.struct(f.open.alias("open"), f.e.alias("e"), i.alias("at")))
+        keyed = prefixes.select(*told_by, F.explode(F.filter(placed, lambda f: f.open)).alias("f")).select(*told_by, "f.e", "f.at")
+        keyed = stored(keyed, "placed")
+        keyed = keyed.join(keyed.groupBy("x", "e").agg(F.min("at").alias("least")), ["x", "e"])
+        keyed = stored(keyed.where(4 * (F.col("at") + F.col("least")) <= F.col("n")).drop("least"), "keyed")
         parts = keyed.groupBy("x", "e", "component").agg(F.count("*").alias("k"))
         sizes = parts.groupBy("x", "e").agg(F.sum("k").alias("t"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
         dealt = stored(keyed.join(sizes.where("pairs > 0"), ["x", "e"]).withColumn("many", F.col("pairs") > CROWDED * F.col("t")), "dealt")
@@ -364,13 +375,20 @@ def crowd_links(stars: DataFrame, shingles: DataFrame, links: DataFrame) -> Data
 
 
 def _between(keyed: DataFrame, blocks: int) -> DataFrame:
-    """Pairs ``a < b`` of like sizes in different components that have a key ``x, e`` in common."""
+    """Pairs ``a < b`` in different components that may be alike and have a key ``x, e`` in common.
+
+    Texts that are alike differ by at most a ninth of the sum of their sizes. If
+    e is the first that they have in common, all keys before it are differences,
+    and so is what one has more of from there on.
+    """
     p = keyed.withColumn("block", F.pmod(F.xxhash64("y"), F.lit(blocks)).cast("int")).alias("p")
     q = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("q")
     same = (F.col("p.x") == F.col("q.x")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.block") == F.col("q.block"))
     fit = 5 * F.least("p.n", "q.n") >= 4 * F.greatest("p.n", "q.n")
     apart = (F.col("p.y") < F.col("q.y")) & (F.col("p.component") != F.col("q.component"))
-    return p.join(q, same & apart & fit).select(F.col("p.y").alias("a"), F.col("q.y").alias("b"))
+    rest = F.abs(F.col("p.d") - F.col("p.at") - F.col("q.d") + F.col("q.at"))
+    near = 9 * (F.col("p.at") + F.col("q.at") + rest) <= F.col("p.n") + F.col("q.n")
+    return p.join(q, same & apart & fit & near).select(F.col("p.y").alias("a"), F.col("q.y").alias("b"))
 
 
 def near_links(rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -130,3 +130,24 @@ def test_links_whose_only_key_is_crowded_are_found(spark, monkeypatch, rounds):
     for a, b in found:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert sorted({root(i) for i in parent}) == brute_kept(words)
+
+
+def test_pairs_made_in_a_crowd_grow_with_its_rows(spark, monkeypatch):
+    """Near copies of one text, some too far from it and from each other to be linked."""
+    rng = random.Random(24)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [edited(rng, base, rng.choice([1, 2, 5, 6, 7])) for _ in range(240)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    made = []
+
+    def counted(df, name, put=simhash.stored):
+        found = put(df, name)
+        if name in ("pairs", "crowd_pairs"):
+            made.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = sorted(r.doc_id for r in simhash.keep_one_per_component(df).collect())
+    assert kept == brute_kept(rows) and len(kept) > 1
+    assert 0 < sum(made) < 10 * len(rows)
