@@ -122,6 +122,20 @@ def test_keys_of_a_hash_are_few(spark, most, keys):
     assert [len(r.k) for r in got] == [keys, keys]
 
 
+@pytest.mark.parametrize(("n", "shared"), [(20_000, ""), (3_000, "00abcdef")])
+def test_keys_are_not_sent_through_the_driver(spark, n, shared):
+    """They are 21 times the hashes, and more in a crowd, of which Spark knows nothing when it plans the joins."""
+    from pyspark.sql import functions as F
+
+    digits = F.lower(F.lpad(F.hex(F.xxhash64("id")), 16, "0"))
+    df = spark.range(n).select(F.concat(F.lit(shared), F.substring(digits, 1, 16 - len(shared))).alias("phash"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1100k")  # a table of a few rows takes 1 MB
+    try:
+        assert (hamming_pairs(df, 5).count() > 0) == bool(shared)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 @pytest.mark.parametrize("most", [0, 2, 3, 6, 7])
 def test_pairs_in_crowds_match_brute_force(spark, most):
     rng = random.Random(most)
