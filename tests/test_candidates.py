@@ -136,6 +136,19 @@ def test_keys_are_not_sent_through_the_driver(spark, n, shared):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
+def test_greedy_dedupe_sends_no_keys_through_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from slatebed.sources.shared import written
+
+    df = spark.range(40_000).select(F.col("id").alias("ordinal"), F.lower(F.lpad(F.hex(F.xxhash64("id")), 16, "0")).alias("phash"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")  # the hashes take less, a page of 33 MB; their keys more
+    try:
+        assert greedy_dedupe(df, 6, checkpoint=lambda d: written(d, "dedupe")).count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 @pytest.mark.parametrize("most", [0, 2, 3, 6, 7])
 def test_pairs_in_crowds_match_brute_force(spark, most):
     rng = random.Random(most)
