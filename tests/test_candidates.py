@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -8,7 +9,7 @@ import pytest
 
 from slatebed.dims import CANDIDATE
 from slatebed.operators import candidates as ops
-from slatebed.operators.hashes import greedy_dedupe, hamming_pairs
+from slatebed.operators.hashes import greedy_dedupe, hamming_links, hamming_pairs
 
 
 def rows(spark, *given):
@@ -160,6 +161,36 @@ def test_pairs_in_crowds_match_brute_force(spark, most):
     assert got == sorted(want)
 
 
+def test_links_tie_all_rows_within_the_radius(spark):
+    h = [*hashes(40, 5), "ABCDEF0123456789", "abcdef0123456789", "abcdef0123456788", *["0" * 16] * 6, None]
+    df = spark.createDataFrame(list(enumerate(h)), "ordinal long, phash string")
+    links = [tuple(r) for r in hamming_links(df, 5).collect()]
+    first = {x.lower(): i for i, x in reversed(list(enumerate(h))) if x}
+    near = lambda i, j: (int(h[i], 16) ^ int(h[j], 16)).bit_count()
+    assert all((x, y, n) == (h[i].lower(), h[j].lower(), near(i, j)) for i, j, x, y, n in links)
+    ties = {frozenset((i, j)) for i, j, *_ in links}
+    assert len(ties) == len(links)
+    for i in range(len(h) - 1):
+        for j in range(i):
+            a, b = first[h[i].lower()], first[h[j].lower()]
+            tied = all(len(t) == 1 or t in ties for t in (frozenset((i, a)), frozenset((a, b)), frozenset((b, j))))
+            assert tied == (near(i, j) <= 5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_documents_of_equal_hashes_are_linked(spark):
+    """Also those of different texts: every document that isn't the only one or the first with its hash has a link."""
+    from slatebed.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    first, others = {}, set()
+    for r in QUERIES["fn_ahash_bytes"](spark, folder).orderBy("doc_id").collect():
+        if (a := first.setdefault(r.phash, r.doc_id)) != r.doc_id:
+            others.add((a, r.doc_id))
+    assert others
+    assert {(r.doc_a, r.doc_b) for r in QUERIES["jn_hamming_pairs"](spark, folder).where("distance = 0").collect()} == others
+
+
 def test_pairs_beyond_the_radius_are_refused(spark):
     with pytest.raises(ValueError):
         hamming_pairs(spark.createDataFrame([], "phash string"), 8)
